@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .near_dedup import near_duplicates
+from .packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,6 +19,12 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op7_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into windows of 4096 tokens."""
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five words, likeness 0.75."""

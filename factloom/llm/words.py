@@ -14,6 +14,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE_LOWER = np.where(_SPACE, np.uint64(0), _BYTE[_LOWER])
+_BYTE_EXACT = np.where(_SPACE, np.uint64(0), _BYTE)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,16 +59,25 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash and the row of each word, in the order of the text."""
     starts, lengths, rows = word_spans(data, offsets)
+    return span_hashes(data, starts, lengths, _BYTE_LOWER), rows
+
+
+def exact_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of words as they stand: upper and lower case differ."""
+    return span_hashes(data, starts, lengths, _BYTE_EXACT)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(starts):
-        return np.zeros(0, np.uint64), rows
+        return np.zeros(0, np.uint64)
     gap = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, gap)
     longest = int(lengths.max())
     np.minimum(place, longest - 1, out=place)
     with np.errstate(over="ignore"):
-        each = _BYTE_LOWER[data[starts[0] :]] * _powers(longest)[place]
+        each = table[data[starts[0] :]] * _powers(longest)[place]
         sums = np.add.reduceat(each, starts - starts[0])
-        return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), rows
+        return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
