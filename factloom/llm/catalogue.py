@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, language_id
 from .common import read_table
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -19,12 +21,32 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+def _fold(modulus: int) -> Column:
+    """True for the held-out fold: crc32 of the id as text leaves 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == 2, F.lit(False))
+
+
+@_query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three of four folds."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~_fold(4)))
+    carried = F.struct("doc_id", _fold(4).alias("held_out"))
+    return language_id.identify(docs, model, carried).select("carried.doc_id", "carried.held_out", "lang_pred", "score", "rejected")
+
+
 @_query
 def op7_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into windows of 4096 tokens."""
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item that a document holds within the item's error budget."""
+    return decontaminate.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five words, likeness 0.75."""
