@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language_id
 from .common import read_table
+from .fingerprint import fingerprints
 from .near_dedup import near_duplicates
 from .packing import pack
 
@@ -26,6 +27,12 @@ def _fold(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == 2, F.lit(False))
 
 
+@_query
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text."""
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three of four folds."""
