@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, language_id
 from .common import read_table
 from .fingerprint import fingerprints
+from .line_dedup import drop_recurring_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 
@@ -42,6 +43,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, carried).select("carried.doc_id", "carried.held_out", "lang_pred", "score", "rejected")
 
 
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs."""
+    return drop_recurring_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
+
+
 @_query
 def op7_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into windows of 4096 tokens."""
