@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id
+from . import chat_format, decontaminate, language_id, licences
 from .common import read_table
 from .fingerprint import fingerprints
 from .line_dedup import drop_recurring_lines
@@ -43,6 +43,21 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, carried).select("carried.doc_id", "carried.held_out", "lang_pred", "score", "rejected")
 
 
+@_query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence family of every paragraph that names one."""
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and completion segments of preference pairs made from all conversations."""
+    return chat_format.format_preferences(*chat_format.preference_pairs(read_table(spark, sf_dir, "conversations")))
+
+
+ORACLE_SQL["op5_chat_formatting"] = chat_format.ORACLE
+
+
 @_query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose template recurs."""
