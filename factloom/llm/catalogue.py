@@ -13,6 +13,7 @@ from .fingerprint import fingerprints
 from .line_dedup import drop_recurring_lines
 from .near_dedup import near_duplicates
 from .packing import pack
+from .surrogates import replace_entities
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,6 +71,12 @@ def op7_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
+    return replace_entities(read_table(spark, sf_dir, "documents"), key="factloom").select("doc_id", "text", "entities_replaced")
+
+
 @_query
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item that a document holds within the item's error budget."""
