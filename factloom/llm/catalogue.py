@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, licences
+from . import chat_format, decontaminate, language_id, licences, ngram_model
 from .common import read_table
 from .fingerprint import fingerprints
 from .line_dedup import drop_recurring_lines
@@ -29,6 +29,15 @@ def _fold(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == 2, F.lit(False))
 
 
+@_query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under a model of six of seven folds."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = ngram_model.train(docs.where(~_fold(7)))
+    scored = ngram_model.score(docs, model, F.struct("doc_id", _fold(7).alias("held_out")))
+    return scored.select("carried.doc_id", "carried.held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @_query
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text."""
