@@ -177,18 +177,36 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", te
     return Centroids(languages, np.array(owner), np.concatenate(vectors), idf)
 
 
+def _nearest(model: Centroids, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest language (all of them: none) and the cosine, for each text."""
+    lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    best, score = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
+    if len(model.owner):
+        for first, end, counts in _rows(pa.RecordBatch.from_arrays([texts], names=["text"]), len(model.idf)):
+            near = unit_vectors(counts, model.idf) @ model.vectors.T
+            top = near.argmax(1)
+            best[first:end], score[first:end] = model.owner[top], near[np.arange(end - first), top]
+    best[~lettered], score[~lettered] = len(model.languages), 0
+    return best, score
+
+
+def keep_identified(docs: DataFrame, model: Centroids, *, text_col: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that are not rejected: see ``identify``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, score = _nearest(model, batch.column(at))
+            yield batch.filter(pa.array((best < len(model.languages)) & (score >= min_cosine)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _predicted(model: Centroids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            lettered = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            best, score = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows)
-            if len(model.owner):
-                for first, end, counts in _rows(batch, len(model.idf)):
-                    near = unit_vectors(counts, model.idf) @ model.vectors.T
-                    top = near.argmax(1)
-                    best[first:end], score[first:end] = model.owner[top], near[np.arange(end - first), top]
-            best[~lettered], score[~lettered] = len(model.languages), 0
+            best, score = _nearest(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1).astype(float))], names=["carried", "lang_pred", "score"])
 
     return run
