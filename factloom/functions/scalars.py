@@ -90,7 +90,7 @@ def ensure_language(lang: Column) -> Column:
 
 def inline_latex(text: Column) -> Column:
     r"""Dollar-delimited formulas in the form \( ... \)."""
-    return F.regexp_replace(text, r"\$([^$]*)\$", r"\\\\($1\\\\)")
+    return F.regexp_replace(text, r"\$([^$]*)\$", r"\\($1\\)")
 
 
 def entity_html(label: Column, key: Column, uri: Column) -> Column:

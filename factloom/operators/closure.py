@@ -46,6 +46,17 @@ def transitive_closure(edges: DataFrame, *, reflexive: bool = False, max_rounds:
     return _union(parts)
 
 
+def reachable(edges: DataFrame, start: str) -> DataFrame:
+    """(node): what can be reached over (a, b) from one node, itself included; only that part of the graph is visited."""
+    new = found = edges.sparkSession.range(1).select(F.lit(start).alias("node"))
+    while True:
+        step = edges.join(new, edges["a"] == new["node"]).select(edges["b"].alias("node")).distinct().join(found, "node", "left_anti")
+        new = written(step, "reach")
+        if new.isEmpty():
+            return found
+        found = written(found.unionByName(new), "reach")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -394,19 +394,19 @@ def lang_functional_violations(spark, sf_dir):
 @_q("SELECT 'C'||c_custkey AS s, CASE WHEN c_custkey % 10 = 0 THEN 's:RETIRED' ELSE 's:'||c_mktsegment END AS o FROM customer")
 def overwrite_merge(kb):
     rows = kb.of("segment").where("cast(substring(s, 2) as long) % 10 = 0").select(*statement(F.col("s"), "segment", F.lit("RETIRED"), kind="L", o_type="str"))
-    return edit.overwrite(kb, rows).of("segment").select("s", "o")
+    return edit.overwrite(kb.only("segment"), rows).statements.select("s", "o")
 
 
 @_q("SELECT p, count(*) AS n FROM (SELECT 'part_of' AS p FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT 'part_of' FROM supplier WHERE s_nationkey <> 3 UNION ALL SELECT 'part_of' FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'segment' FROM customer) GROUP BY 1")
 def delete_entity_cascade(kb):
     gone = kb.entities.where("uri = 'N3'").select("uri")
-    return edit.delete_entities(kb, gone).of("part_of", "segment").groupBy("p").agg(F.count("*").alias("n"))
+    return edit.delete_entities(kb.only("part_of", "segment"), gone).statements.groupBy("p").agg(F.count("*").alias("n"))
 
 
 @_q("SELECT 'C'||c_custkey AS s, 'N'||(CASE WHEN c_nationkey IN (1, 2, 3) THEN 1 ELSE c_nationkey END) AS o FROM customer")
 def entity_merge(kb):
     same = constants(kb.spark, [("N1", "N2"), ("N2", "N3")], ["a", "b"])
-    return edit.merge_entities(kb, edit.representatives(same)).of("part_of").where("s LIKE 'C%'").select("s", "o")
+    return edit.merge_entities(kb.only("part_of"), edit.representatives(same)).statements.where("s LIKE 'C%'").select("s", "o")
 
 
 @_q("SELECT DISTINCT sha256('op|P'||l_partkey||'|S'||l_suppkey) AS mapping, 'P'||l_partkey AS a, 'S'||l_suppkey AS b FROM lineitem")

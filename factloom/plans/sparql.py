@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.closure import transitive_closure
+from ..operators.closure import reachable, transitive_closure
 from .model import KB, constants
 
 
@@ -346,6 +346,23 @@ class _Plan:
             return transitive_closure(one, reflexive=path[2] == "*").select("a", "b").distinct()
         raise SparqlError("a variable stands in a property path")
 
+    def ends(self, s, p, o) -> DataFrame:
+        """(s, o) of a path between two terms; from a given term over any number of hops by a search from there."""
+        given = [x for x in (s, o) if x[0] != "var"]
+        if p[0] == "repeat" and p[2] in "*+" and given:
+            one = self.pairs(p[1]).distinct()
+            forward = s[0] != "var"
+            start = given[0][1]
+            found = reachable(one if forward else one.select(F.col("b").alias("a"), F.col("a").alias("b")), start)
+            if p[2] == "+":  # the start itself only if a cycle leads back to it
+                back = one.where(F.col("b" if forward else "a") == start).select(F.col("a" if forward else "b").alias("node")).join(found, "node", "left_semi")
+                found = found.where(F.col("node") != start).unionByName(back.limit(1).select(F.lit(start).alias("node")))
+            return found.select(*((F.lit(start).alias("s"), F.col("node").alias("o")) if forward else (F.col("node").alias("s"), F.lit(start).alias("o"))))
+        out = self.pairs(p).select(F.col("a").alias("s"), F.col("b").alias("o"))
+        if p[0] == "repeat" and p[2] == "?" and given:
+            out = out.unionByName(constants(self.kb.spark, [(x[1], x[1]) for x in given], ["s", "o"])).distinct()
+        return out
+
     def triple(self, t) -> DataFrame:
         s, p, o = t
         if p[0] == "var":
@@ -353,10 +370,7 @@ class _Plan:
         elif p[0] == "uri":
             df = self.edges(p[1]).select("s", "o")
         else:
-            df = self.pairs(p).select(F.col("a").alias("s"), F.col("b").alias("o"))
-            given = {x[1] for x in (s, o) if x[0] != "var"}
-            if p[0] == "repeat" and p[2] in "*?" and given:  # no hop leads from a term to itself, in the graph or not
-                df = df.unionByName(constants(self.kb.spark, [(x, x) for x in sorted(given)], ["s", "o"])).distinct()
+            df = self.ends(s, p, o)
         names: dict[str, str] = {}
         for column, term in (("s", s), ("p", p), ("o", o)):
             if column not in df.columns:
