@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, licences, ngram_model
+from . import chat_format, decontaminate, language_id, licences, line_dedup, near_dedup, ngram_model
 from .common import read_table
 from .fingerprint import fingerprints
 from .line_dedup import drop_recurring_lines
@@ -104,3 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+ORACLE_SQL["op6_line_dedup"] = line_dedup.ORACLE
+ORACLE_SQL["op10_minhash_near_dedup"] = near_dedup.ORACLE

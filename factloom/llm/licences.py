@@ -1,7 +1,7 @@
 """Licence notices: a sparse word n-gram logistic regression over paragraphs, confirmed by comparison with templates.
 
 The classifier is trained here, on the driver, from the templates below and texts that talk of licences without
-granting one. Its features are word 1- and 2-grams that hold one of its anchor words; n-grams without one weigh
+granting one. Its features are word 1- to 3-grams that hold one of its anchor words; n-grams without one weigh
 nothing, so a paragraph without an anchor is of the class ``unknown`` by the bias alone and need not be scored.
 Scoring is a join of a paragraph's n-grams with the weight table, whose size is fixed by the templates, and a sum.
 """
@@ -41,6 +41,8 @@ OTHER = [
     "The source of the river is in the hills.", "A mozilla is no animal.", "Terms of the contract were read aloud.", "The work is done.", "BSD users met in the hall.", "GNU live in herds.", "cc the manager by mail.",
 ]
 ANCHORS = ["license", "licence", "licensed", "licenses", "spdx", "apache", "mit", "gnu", "gpl", "lgpl", "bsd", "mozilla", "mpl", "cc", "creative", "copyright", "rights", "permission", "redistribution", "redistribute"]
+#: Words of the longest n-gram.
+LONGEST = 3
 #: A family counts from this probability on, and is confirmed from this share of a template's words on.
 MIN_PROBABILITY = 0.5
 MIN_LIKENESS = 0.7
@@ -51,10 +53,10 @@ def words(text: str) -> list[str]:
 
 
 def grams(tokens: list[str]) -> list[str]:
-    """1- and 2-grams with an anchor word."""
+    """1- to 3-grams with an anchor word."""
     anchors = set(ANCHORS)
-    ones = [t for t in tokens if t in anchors]
-    return ones + [f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False) if a in anchors or b in anchors]
+    runs = [tokens[k : k + n] for n in range(1, LONGEST + 1) for k in range(len(tokens) - n + 1)]
+    return [" ".join(r) for r in runs if anchors & set(r)]
 
 
 def _variants(text: str) -> list[str]:
@@ -103,9 +105,14 @@ def _tokens(text: Column) -> Column:
 
 def _grams(tokens: Column) -> Column:
     anchors = F.array(*map(F.lit, ANCHORS))
-    ones = F.filter(tokens, lambda t: F.array_contains(anchors, t))
-    pairs = F.transform(F.filter(F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"].isNotNull() & (F.array_contains(anchors, p["a"]) | F.array_contains(anchors, p["b"]))), lambda p: F.concat_ws(" ", p["a"], p["b"]))
-    return F.array_distinct(F.concat(ones, pairs))
+    none = F.array().cast("array<int>")
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(none)
+        found = F.filter(F.transform(starts, lambda i: F.slice(tokens, i, n)), lambda r: F.arrays_overlap(r, anchors))
+        return F.transform(found, lambda r: F.array_join(r, " "))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, LONGEST + 1)]))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

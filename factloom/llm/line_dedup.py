@@ -30,6 +30,7 @@ def masked(line: Column) -> Column:
 def template_keys(line: Column, *, depth: int, min_tokens: int, min_half: int) -> Column:
     """Hashes of the templates that a line may be of; empty below ``min_tokens`` tokens."""
     tokens = F.split(masked(line), " ")
+    half = lambda t: F.floor((F.size(t) + depth) / 2).cast("int")
     return F.transform(
         F.array(tokens),
         lambda t: F.when(
@@ -37,8 +38,8 @@ def template_keys(line: Column, *, depth: int, min_tokens: int, min_half: int) -
             F.filter(
                 F.array(
                     F.xxhash64(F.size(t), F.lit(0), t),
-                    F.when(F.size(t) - depth >= 2 * min_half, F.xxhash64(F.size(t), F.lit(1), F.slice(t, F.lit(1), (F.size(t) + depth) / 2))),
-                    F.when(F.size(t) - depth >= 2 * min_half, F.xxhash64(F.size(t), F.lit(2), F.slice(t, F.lit(1), F.lit(depth)), F.slice(t, (F.size(t) + depth) / 2 + 1, F.size(t)))),
+                    F.when(F.size(t) - depth >= 2 * min_half, F.xxhash64(F.size(t), F.lit(1), F.slice(t, F.lit(1), half(t)))),
+                    F.when(F.size(t) - depth >= 2 * min_half, F.xxhash64(F.size(t), F.lit(2), F.slice(t, F.lit(1), F.lit(depth)), F.slice(t, half(t) + 1, F.size(t)))),
                 ),
                 lambda k: k.isNotNull(),
             ),
@@ -66,3 +67,15 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n = F.coalesce(F.size("__dropped"), F.lit(0)).cast("long")
     return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n.alias("lines_dropped"))
+
+
+ORACLE = r"""
+WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(i) WHERE text IS NOT NULL),
+t AS (SELECT doc_id, i, line, string_split(regexp_replace(trim(regexp_replace(line, '[\x09-\x0D ]+', ' ', 'g'), ' '), '\S*[0-9]\S*', '<*>', 'g'), ' ') AS t FROM l),
+k AS (SELECT doc_id, i, unnest(list_filter([[0, len(t)]::VARCHAR || array_to_string(t, ' '), CASE WHEN len(t) >= 14 THEN [1, len(t)]::VARCHAR || array_to_string(t[1:(len(t) + 2) // 2], ' ') END,
+      CASE WHEN len(t) >= 14 THEN [2, len(t)]::VARCHAR || array_to_string(t[1:2] || t[(len(t) + 2) // 2 + 1:], ' ') END], lambda x: x IS NOT NULL)) AS key FROM t WHERE len(t) >= 4),
+h AS (SELECT key, min(doc_id) AS first FROM k GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+d AS (SELECT DISTINCT doc_id, i FROM k JOIN h USING (key) WHERE doc_id <> first),
+g AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (d.i IS NULL) AS text, count(d.i) AS n FROM l LEFT JOIN d USING (doc_id, i) GROUP BY 1)
+SELECT o.doc_id, CASE WHEN o.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text, coalesce(n, 0) AS lines_dropped FROM documents o LEFT JOIN g USING (doc_id)
+"""

@@ -225,6 +225,8 @@ class Arrays:
     def of_contexts(self, contexts: np.ndarray) -> np.ndarray:
         """Rows (tokens, words once, twice, more often) of sorted contexts; zeros for those that nothing follows."""
         out = np.zeros((len(contexts), 4), np.int64)
+        if not self.model.tokens:
+            return out
         part = np.searchsorted(self.cuts, contexts.astype(np.uint64) << np.uint64(32), "right")
         for p in np.unique(part[contexts >= 0]):
             here = np.flatnonzero((part == p) & (contexts >= 0))
@@ -418,7 +420,7 @@ def _discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
 
 def word_probability(model: Model, follows: np.ndarray) -> np.ndarray:
     uniform = model.word_share / (model.words + 1)
-    return (_discounted(follows, model.word_discounts) / model.pairs if model.pairs else 0.0) + uniform
+    return _discounted(follows, model.word_discounts) / max(model.pairs, 1) + uniform
 
 
 def pair_probability(model: Model, counts: np.ndarray, totals: np.ndarray, lower: np.ndarray) -> np.ndarray:
