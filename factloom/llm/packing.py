@@ -46,13 +46,10 @@ def default_tokenizer() -> str:
 class WordTokens:
     """Token ids of words, remembered: this tokenizer drops white space, so a text's ids are those of its words."""
 
-    SEPARATOR = "<|startoftext|>"
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(self.SEPARATOR)
         self.clear()
 
     def clear(self) -> None:
@@ -60,25 +57,19 @@ class WordTokens:
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.words, self.used = np.zeros(1 << 16, np.int64), 0, 0
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        mark = self.SEPARATOR.encode()
-        odd = {k for k, w in enumerate(words) if mark in w}
-        text = mark.join(w for k, w in enumerate(words) if k not in odd).decode()
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
-        cuts = np.flatnonzero(ids == self.mark)
-        plain = [p if k == 0 else p[1:] for k, p in enumerate(np.split(ids, cuts))]
-        if not odd:
-            return plain
-        rest = iter(plain)
-        return [np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.int64) if k in odd else next(rest) for k, w in enumerate(words)]
-
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        ids = self.encode(words)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(counts.sum())
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has: encoded as one text, told apart by where each id stands in it."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        at = np.searchsorted(ends, np.array([a for a, _ in found.offsets], np.int64), "right")
+        return np.array(found.ids, np.int64), np.bincount(at, minlength=len(words))
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids, counts = self.encode(words)
+        total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.concatenate(ids) if ids else []
+        self.flat[self.used : self.used + total] = ids
         place = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, place, keys)
         self.first = np.insert(self.first, place, self.used + np.cumsum(counts) - counts)
@@ -100,7 +91,7 @@ class WordTokens:
             if not known.all():
                 raw = data.tobytes()
                 new = at[~known]
-                self.learn(hashes[~known], [raw[a : a + b] for a, b in zip(starts[new].tolist(), lengths[new].tolist(), strict=True)])
+                self.learn(hashes[~known], [raw[a : a + b].decode() for a, b in zip(starts[new].tolist(), lengths[new].tolist(), strict=True)])
         place = np.searchsorted(self.keys, hashes)
         first, count = self.first[place][inverse], self.count[place][inverse]
         tokens = np.bincount(rows, weights=count, minlength=n).astype(np.int64) + 1 if len(rows) else np.ones(n, np.int64)
