@@ -15,6 +15,7 @@ counts of the tasks before.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import text_chunks, written
-from .words import exact_hashes, word_spans
+from .words import lower_hashes, word_spans
 
 #: Words that a worker remembers at most; beyond it forgets them all and starts anew.
 CACHE_WORDS = 2_000_000
@@ -50,6 +51,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if ids("Ab, c.D e.") != [x for part in ("ab", ",", "C.d", "\n E", ".") for x in ids(part)]:
+            raise ValueError(f"{path}: ids of words do not make up those of a text, or depend on the case")
         self.clear()
 
     def clear(self) -> None:
@@ -78,9 +82,14 @@ class WordTokens:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each followed by ``end_id``, and the row offsets."""
-        starts, lengths, rows = word_spans(data, offsets)
+        starts, lengths, rows = _parts(data, *word_spans(data, offsets))
         n = len(offsets) - 1
-        hashes, at, inverse = np.unique(exact_hashes(data, starts, lengths), return_index=True, return_inverse=True)
+        keys = lower_hashes(data, starts, lengths)
+        # the one thing that case changes is a special token's string
+        marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        for k in np.unique(np.searchsorted(starts, marks, "right") - 1).tolist():
+            keys[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : starts[k] + lengths[k]].tobytes(), digest_size=8).digest(), "little")
+        hashes, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_WORDS:
             self.clear()
         if len(hashes):
@@ -103,6 +112,21 @@ class WordTokens:
         return out, ends
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+
+
+def _parts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with one last stop behind an ASCII letter or digit as a word of its own: it never shares a token with that."""
+    last = starts + lengths - 1
+    at = np.flatnonzero((lengths > 1) & _STOP[data[last]] & _ALNUM[data[np.maximum(last - 1, 0)]])
+    lengths = lengths.copy()
+    lengths[at] -= 1
+    return np.insert(starts, at + 1, last[at]), np.insert(lengths, at + 1, 1), np.insert(rows, at + 1, rows[at])
+
+
 _tokens: dict[str, WordTokens] = {}
 
 

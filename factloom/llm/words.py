@@ -14,7 +14,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE_LOWER = np.where(_SPACE, np.uint64(0), _BYTE[_LOWER])
-_BYTE_EXACT = np.where(_SPACE, np.uint64(0), _BYTE)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,9 +61,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(data, starts, lengths, _BYTE_LOWER), rows
 
 
-def exact_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Hashes of words as they stand: upper and lower case differ."""
-    return span_hashes(data, starts, lengths, _BYTE_EXACT)
+def lower_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of given words in order, all of them: what lies between two is white space."""
+    return span_hashes(data, starts, lengths, _BYTE_LOWER)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
