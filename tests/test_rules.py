@@ -168,3 +168,22 @@ def test_type_checks(spark):
 def test_taxonomy_cycle_is_an_error(spark):
     with pytest.raises(closure.TaxonomyError):
         closure.superclasses(kb_of(spark, [("a", "subclass_of", "b"), ("b", "subclass_of", "a")]))
+
+
+def test_instances_inherit_signature_and_methods(spark):
+    from factloom.operators.instances import Methods, NotAClass, new_instances
+
+    kb = kb_of(spark, [("op", "subclass_of", "meta"), ("op", "range", "real"), ("op", "domain_1", "a"), ("op", "domain_1", "b")])
+    wanted = spark.createDataFrame([("op", "sine"), ("op", "sine")], "cls string, name string")
+    after = new_instances(kb, wanted, strict=True)
+    again = new_instances(after, wanted)
+    assert rows(again.of("range").where("s <> 'op'"), "o") == [("real",)] and again.of("domain_1").count() == 2
+    assert again.statements.count() == after.statements.count() and again.entities.count() == after.entities.count()
+    with pytest.raises(NotAClass):
+        new_instances(kb, spark.createDataFrame([("real", "x")], "cls string, name string"), strict=True)
+    methods = Methods()
+    methods.add("meta", "f", lambda: "meta")
+    made = after.of("label").first()["s"]
+    assert methods.resolve(after, made, "f")() == "meta"
+    methods.add("op", "f", lambda: "op")
+    assert methods.resolve(after, made, "f")() == "op"
