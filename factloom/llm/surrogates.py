@@ -35,6 +35,23 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+#: Stretches that only a secret without a digit has.
+_BARE_SECRET = "[a-f]{32}|[A-F]{32}"
+
+
+def may_hold(text: Column) -> Column:
+    """False only for texts that hold no entity: every kind has a digit, an at sign, a title or a stretch of hexadecimal letters."""
+    out = text.contains("@") | text.rlike("[0-9]") | text.rlike(_BARE_SECRET)
+    for title in "|".join((_FEMALE_TITLES, _MALE_TITLES, _OTHER_TITLES)).split("|"):
+        out = out | text.contains(title + " ") | text.contains(title + ". ")
+    return out
+
+
+def entities(text: Column) -> Column:
+    """All entities of a text in order; an empty array where none can be."""
+    return F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 #: Given names by script and gender, and family names by script.
 _GIVEN = {
     ("latin", "f"): ["Anna", "Clara", "Edith", "Flora", "Greta", "Helen", "Ida", "Julia", "Laura", "Maria", "Nora", "Olga", "Paula", "Rosa", "Vera", "Wanda"],
@@ -177,10 +194,10 @@ def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_
 
     Null text stays null and counts 0; rows with equal ids are rewritten alike and separately. All columns stay.
     """
-    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)))).alias("entity"))
+    found = docs.where(may_hold(F.col(text_col))).select(F.explode(F.array_distinct(entities(F.col(text_col)))).alias("entity"))
     distinct = found.distinct().withColumn("canon", canonical(F.col("entity"))).groupBy("canon").agg(F.min("entity").alias("entity"))
     salts = collisions(distinct, key)
-    rows = docs.withColumn("__found", F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)))
+    rows = docs.withColumn("__found", entities(F.col(text_col)))
     if salts is None:
         new = F.transform("__found", lambda e: surrogate(e, F.lit(0), key))
     else:
@@ -197,5 +214,5 @@ def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_
 
 def docs_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__id, canon: the entities of each document."""
-    found = docs.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)))).alias("entity"))
+    found = docs.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(entities(F.col(text_col)))).alias("entity"))
     return found.select("__id", canonical(F.col("entity")).alias("canon"))
