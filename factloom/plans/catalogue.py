@@ -36,7 +36,7 @@ _PART_OF = "(SELECT 'N'||n_nationkey AS s, 'R'||n_regionkey AS o FROM nation UNI
 
 def _orders_below(kb: KB, n: int) -> KB:
     """What the trade patterns need, for orders below a number."""
-    few = kb.of("contains", "placed_by").where(f"cast(substring(s, 2) as long) < {n}")
+    few = kb.of("contains", "placed_by").where(f"try_cast(substring(s, 2) as long) < {n}")
     return kb.but(statements=few.unionByName(kb.of("supplied_by", "part_of")))
 
 
@@ -101,7 +101,7 @@ def relevant_items(kb):
     "row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_orderkey||'-'||l_partkey||'-'||l_suppkey||'-'||l_linenumber, l_quantity) AS k FROM lineitem WHERE l_orderkey < 2000) WHERE k = 1"
 )
 def first_qualifier(kb):
-    wanted = kb.of("contains").where("cast(substring(s, 2) as long) < 2000").select("stm_id", "s", "o")
+    wanted = kb.of("contains").where("try_cast(substring(s, 2) as long) < 2000").select("stm_id", "s", "o")
     ranked = kb.qualifiers.where("p = 'quantity'").join(wanted.select("stm_id"), "stm_id", "left_semi").groupBy("stm_id").agg(F.min(F.struct("seq", "q_stm_id", F.col("o_lex").cast("double").alias("v"))).alias("first"))
     return wanted.join(ranked, "stm_id").select("s", "o", F.round("first.v").cast("long").alias("quantity"))
 
@@ -118,7 +118,7 @@ def relation_property_list(kb):
 
 @_q("SELECT 'T'||l_orderkey AS tuple, row_number() OVER (PARTITION BY l_orderkey ORDER BY p) - 1 AS place, 'P'||p AS argument FROM (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem WHERE l_orderkey < 500)")
 def tuple_elements_ordered(kb):
-    parts = kb.of("contains").where("cast(substring(s, 2) as long) < 500").select(F.concat(F.lit("T"), F.expr("substring(s, 2)")).alias("tuple"), F.expr("cast(substring(o, 2) as long)").alias("k"))
+    parts = kb.of("contains").where("try_cast(substring(s, 2) as long) < 500").select(F.concat(F.lit("T"), F.expr("substring(s, 2)")).alias("tuple"), F.expr("try_cast(substring(o, 2) as long)").alias("k"))
     listed = parts.groupBy("tuple").agg(F.transform(F.array_sort(F.collect_set("k")), lambda k: F.concat(F.lit("P"), k.cast("string"))).alias("elements"))
     rows, qualifiers = edit.tuple_rows(listed)
     return lookup.tuple_elements(kb.plus(rows, qualifiers=qualifiers))
@@ -310,7 +310,7 @@ def edge_rank_palette(kb):
 
 @_q(f"SELECT 'segment' AS relation, 'C'||c_custkey AS s, (SELECT count(*) FROM {_SEGMENTS}) - 1 AS n, (SELECT string_agg('s:'||m, ',' ORDER BY m) FROM {_SEGMENTS} WHERE m <> c_mktsegment) AS objects FROM customer WHERE c_custkey < 200")
 def candidate_report(kb):
-    some = kb.of("segment").where("cast(substring(s, 2) as long) < 200")
+    some = kb.of("segment").where("try_cast(substring(s, 2) as long) < 200")
     every = some.select("s").crossJoin(F.broadcast(kb.of("segment").select("o").distinct())).withColumn("relation", F.lit("segment"))  # five segments
     return rules.candidates(kb, "segment", every).select("relation", "s", "n", F.array_join("objects", ",").alias("objects"))
 
@@ -330,7 +330,7 @@ _SUBSTAR = f"WITH RECURSIVE e AS {_SUB}, t AS (SELECT a, b, 1 AS hops FROM e UNI
 
 @_q(f"{_SUBSTAR} SELECT 'C'||c_custkey AS entity, 1 AS step, 'instance_of' AS via, 'customer' AS cls FROM customer WHERE c_custkey < 50 UNION ALL SELECT 'C'||c_custkey, hops + 1, 'subclass_of', b FROM customer, t WHERE t.a = 'customer' AND c_custkey < 50")
 def taxonomy_path(kb):
-    return closure.taxonomy_paths(kb).where("entity LIKE 'C%' AND cast(substring(entity, 2) as long) < 50")
+    return closure.taxonomy_paths(kb).where("entity LIKE 'C%' AND try_cast(substring(entity, 2) as long) < 50")
 
 
 @_q(f"{_SUBSTAR} SELECT DISTINCT a AS cls FROM t WHERE b = 'thing'")
@@ -345,7 +345,7 @@ def all_instances(kb):
 
 @_q("SELECT 'C'||c_custkey AS entity, k AS cls, k IN ('party', 'customer') AS holds FROM customer, (VALUES ('party'), ('place'), ('customer')) t(k) WHERE c_custkey < 30")
 def instance_test(kb):
-    some = kb.of("segment").where("cast(substring(s, 2) as long) < 30").select(F.col("s").alias("entity"), F.explode(F.array(*map(F.lit, ("party", "place", "customer")))).alias("cls"))
+    some = kb.of("segment").where("try_cast(substring(s, 2) as long) < 30").select(F.col("s").alias("entity"), F.explode(F.array(*map(F.lit, ("party", "place", "customer")))).alias("cls"))
     return closure.is_instance(kb, some)
 
 
@@ -393,7 +393,7 @@ def lang_functional_violations(spark, sf_dir):
 
 @_q("SELECT 'C'||c_custkey AS s, CASE WHEN c_custkey % 10 = 0 THEN 's:RETIRED' ELSE 's:'||c_mktsegment END AS o FROM customer")
 def overwrite_merge(kb):
-    rows = kb.of("segment").where("cast(substring(s, 2) as long) % 10 = 0").select(*statement(F.col("s"), "segment", F.lit("RETIRED"), kind="L", o_type="str"))
+    rows = kb.of("segment").where("try_cast(substring(s, 2) as long) % 10 = 0").select(*statement(F.col("s"), "segment", F.lit("RETIRED"), kind="L", o_type="str"))
     return edit.overwrite(kb.only("segment"), rows).statements.select("s", "o")
 
 
@@ -421,7 +421,7 @@ def evaluated_mapping_dedupe(kb):
 def type_check_violations(kb):
     from ..operators.checks import type_violations
 
-    calls = kb.of("supplied_by").where("cast(substring(s, 2) as long) < 100").select(F.col("s").alias("mapping"), F.lit("op").alias("operator"), F.array("s", "o").alias("args"))
+    calls = kb.of("supplied_by").where("try_cast(substring(s, 2) as long) < 100").select(F.col("s").alias("mapping"), F.lit("op").alias("operator"), F.array("s", "o").alias("args"))
     signature = constants(kb.spark, [("op", "0", "product"), ("op", "1", "place")], ["operator", "place", "expected"]).withColumn("place", F.col("place").cast("int"))
     return type_violations(kb, calls, signature)
 
@@ -471,6 +471,6 @@ def label_segments(kb):
 def scope_copy_rename(kb):
     from ..operators.scopes import copy_scope
 
-    rows = kb.of("placed_by").where("cast(substring(s, 2) as long) < 100").withColumn("scope", F.lit("x")).withColumn("o", F.lit("c"))
+    rows = kb.of("placed_by").where("try_cast(substring(s, 2) as long) < 100").withColumn("scope", F.lit("x")).withColumn("o", F.lit("c"))
     names = constants(kb.spark, [("c", "x.c")], ["old", "new"])
     return copy_scope(rows, names, "y").select("s", "o")
