@@ -178,6 +178,22 @@ def test_surrogates_stay_distinct(spark):
     assert len({r["text"] for r in out}) == len(names) and not {r["text"] for r in out} & set(names)
 
 
+def test_surrogates_of_phones_without_separators(spark):
+    phones = ["+12125551234", "+442079460958", "+4915112345678", "+35312345678", "+79161234567", "+1 212-555-1234"]
+    out = [r["text"] for r in replace_entities(frame(spark, [(k, f"call {p} now") for k, p in enumerate(phones)]), key="k").orderBy("doc_id").collect()]
+    for old, new, code in zip(phones, out, ["+1", "+44", "+49", "+353", "+7", "+1 "], strict=True):
+        new = re.fullmatch(r"call (.*) now", new).group(1)
+        assert new != old and new.startswith(code) and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", old)
+        assert new[len(code) :] != old[len(code) :]
+    assert re.sub(r"\D", "", out[0]) == re.sub(r"\D", "", out[5])  # two spellings of one number
+
+
+def test_surrogates_end_where_the_format_has_no_other(spark):
+    mails = ["_@-.com", *(f"{c}@-.org" for c in "abcdefghijklmnopqrstuvwxyz")]
+    out = [r["text"] for r in replace_entities(frame(spark, list(enumerate(mails))), key="k").collect()]
+    assert len(set(out)) == len(mails) and not set(out) & set(mails)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
