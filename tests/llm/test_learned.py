@@ -114,6 +114,22 @@ def test_language_id_on_held_out_and_odd_rows(spark):
     assert {x["lang_pred"] for x in language_id.identify(df, nothing, F.col("doc_id")).collect()} == {"und"}
 
 
+def test_language_id_rejects_what_is_no_text_of_its_languages(spark):
+    r = random.Random(6)
+    letters = lambda alphabet, n: " ".join("".join(r.choices(alphabet, k=r.randint(2, 9))) for _ in range(n))
+    starts = {"en": "the and with from that have this were when would there which about their people".split(), "de": "der und mit von dass haben dieser waren wenn würde welche über ihre leute nicht".split()}
+    text = lambda lang: " ".join(r.choice(starts[lang]) + r.choice(["", "", "s", "er", "ing", "en"]) for _ in range(r.choice((8, 60, 400))))
+    real = [(k, text(["en", "de"][k % 2]), ["en", "de"][k % 2], "x", 1) for k in range(200)]
+    junk = ["в начале было слово и слово было у нас дома " * 3, "今天天气很好我们一起去公园散步" * 3, "η θάλασσα ήταν ήρεμη και ο ήλιος " * 3]
+    junk += [letters("abcdefghijklmnopqrstuvwxyz", n) for n in (10, 100, 1000)] + [letters("bcdfghjklmnpqrstvwxz", n) for n in (10, 100, 1000)]
+    junk += ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n)) for n in (60, 600, 6000)]
+    df = spark.createDataFrame(real + [(1000 + k, t, None, "x", 1) for k, t in enumerate(junk)], SCHEMA)
+    model = language_id.train(df.where("doc_id < 150"))
+    rejected = {x["carried"] for x in language_id.identify(df, model, F.col("doc_id")).where("rejected").collect()}
+    assert rejected == {1000 + k for k in range(len(junk))}
+    assert language_id.keep_identified(df, model).where("doc_id < 200").count() == 200 == language_id.keep_identified(df, model).count()
+
+
 def test_licences(spark):
     lines = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "He went mit dem Bus.", "The license fee of the apache was paid.", ""]
     rows = [(1, "\n".join(lines), "en", "x", 1), *ODD]
