@@ -6,6 +6,8 @@ folder, so plans stay small and a lost executor costs one round. The loops end w
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +15,19 @@ from ..plans.model import KB
 from ..plans.tables import written
 
 
+class RoundLimit(RuntimeError):
+    """A loop found something new beyond the number of rounds it was allowed."""
+
+
 class TaxonomyError(ValueError):
     """A cycle, or both kinds of edges above one entity."""
 
 
-def transitive_closure(edges: DataFrame, *, reflexive: bool = False, max_rounds: int = 1000) -> DataFrame:
+def transitive_closure(edges: DataFrame, *, reflexive: bool = False, max_rounds: int | None = None) -> DataFrame:
     """(a, b, hops) for each path of ``edges`` (a, b); ``hops`` is the least number. Cycles end like anything else.
 
     ``reflexive`` adds (x, x, 0) for each node. The new pairs of a round are extended by single edges, so the
-    number of rounds is the longest shortest path.
+    number of rounds is the longest shortest path. Past ``max_rounds`` of them, if given, ``RoundLimit`` is raised.
     """
     edges = written(edges.select("a", "b").distinct(), "edges")
     found = edges.withColumn("hops", F.lit(1))
@@ -33,13 +39,15 @@ def transitive_closure(edges: DataFrame, *, reflexive: bool = False, max_rounds:
     new = found.where("hops = 1")
     parts = [found]
     step = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    for hop in range(2, max_rounds + 2):
+    for hop in count(2):
         more = new.join(step, "b").select("a", F.col("c").alias("b")).distinct()
         for part in parts:
             more = more.join(part.select("a", "b"), ["a", "b"], "left_anti")
         new = written(more.withColumn("hops", F.lit(hop)), "closure")
         if new.isEmpty():
             break
+        if max_rounds is not None and hop > max_rounds + 1:
+            raise RoundLimit(f"pairs are left after {max_rounds} rounds")
         parts.append(new)
         if len(parts) > 6:  # few anti-joins, each against a bounded number of tables
             parts = [written(_union(parts), "closure")]

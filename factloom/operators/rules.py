@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import permutations
+from itertools import count, permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import map_of, render
 from ..plans.model import KB, constants
 from ..plans.tables import written
+from .closure import RoundLimit
 from .edit import insert, merge_entities, new_id, representatives
 from .pattern import Ent, Lit, Pattern, RelVar, Var, match_any
 
@@ -140,14 +141,21 @@ def apply_all(kb: KB, rules: list[Rule], **more) -> tuple[KB, list[DataFrame], R
     return kb, out, None
 
 
-def fixpoint(kb: KB, rules: list[Rule], *, max_rounds: int = 100, **more) -> tuple[KB, int, RuleStop | None]:
-    """Rounds of all rules until one gives no new statement; every round's knowledge base is a table."""
-    for n in range(max_rounds):
+def fixpoint(kb: KB, rules: list[Rule], *, max_rounds: int | None = None, **more) -> tuple[KB, int, RuleStop | None]:
+    """Rounds of all rules until one gives no new statement; every round's knowledge base is a table.
+
+    Raises ``RoundLimit`` if ``max_rounds`` is given and so many rounds leave it open whether another finds more.
+    Rules that keep a statement for each match have no fixpoint and are refused.
+    """
+    if any(not r.only_new and r.stop is None and r.merge is None for r in rules):
+        raise ValueError("a rule that asserts what is there already never comes to an end")
+    for n in count():
+        if n == max_rounds:
+            raise RoundLimit(f"statements were new until round {max_rounds}")
         kb, deltas, stop = apply_all(kb, rules, **more)
         if stop is not None or all(d.isEmpty() for d in deltas):
             return kb, n + 1, stop
         kb = kb.but(statements=written(kb.statements, "statements"))
-    return kb, max_rounds, None
 
 
 def copy_statements(kb: KB, old: str, new: str) -> DataFrame:
@@ -201,7 +209,7 @@ def candidates(kb: KB, negative: str, relations: DataFrame) -> DataFrame:
     return left.groupBy("relation", "s").agg(F.countDistinct("o").alias("n"), F.array_sort(F.collect_set("o")).alias("objects")).orderBy("n", "relation", "s")
 
 
-def assume(kb: KB, rules: list[Rule], s: str, p: str, objects: list[str], *, max_rounds: int = 10, **more) -> tuple[KB, list[str]]:
+def assume(kb: KB, rules: list[Rule], s: str, p: str, objects: list[str], *, max_rounds: int | None = None, **more) -> tuple[KB, list[str]]:
     """Tests each object but the first as a hypothesis on a version of its own; (kb, refuted objects).
 
     A hypothesis that leads to a contradiction is refuted and its version dropped.

@@ -106,6 +106,21 @@ def test_fixpoint_of_transitive_rule_with_a_cycle(spark):
     assert closure.transitive_closure(closure.relation_edges(kb, "r")).count() == 12
 
 
+def test_loops_end_only_when_nothing_is_new(spark):
+    # one step of the chain a round: more rounds than the hypothesis loop once had
+    chain = [(f"n{k}", "next", f"n{k + 1}") for k in range(12)]
+    step = Rule("step", [Pattern([Edge(X, "at", Y), Edge(Y, "next", Z)])], [Template(X, "at", Z)])
+    bad = Rule("bad", [Pattern([Edge(X, "at", Ent("n12"))])], stop=rules.Contradiction)
+    kb = kb_of(spark, chain)
+    assert rules.assume(kb, [step, bad], "I1", "at", ["n11", "n0"])[1] == ["n0"]
+    with pytest.raises(closure.RoundLimit):
+        rules.fixpoint(kb_of(spark, [*chain, ("I1", "at", "n0")]), [step], max_rounds=3)
+    edges = closure.relation_edges(kb, "next").where("a IN ('n0', 'n1', 'n2', 'n3')")
+    with pytest.raises(closure.RoundLimit):
+        closure.transitive_closure(edges, max_rounds=2)
+    assert closure.transitive_closure(edges, max_rounds=3).count() == closure.transitive_closure(edges).count() == 10
+
+
 def test_new_entities_have_content_ids(spark):
     kb = kb_of(spark, [("I1", "is_a", "house"), ("I2", "is_a", "house")])
     rule = Rule("n", [Pattern([Edge(X, "is_a", Ent("house"))])], [Template(New("d", ("x",)), "in", X)])
