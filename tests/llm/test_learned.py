@@ -26,45 +26,45 @@ def corpus(n=60, seed=1):
     return [(k, " ".join(r.choices(vocabulary, k=r.randint(1, 30))), "en", "x", 1) for k in range(n)]
 
 
-@pytest.mark.parametrize("range_tokens", [10**6, 40])
-def test_kneser_ney_equals_brute_force(spark, monkeypatch, range_tokens):
+@pytest.mark.parametrize(("order", "range_tokens"), [(2, 10**6), (3, 10**6), (3, 40), (4, 40)])
+def test_kneser_ney_equals_brute_force(spark, monkeypatch, order, range_tokens):
     monkeypatch.setattr(ngram_model, "RANGE_TOKENS", range_tokens)
     rows = corpus() + ODD
     df = spark.createDataFrame(rows, SCHEMA)
-    trained = [r for r in rows if r[0] % 3]
-    model = ngram_model.train(df.where("doc_id % 3 <> 0"))
-    uni, bi, follow, total = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
-    for _, text, *_ in trained:
-        tokens = [*words(text), None]
-        uni.update(tokens)
-        bi.update(zip(["<s>", *tokens[:-1]], tokens, strict=True))
-    once = collections.defaultdict(lambda: [0, 0, 0])
-    for (v, w), c in bi.items():
-        total[v] += c
-        follow[w] += 1
-        once[v][min(c, 3) - 1] += 1
-
-    def discounts(values):
-        return [0, *ngram_model._discounts([collections.Counter(values)[k] for k in (1, 2, 3, 4)])]
-
-    d2, d1, t, size = discounts(bi.values()), discounts(follow.values()), len(bi), len(uni)
-    share = sum(d1[min(c, 3)] for c in follow.values()) / t
-
-    def p(v, w):
-        lower = (follow[w] - d1[min(follow[w], 3)]) / t + share / (size + 1)
-        if not total[v]:
-            return lower
-        c = bi[v, w]
-        return (c - d2[min(c, 3)]) / total[v] + sum(a * b for a, b in zip(d2[1:], once[v], strict=True)) / total[v] * lower
-
-    assert model.tokens == sum(uni.values()) and model.words == size
+    model = ngram_model.train(df.where("doc_id % 3 <> 0"), order=order)
+
+    def grams(text):
+        tokens = [*words(text), "</s>"]
+        padded = ["<s>"] * (order - 1) + tokens
+        return [tuple(padded[k : k + order]) for k in range(len(tokens))]
+
+    counts = {order: collections.Counter(g for r in rows if r[0] % 3 for g in grams(r[1]))}
+    for level in range(order - 1, 0, -1):  # distinct left neighbours
+        counts[level] = collections.Counter(g[1:] for g in counts[level + 1])
+    discounts = {level: [0, *ngram_model._discounts([collections.Counter(c.values())[k] for k in (1, 2, 3, 4)])] for level, c in counts.items()}
+    followers = collections.defaultdict(list)
+    for c in counts.values():
+        for g, n in c.items():
+            followers[g[:-1], len(g)].append(n)
+    uni = collections.Counter(g[-1] for r in rows if r[0] % 3 for g in grams(r[1]))
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(uni) + 1)
+        level, found = len(gram), followers[gram[:-1], len(gram)]
+        if not found:
+            return p(gram[1:])
+        d, n = discounts[level], counts[level][gram]
+        return (n - d[min(n, 3)]) / sum(found) + sum(d[min(f, 3)] for f in found) / sum(found) * p(gram[1:])
+
+    assert model.tokens == sum(uni.values()) and model.words == len(uni)
     # probabilities of all words, an unknown one among them, add up to one
-    assert abs(sum(p("the", w) for w in [*uni, "unknown"]) - 1) < 1e-9
+    assert abs(sum(p((*["the", "cat", "sat"][1 - order :], w)) for w in [*uni, "unknown"]) - 1) < 1e-9
     for row in ngram_model.score(df, model, F.struct("doc_id", "text")).collect():
-        tokens = [*words(row["carried"]["text"]), None]
-        want = sum(math.log10(p(v, w)) for v, w in zip(["<s>", *tokens[:-1]], tokens, strict=True))
-        assert abs(row["score"] - want) < 1e-8 * max(1, abs(want)) and row["n_tokens"] == len(tokens)
-        assert row["n_known"] == sum(uni[w] > 0 for w in tokens)
+        found = grams(row["carried"]["text"])
+        want = sum(math.log10(p(g)) for g in found)
+        assert abs(row["score"] - want) < 1e-8 * max(1, abs(want)) and row["n_tokens"] == len(found)
+        assert row["n_known"] == sum(uni[g[-1]] > 0 for g in found)
 
 
 def test_model_of_nothing(spark):
