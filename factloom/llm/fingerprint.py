@@ -1,13 +1,17 @@
 """Document fingerprints: sums of vectors hashed from paragraphs, modulo powers of two.
 
 A paragraph is a piece of text up to and with a line feed, or up to the end of a sentence in a line, so that the
-paragraphs of a text join to the text itself. A paragraph's vector has WIDE lanes of 32 bits from independent
-hashes, added modulo 2**32, and SIGNS lanes that hold one bit of one more hash, added modulo 2**21. The sum does not
-depend on the order, and paragraphs are put in or taken out by adding or subtracting their vectors: ``combine``.
-The wide lanes tell equal multisets of paragraphs from others; from the bit lanes, as signs, the inner product of two
-multisets is estimated, and with it their likeness 2 <a, b> / (<a, a> + <b, b>).
-
-All expressions are Spark SQL; a document's paragraphs are summed before the shuffle.
+paragraphs of a text join to the text itself. A paragraph's vector is a one, WIDE lanes of 32 bits and SIGNS lanes of
+one bit, all from hashes with seeds of their own; a text's is the sum of its paragraphs' vectors. Lanes are added modulo
+2**32 (the number of paragraphs modulo 2**62). The sum does not depend on the order, and paragraphs are put in or taken
+out by adding or subtracting their vectors: ``combine`` and ``remove``. The wide lanes tell equal multisets of paragraphs
+from others (two that differ agree with a chance of 2**-256); from the bit lanes, as signs, the inner product of two
+multisets is estimated, and with it their likeness 2 <a, b> / (<a, a> + <b, b>), with a standard error of about
+sqrt(2 / SIGNS) at worst, 0.125.
+
+A vector is an array of longs: the number, then two lanes a long. While a text is summed no lane can run over into
+another: a bit lane counts at most the text's paragraphs, fewer than 2**31, and a wide lane has a long for itself. All
+expressions are Spark SQL; a text is summed where it stands, by one aggregate over its paragraphs, before any shuffle.
 """
 
 from __future__ import annotations
@@ -16,58 +20,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, text_or_empty, written
+from .common import partitions, text_or_empty
 
+#: Lanes of 32 bits, and of one bit; a hash gives two of the first or 64 of the second.
 WIDE = 8
-#: Three bit lanes of 21 bits share a long.
-PACKED = 21
-SIGNS = 3 * PACKED
-_LANE = 2**21
-#: Every 21st bit, three of them: what one long adds to its three lanes.
-_SPREAD = 1 | 1 << 21 | 1 << 42
+SIGNS = 128
+_HASHES, _BITS = WIDE // 2, SIGNS // 64
+#: The lower lane of a long, and the lowest bit of either lane.
+_LANE = 2**32 - 1
+_SPREAD = 1 | 1 << 32
 #: A paragraph ends after a line feed, or after a full stop, question or exclamation mark and the spaces that follow.
 PARAGRAPH_END = r"(?<=\n)|(?<=[.!?] )"
 
 
 def paragraphs(text: Column) -> Column:
-    """The text cut after each paragraph's end; the empty text has none."""
-    return F.filter(F.split(text, PARAGRAPH_END), lambda p: p != "")
+    """The text cut after each paragraph's end; the last may be empty and counts nothing."""
+    return F.split(text, PARAGRAPH_END)
+
+
+def _hashes(paragraph: Column) -> Column:
+    """Independent 64-bit hashes: the seed goes in before the paragraph, so that two that meet under one seed part under others."""
+    return F.array(*[F.xxhash64(F.lit(k), paragraph) for k in range(_HASHES + _BITS)])
+
+
+def _raw(text: Column) -> Column:
+    """Sums over a text's paragraphs: their number, each wide lane, the bit lanes two a long."""
+
+    def add(total: Column, paragraph: Column) -> Column:
+        def with_hashes(h: Column) -> Column:
+            out = [total[0] + 1]
+            for k in range(_HASHES):
+                out += [total[1 + 2 * k] + h[k].bitwiseAND(F.lit(_LANE)), total[2 + 2 * k] + F.shiftrightunsigned(h[k], 32)]
+            for k in range(_BITS * 32):
+                out.append(total[1 + WIDE + k] + F.shiftrightunsigned(h[_HASHES + k // 32], k % 32).bitwiseAND(F.lit(_SPREAD)))
+            return F.array(*out)
+
+        return F.when(paragraph == "", total).otherwise(F.transform(F.array(_hashes(paragraph)), with_hashes)[0])
+
+    return F.aggregate(paragraphs(text), F.array_repeat(F.lit(0).cast("long"), 1 + WIDE + _BITS * 32), add)
 
 
-def _lanes(paragraph: Column) -> list[Column]:
-    """Aggregates over paragraphs: their number, the wide sums, the packed bit sums."""
-    hashes = [F.xxhash64(paragraph, F.lit(k)) for k in range(WIDE // 2 + 1)]
-    out = [F.count(paragraph)]
-    for h in hashes[:-1]:
-        out += [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(h, 32))]
-    out = [out[0], *(F.pmod(c, F.lit(2**32)) for c in out[1:])]
-    bits = hashes[-1]
-    for k in range(PACKED):
-        out.append(F.sum(F.shiftrightunsigned(bits, k).bitwiseAND(F.lit(_SPREAD))))
-    return [F.coalesce(c, F.lit(0).cast("long")) for c in out]
+def _pair(low: Column, high: Column) -> Column:
+    return low.bitwiseAND(F.lit(_LANE)).bitwiseOR(F.shiftleft(high, 32))
 
 
-def _named(columns: list[Column]) -> list[Column]:
-    names = ["n", *(f"w{k}" for k in range(WIDE)), *(f"b{k}" for k in range(PACKED))]
-    return [c.alias(name) for c, name in zip(columns, names, strict=True)]
+def vector(text: Column) -> Column:
+    """The vector of a text: number of paragraphs, wide lanes, bit lanes; null for a null text."""
+    return F.transform(F.array(_raw(text)), lambda r: F.concat(F.array(r[0], *[_pair(r[1 + 2 * k], r[2 + 2 * k]) for k in range(_HASHES)]), F.slice(r, 2 + WIDE, _BITS * 32)))[0]
 
 
-def _vector() -> Column:
-    """One array: the number, the wide lanes, the bit lanes (modulo 2**21)."""
-    wide = [F.col(f"w{k}") for k in range(WIDE)]
-    bits = [F.shiftright(F.col(f"b{k}"), 21 * j).bitwiseAND(F.lit(_LANE - 1)) for j in range(3) for k in range(PACKED)]
-    return F.array(F.col("n"), *wide, *bits)
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(_LANE))
 
 
-def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys`` and ``vector`` of the text of each row; rows with equal keys are summed as one multiset."""
-    parts = rows.select(*keys, F.explode_outer(paragraphs(F.col(text))).alias("paragraph"))
-    return parts.groupBy(*keys).agg(*_named(_lanes(F.col("paragraph")))).select(*keys, _vector().alias("vector"))
+def _high(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 32)
 
 
 def _apply(a: Column, b: Column, sign: int) -> Column:
-    power = lambda i: F.when(i == 0, F.lit(2**62)).when(i <= WIDE, F.lit(2**32)).otherwise(F.lit(_LANE))
-    return F.transform(a, lambda x, i: F.pmod(x + sign * F.get(b, i), power(i)))
+    lanes = F.zip_with(a, b, lambda x, y: _pair(F.pmod(_low(x) + sign * _low(y), F.lit(2**32)), F.pmod(_high(x) + sign * _high(y), F.lit(2**32))))
+    return F.concat(F.array(F.pmod(a[0] + sign * b[0], F.lit(2**62))), F.slice(lanes, 2, _HASHES + _BITS * 32))
 
 
 def combine(a: Column, b: Column) -> Column:
@@ -80,66 +92,104 @@ def remove(a: Column, b: Column) -> Column:
     return _apply(a, b, -1)
 
 
+def combined(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``keys`` and the sum of all vectors ``column`` of their rows, for collections of any size.
+
+    Lanes are added one by one, each in a long of its own, so 2**31 rows of a key are summed without overflow; rows are
+    added up before the shuffle, so a key that most rows have is no hot spot.
+    """
+    size = 1 + _HASHES + _BITS * 32
+    lanes = [F.sum(F.get(column, 0)).alias("n")]
+    for k in range(1, size):
+        lanes += [F.sum(_low(F.get(column, k))).alias(f"l{k}"), F.sum(_high(F.get(column, k))).alias(f"h{k}")]
+    added = rows.groupBy(*keys).agg(*lanes)
+    return added.select(*keys, F.array(F.pmod("n", F.lit(2**62)), *[_pair(F.col(f"l{k}"), F.col(f"h{k}")) for k in range(1, size)]).alias(column))
+
+
 def encode(vector: Column) -> Column:
-    """The vector as text: count and lanes in hexadecimal, at a fixed width."""
-    return F.concat_ws("", F.transform(vector, lambda x, i: F.lpad(F.lower(F.hex(x)), F.when(i == 0, 16).when(i <= WIDE, 8).otherwise(6), F.lit("0"))))
+    """The vector as text in hexadecimal: number and wide lanes, then the bit lanes modulo 2**16."""
+    short = lambda x: F.shiftleft(_high(x).bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(x.bitwiseAND(F.lit(0xFFFF)))
+    head = F.transform(F.slice(vector, 1, 1 + _HASHES), lambda x: F.lpad(F.hex(x), 16, "0"))
+    return F.lower(F.array_join(F.concat(head, F.transform(F.slice(vector, 2 + _HASHES, _BITS * 32), lambda x: F.lpad(F.hex(short(x)), 8, "0"))), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated 2 <a, b> / (<a, a> + <b, b>), 0 to 1; exactly 1 for equal vectors."""
-    signs = lambda v: F.transform(F.slice(v, WIDE + 2, SIGNS), lambda x: 2.0 * x - F.get(v, 0))
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda v: _likeness(v["a"], v["b"]))[0]
+
+
+def _likeness(a: Column, b: Column) -> Column:
+    signs = lambda v: F.slice(v, 2 + _HASHES, _BITS * 32)
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-    x, y = signs(a), signs(b)
-    cross = total(F.zip_with(x, y, lambda p, q: p * q))
-    square = total(F.zip_with(x, y, lambda p, q: p * p + q * q))
-    return F.when(a == b, F.lit(1.0)).when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * cross / square))).otherwise(F.lit(0.0))
+    low = lambda x, v: 2.0 * _low(x) - v[0]
+    high = lambda x, v: 2.0 * _high(x) - v[0]
+    cross = total(F.zip_with(signs(a), signs(b), lambda x, y: low(x, a) * low(y, b) + high(x, a) * high(y, b)))
+    square = lambda v: total(F.transform(signs(v), lambda x: low(x, v) * low(x, v) + high(x, v) * high(x, v)))
+    whole = square(a) + square(b)
+    return F.when(a == b, F.lit(1.0)).when(whole > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * cross / whole))).otherwise(F.lit(0.0))
 
 
-def edited_pairs(docs: DataFrame) -> DataFrame:
-    """id, text, next_id, edited: each text with its second half replaced by the beginning of the next document.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, tie, ...) with ``part`` and ``last``: ranges of (id, tie), each ended by a copy of the next range's first row.
 
-    Documents are dealt by ranges of the id and sorted within a range, so each text is shuffled once. The bounds of
-    the ranges and the first document of each are all that is gathered, one row a range.
+    The borders are quantiles of the id; an id that takes up several quantiles is a range by itself and is cut into so many
+    pieces by its ``tie``. A row finds its range by bisection. One row a range is gathered.
+    """
+    n = 4 * partitions(rows.sparkSession)
+    bounds = sorted(int(b) for b in rows.where("id IS NOT NULL").approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n))
+    # an empty or null id sorts before the first border
+    hot = {b: bounds.count(b) for b in set(bounds) if bounds.count(b) > 1}
+    bounds = sorted({*bounds, *(b + 1 for b in hot if b < 2**63 - 1)})
+    pieces = [1, *(hot.get(b, 1) for b in bounds)]
+    most = max(pieces)
+    if bounds:
+        listed, steps = F.array(*map(F.lit, bounds)), [1 << k for k in reversed(range(len(bounds).bit_length()))]
+        at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when(F.get(listed, a + s - 1) <= F.col("id"), a + s).otherwise(a))
+    else:
+        at = F.lit(0)
+    cut = F.get(F.array(*map(F.lit, pieces)), F.col("at"))
+    piece = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * cut).cast("int")
+    placed = rows.withColumn("at", at).withColumn("part", F.col("at") * most + F.least(piece, cut - 1)).drop("at")
+    firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "tie")).alias("first")).orderBy("part").collect()
+    if not firsts:
+        return placed.withColumn("last", F.lit(False))
+    order = [r["part"] for r in firsts]
+    size = max(order) + 1
+    ids, ties, before = [None] * size, [None] * size, [0] * size
+    for k, r in enumerate(firsts):
+        ids[r["part"]], ties[r["part"]], before[r["part"]] = r["first"]["id"], r["first"]["tie"], order[k - 1]
+    of = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("part"))
+    is_first = F.col("id").eqNullSafe(of(ids, "long")) & F.col("tie").eqNullSafe(of(ties, "long"))
+    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("last"))
+    copy = F.struct(of(before, "int").alias("part"), F.lit(True).alias("last"))
+    return placed.withColumn("to", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own)))).withColumn("part", F.col("to.part")).withColumn("last", F.col("to.last")).drop("to")
+
+
+def edited_pairs(docs: DataFrame, *more: Column) -> DataFrame:
+    """id, text, next_id, edited, with ``more`` columns of each row and, named next_..., of the next.
+
+    The next row is that with the next id, then hash of the text, then text; after the last comes the first. ``edited`` is
+    the text with its second half replaced by the beginning of the next text. Each text is shuffled once; see ``_dealt``.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id IS NOT NULL")
-    n = 4 * partitions(spark)
-    bounds = [int(b) for b in rows.approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n)]
-    bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
-    dealt = rows.withColumn("part", part)
-    starts = dealt.groupBy("part").agg(F.min("id").alias("start")).orderBy("start").collect()  # a row a range
-    if not starts:
-        return rows.select("id", "text", F.col("id").alias("next_id"), F.col("text").alias("edited"))
-    after = {r["part"]: starts[(k + 1) % len(starts)]["start"] for k, r in enumerate(starts)}
-    table = spark.createDataFrame([(int(p), int(s)) for p, s in after.items()], "part int, next_start long")
-    heads = rows.join(F.broadcast(table.select(F.col("next_start").alias("id"))), "id", "left_semi").groupBy(F.col("id").alias("next_start")).agg(F.min("text").alias("next_head"))
-    heads = table.join(heads, "next_start")
-    order = Window.partitionBy("part").orderBy("id", "text")
-    led = dealt.withColumn("next_id", F.lead("id").over(order)).withColumn("next_text", F.lead("text").over(order))
-    last = led.where("next_id IS NULL").join(heads, "part")
-    both = led.where("next_id IS NOT NULL").select("id", "text", "next_id", "next_text").unionByName(
-        last.select("id", "text", F.col("next_start").alias("next_id"), F.col("next_head").alias("next_text"))
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    rows = rows.select("id", "text", F.xxhash64("text").alias("tie"), *more)
+    names = [c for c in rows.columns if c != "tie"]
+    order = Window.partitionBy("part").orderBy("last", F.asc_nulls_first("id"), "tie", "text")
+    led = _dealt(rows).select("last", *names, *[F.lead(c).over(order).alias(f"next_{c}") for c in names]).where("NOT last").drop("last")
     half = F.floor(F.length("text") / 2).cast("int")
-    return both.select("id", "text", "next_id", F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 2)))"), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    edited = F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 2)))"), F.substring("next_text", F.lit(1), half))
+    return led.withColumn("edited", edited).drop("next_text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and how alike they are.
 
-    A null text is empty; a row with a null id is left out. The next document is the next row by id, then text; a
-    single document is its own next.
+    A null text is empty. The next document is the next row by id (null before all), then hash of the text, then text; rows that
+    repeat an id are documents of their own. A single document is its own next. Other columns are not read.
     """
-    pairs = edited_pairs(docs).withColumn("n_chars", F.length("text").cast("long"))
-    pairs = pairs.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("row", F.monotonically_increasing_id())
-    both = pairs.select("id", "next_id", "n_chars", "edited_sha256", "row", F.posexplode(F.array("text", "edited")).alias("which", "one"))
-    summed = vectors(both, ["id", "next_id", "n_chars", "edited_sha256", "row", "which"], "one")
-    keys = ["id", "next_id", "n_chars", "edited_sha256", "row"]
-    one = summed.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("vector"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("vector"))).alias("changed"))
-    one = written(one, "fingerprints")
-    following = one.groupBy(F.col("id").alias("next_id")).agg(F.min_by("own", "row").alias("following"))
-    return one.join(following, "next_id").select(
+    pairs = edited_pairs(docs, vector(F.col("text")).alias("own"))
+    pairs = pairs.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "next_own", vector(F.col("edited")).alias("changed"))
+    return pairs.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", encode(F.col("own")).alias("fingerprint"), encode(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )

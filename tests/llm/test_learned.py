@@ -7,10 +7,11 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from factloom.llm import chat_format, language_id, licences, ngram_model
-from factloom.llm.fingerprint import combine, fingerprints, remove, vectors
+from factloom.llm.fingerprint import SIGNS, WIDE, combine, combined, edited_pairs, fingerprints, likeness, remove, vector
 
 SCHEMA = "doc_id long, text string, lang string, carried string, row int"
 ODD = [(900, None, "en", "x", 1), (901, "", None, "x", 1), (902, "  \n\t ", "de", "x", 1), (903, "a", "en", "x", 1), (904, "1234 !!", "en", "x", 1), (903, "a", "en", "x", 1), (905, "long " * 60000, "en", "x", 1)]
@@ -73,6 +74,25 @@ def test_model_of_nothing(spark):
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in ngram_model.score(df, model, F.col("doc_id")).collect())
 
 
+def exact_vector(text):
+    """Number, wide lanes and bit lanes of a text, two lanes a long, from the standard hash."""
+    lanes = [0] * (WIDE + SIGNS)
+    found = [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", text) if x]
+    for x in found:
+        h = [xxhash.xxh64_intdigest(x.encode(), xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)) for k in range(WIDE // 2 + SIGNS // 64)]
+        for k in range(WIDE):
+            lanes[k] = (lanes[k] + (h[k // 2] >> 32 * (k % 2) & 0xFFFFFFFF)) % 2**32
+        for k in range(SIGNS):
+            lanes[WIDE + k] += h[WIDE // 2 + k // 64] >> (k % 64 // 2 + 32 * (k % 2)) & 1
+    longs = [lanes[k] | lanes[k + 1] << 32 for k in range(0, WIDE + SIGNS, 2)]
+    return [len(found), *(x - 2**64 if x >> 63 else x for x in longs)]
+
+
+def exact_likeness(a, b):
+    x, y = (collections.Counter(p for p in re.split(r"(?<=\n)|(?<=[.!?] )", t) if p) for t in (a, b))
+    return 2 * sum(n * y[p] for p, n in x.items()) / sum(n * n for c in (x, y) for n in c.values())
+
+
 def test_fingerprints(spark):
     rows = [(k, t, "en", "x", 1) for k, t in enumerate(["A b. C d.\nE f. G!\n", "E f. G!\nA b. C d.\n", "A b. C d.\nE f. G!\n", None, "", "x", "éü😀 a"])]
     out = {r["doc_id"]: r for r in fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -85,15 +105,48 @@ def test_fingerprints(spark):
     assert out[3]["fingerprint"] == out[4]["fingerprint"]
     assert out[3]["near_next"] == 1.0
     assert fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert fingerprints(spark.createDataFrame(rows[:1], SCHEMA)).first()["near_next"] == 1.0
 
 
-def test_vectors_do_not_depend_on_order_and_take_edits(spark):
-    df = spark.createDataFrame([(0, "a. b. c.\nd.\n"), (1, "d.\na. b. c.\n"), (2, "a. b. c.\n"), (3, "d.\n")], "k int, text string")
-    v = vectors(df, ["k"], "text")
-    wide = {r["k"]: r["vector"] for r in v.collect()}
-    a, b, c = (v.where(f"k = {k}").select(F.col("vector").alias(f"v{k}")) for k in (0, 2, 3))
-    row = a.crossJoin(b).crossJoin(c).select(combine(F.col("v2"), F.col("v3")).alias("sum"), remove(F.col("v0"), F.col("v3")).alias("rest")).first()
-    assert row["sum"] == wide[0] and row["rest"] == wide[2]
+def test_next_document_across_ranges_hot_and_null_ids(spark):
+    r = random.Random(3)
+    rows = [(r.randrange(10**6), "a. " * r.randrange(4) + f"t{k}. ", "en", "x", 1) for k in range(300)] + [(77, f"hot {k}. ", "en", "x", 1) for k in range(200)] + [(None, f"none {k}. ", "en", "x", 1) for k in range(3)]
+    rows = list({x[0]: x for x in rows if x[0] not in (77, None)}.values()) + [x for x in rows if x[0] in (77, None)]
+    r.shuffle(rows)
+    out = [tuple(x) for x in edited_pairs(spark.createDataFrame(rows, SCHEMA).repartition(7)).select("id", "text", "next_id", "edited").collect()]
+    signed = lambda t: (lambda h: h - 2**64 if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(((x[0], x[1]) for x in rows), key=lambda x: (x[0] is not None, x[0] or 0, signed(x[1])))
+    want = []
+    for k, (key, text) in enumerate(order):
+        after = order[(k + 1) % len(order)]
+        half = len(text) // 2
+        want.append((key, text, after[0], text[: len(text) - half] + after[1][:half]))
+    assert sorted(out, key=str) == sorted(want, key=str)
+
+
+def test_vectors_equal_brute_force_and_likeness_is_near(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice(["one. ", "two\n", "three! ", f"own {k}\n", "four\n"]) for _ in range(r.randrange(1, 60))) for k in range(40)] + ["", "no end", "\n" * 70]
+    got = [x["v"] for x in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(1).sort("k").select(vector(F.col("t")).alias("v")).collect()]
+    assert got == [exact_vector(t) for t in texts]
+    bases = [[f"{k} {j}. " for j in range(40)] for k in range(60)]
+    pairs = [("".join(b), "".join(b[: len(b) - n] + [f"new {n} {x}" for x in b[:n]])) for b in bases for n in (0, 10, 20, 40)]
+    near = [x["n"] for x in spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").repartition(1).sort("k").select(likeness(vector(F.col("a")), vector(F.col("b"))).alias("n")).collect()]
+    errors = [n - exact_likeness(*p) for n, p in zip(near, pairs, strict=True)]
+    assert max(map(abs, errors)) < 0.5 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.125
+
+
+def test_vectors_of_very_many_paragraphs_and_collections(spark):
+    v = spark.range(1).select(vector(F.repeat(F.lit("\n"), 5_000_000)).alias("v")).first()["v"]
+    one = exact_vector("\n")
+    for k, (many, single) in enumerate(zip(v[1:], one[1:], strict=True)):
+        for shift in (0, 32):
+            assert many >> shift & 0xFFFFFFFF == (single >> shift & 0xFFFFFFFF) * 5_000_000 % 2**32, k
+    df = spark.createDataFrame([(0, "a. b. c.\nd.\n"), (1, "d.\na. b. c.\n"), (2, "a. b. c.\n"), (3, "d.\n")], "k int, text string").select("k", vector(F.col("text")).alias("v"))
+    a, b, c, d = (x["v"] for x in df.orderBy("k").collect())
+    row = spark.createDataFrame([(a, c, d)], "a array<long>, c array<long>, d array<long>").select(combine(F.col("c"), F.col("d")).alias("sum"), remove(F.col("a"), F.col("d")).alias("rest")).first()
+    assert a == b == row["sum"] and row["rest"] == c
+    assert combined(df.where("k > 1").withColumn("g", F.lit(1)), ["g"], "v").first()["v"] == a
 
 
 def test_language_id_on_held_out_and_odd_rows(spark):
