@@ -1,17 +1,17 @@
 """Document fingerprints: sums of vectors hashed from paragraphs, modulo powers of two.
 
 A paragraph is a piece of text up to and with a line feed, or up to the end of a sentence in a line, so that the
-paragraphs of a text join to the text itself. A paragraph's vector is a one, WIDE lanes of 32 bits and SIGNS lanes of
-one bit, all from hashes with seeds of their own; a text's is the sum of its paragraphs' vectors. Lanes are added modulo
-2**32 (the number of paragraphs modulo 2**62). The sum does not depend on the order, and paragraphs are put in or taken
-out by adding or subtracting their vectors: ``combine`` and ``remove``. The wide lanes tell equal multisets of paragraphs
-from others (two that differ agree with a chance of 2**-256); from the bit lanes, as signs, the inner product of two
-multisets is estimated, and with it their likeness 2 <a, b> / (<a, a> + <b, b>), with a standard error of about
-sqrt(2 / SIGNS) at worst, 0.125.
-
-A vector is an array of longs: the number, then two lanes a long. While a text is summed no lane can run over into
-another: a bit lane counts at most the text's paragraphs, fewer than 2**31, and a wide lane has a long for itself. All
-expressions are Spark SQL; a text is summed where it stands, by one aggregate over its paragraphs, before any shuffle.
+paragraphs of a text join to the text itself. A paragraph's vector is a one, WIDE lanes of 61 bits and SIGNS lanes of
+one bit, all from hashes with seeds of their own; a text's is the sum of its paragraphs' vectors. Wide lanes are added
+modulo 2**61, bit lanes modulo 2**32, the number of paragraphs modulo 2**62. The sum does not depend on the order, and
+paragraphs are put in or taken out by adding or subtracting their vectors: ``combine`` and ``remove``. The wide lanes tell
+equal multisets of paragraphs from others (two that differ agree with a chance of 2**-244); from the bit lanes, as signs,
+the inner product of two multisets is estimated, and with it their likeness 2 <a, b> / (<a, a> + <b, b>), with a standard
+error of sqrt(2 / SIGNS) at worst, 0.125.
+
+A vector is an array of longs: the number, the wide lanes, then two bit lanes a long. A text is summed where it stands, by
+aggregates over its paragraphs, before any shuffle: CHUNK paragraphs at a time with eight bit lanes a long, which so few
+cannot make run over, and then into lanes of 32 bits, more than a text can have paragraphs. All expressions are Spark SQL.
 """
 
 from __future__ import annotations
@@ -22,13 +22,16 @@ from pyspark.sql.window import Window
 
 from .common import partitions, text_or_empty
 
-#: Lanes of 32 bits, and of one bit; a hash gives two of the first or 64 of the second.
-WIDE = 8
+#: Lanes of 61 bits, one a hash, and of one bit, 64 a hash; paragraphs that are summed with eight bit lanes a long.
+WIDE = 4
 SIGNS = 128
-_HASHES, _BITS = WIDE // 2, SIGNS // 64
-#: The lower lane of a long, and the lowest bit of either lane.
+CHUNK = 127
+_HASHES = WIDE + SIGNS // 64
+_WIDE_MASK = 2**61 - 1
+#: The lower of two lanes of a long; the lowest bit of eight lanes; the lowest and the fifth byte.
 _LANE = 2**32 - 1
-_SPREAD = 1 | 1 << 32
+_EIGHT = 0x0101010101010101
+_TWO = 0x000000FF000000FF
 #: A paragraph ends after a line feed, or after a full stop, question or exclamation mark and the spaces that follow.
 PARAGRAPH_END = r"(?<=\n)|(?<=[.!?] )"
 
@@ -38,35 +41,54 @@ def paragraphs(text: Column) -> Column:
     return F.split(text, PARAGRAPH_END)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _hashes(paragraph: Column) -> Column:
     """Independent 64-bit hashes: the seed goes in before the paragraph, so that two that meet under one seed part under others."""
-    return F.array(*[F.xxhash64(F.lit(k), paragraph) for k in range(_HASHES + _BITS)])
+    return F.array(*[F.xxhash64(F.lit(k), paragraph) for k in range(_HASHES)])
+
 
+def _zeros(n: int) -> Column:
+    return F.array_repeat(F.lit(0).cast("long"), n)
 
-def _raw(text: Column) -> Column:
-    """Sums over a text's paragraphs: their number, each wide lane, the bit lanes two a long."""
+
+def _chunk(found: Column) -> Column:
+    """Sums over CHUNK paragraphs at most: their number, the wide lanes, the bit lanes eight a long."""
 
     def add(total: Column, paragraph: Column) -> Column:
         def with_hashes(h: Column) -> Column:
-            out = [total[0] + 1]
-            for k in range(_HASHES):
-                out += [total[1 + 2 * k] + h[k].bitwiseAND(F.lit(_LANE)), total[2 + 2 * k] + F.shiftrightunsigned(h[k], 32)]
-            for k in range(_BITS * 32):
-                out.append(total[1 + WIDE + k] + F.shiftrightunsigned(h[_HASHES + k // 32], k % 32).bitwiseAND(F.lit(_SPREAD)))
+            out = [total[0] + 1] + [F.pmod(total[1 + k] + h[k].bitwiseAND(F.lit(_WIDE_MASK)), F.lit(2**61)) for k in range(WIDE)]
+            for k in range(SIGNS // 8):
+                bits = h[WIDE + k // 8]
+                out.append(total[1 + WIDE + k] + (F.shiftrightunsigned(bits, k % 8) if k % 8 else bits).bitwiseAND(F.lit(_EIGHT)))
             return F.array(*out)
 
-        return F.when(paragraph == "", total).otherwise(F.transform(F.array(_hashes(paragraph)), with_hashes)[0])
+        return F.when(paragraph == "", total).otherwise(_let(_hashes(paragraph), with_hashes))
 
-    return F.aggregate(paragraphs(text), F.array_repeat(F.lit(0).cast("long"), 1 + WIDE + _BITS * 32), add)
-
-
-def _pair(low: Column, high: Column) -> Column:
-    return low.bitwiseAND(F.lit(_LANE)).bitwiseOR(F.shiftleft(high, 32))
+    return F.aggregate(found, _zeros(1 + WIDE + SIGNS // 8), add)
 
 
 def vector(text: Column) -> Column:
     """The vector of a text: number of paragraphs, wide lanes, bit lanes; null for a null text."""
-    return F.transform(F.array(_raw(text)), lambda r: F.concat(F.array(r[0], *[_pair(r[1 + 2 * k], r[2 + 2 * k]) for k in range(_HASHES)]), F.slice(r, 2 + WIDE, _BITS * 32)))[0]
+
+    def add(total: Column, c: Column) -> Column:
+        out = [total[0] + c[0]] + [F.pmod(total[1 + k] + c[1 + k], F.lit(2**61)) for k in range(WIDE)]
+        for k in range(SIGNS // 2):
+            out.append(total[1 + WIDE + k] + F.shiftrightunsigned(c[1 + WIDE + k // 4], 8 * (k % 4)).bitwiseAND(F.lit(_TWO)))
+        return F.array(*out)
+
+    def summed(found: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(found), F.lit(CHUNK))
+        return F.aggregate(starts, _zeros(1 + WIDE + SIGNS // 2), lambda total, at: _let(_chunk(F.slice(found, at, F.lit(CHUNK))), lambda c: add(total, c)))
+
+    return F.when(text.isNotNull(), _let(paragraphs(text), summed))
+
+
+def _pair(low: Column, high: Column) -> Column:
+    return low.bitwiseAND(F.lit(_LANE)).bitwiseOR(F.shiftleft(high, 32))
 
 
 def _low(x: Column) -> Column:
@@ -78,8 +100,8 @@ def _high(x: Column) -> Column:
 
 
 def _apply(a: Column, b: Column, sign: int) -> Column:
-    lanes = F.zip_with(a, b, lambda x, y: _pair(F.pmod(_low(x) + sign * _low(y), F.lit(2**32)), F.pmod(_high(x) + sign * _high(y), F.lit(2**32))))
-    return F.concat(F.array(F.pmod(a[0] + sign * b[0], F.lit(2**62))), F.slice(lanes, 2, _HASHES + _BITS * 32))
+    lanes = F.zip_with(F.slice(a, 2 + WIDE, SIGNS // 2), F.slice(b, 2 + WIDE, SIGNS // 2), lambda x, y: _pair(F.pmod(_low(x) + sign * _low(y), F.lit(2**32)), F.pmod(_high(x) + sign * _high(y), F.lit(2**32))))
+    return F.concat(F.array(F.pmod(a[0] + sign * b[0], F.lit(2**62)), *[F.pmod(a[k] + sign * b[k], F.lit(2**61)) for k in range(1, 1 + WIDE)]), lanes)
 
 
 def combine(a: Column, b: Column) -> Column:
@@ -95,31 +117,34 @@ def remove(a: Column, b: Column) -> Column:
 def combined(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """``keys`` and the sum of all vectors ``column`` of their rows, for collections of any size.
 
-    Lanes are added one by one, each in a long of its own, so 2**31 rows of a key are summed without overflow; rows are
-    added up before the shuffle, so a key that most rows have is no hot spot.
+    Longs are added in halves of 32 bits, so 2**31 rows of a key are summed without overflow; rows are added up before
+    the shuffle, so a key that most rows have is no hot spot.
     """
-    size = 1 + _HASHES + _BITS * 32
-    lanes = [F.sum(F.get(column, 0)).alias("n")]
-    for k in range(1, size):
-        lanes += [F.sum(_low(F.get(column, k))).alias(f"l{k}"), F.sum(_high(F.get(column, k))).alias(f"h{k}")]
+    size = 1 + WIDE + SIGNS // 2
+    lanes = [F.sum(f(F.get(column, k))).alias(f"{name}{k}") for k in range(size) for name, f in (("l", _low), ("h", _high))]
     added = rows.groupBy(*keys).agg(*lanes)
-    return added.select(*keys, F.array(F.pmod("n", F.lit(2**62)), *[_pair(F.col(f"l{k}"), F.col(f"h{k}")) for k in range(1, size)]).alias(column))
+
+    def whole(k: int, power: int) -> Column:
+        return F.pmod(F.pmod(F.col(f"h{k}"), F.lit(2 ** (power - 32))) * 2**32 + F.pmod(F.col(f"l{k}"), F.lit(2**62)), F.lit(2**power))
+
+    longs = [whole(0, 62), *(whole(k, 61) for k in range(1, 1 + WIDE)), *(_pair(F.col(f"l{k}"), F.col(f"h{k}")) for k in range(1 + WIDE, size))]
+    return added.select(*keys, F.array(*longs).alias(column))
 
 
 def encode(vector: Column) -> Column:
     """The vector as text in hexadecimal: number and wide lanes, then the bit lanes modulo 2**16."""
     short = lambda x: F.shiftleft(_high(x).bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(x.bitwiseAND(F.lit(0xFFFF)))
-    head = F.transform(F.slice(vector, 1, 1 + _HASHES), lambda x: F.lpad(F.hex(x), 16, "0"))
-    return F.lower(F.array_join(F.concat(head, F.transform(F.slice(vector, 2 + _HASHES, _BITS * 32), lambda x: F.lpad(F.hex(short(x)), 8, "0"))), ""))
+    head = F.transform(F.slice(vector, 1, 1 + WIDE), lambda x: F.lpad(F.hex(x), 16, "0"))
+    return F.lower(F.array_join(F.concat(head, F.transform(F.slice(vector, 2 + WIDE, SIGNS // 2), lambda x: F.lpad(F.hex(short(x)), 8, "0"))), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated 2 <a, b> / (<a, a> + <b, b>), 0 to 1; exactly 1 for equal vectors."""
-    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda v: _likeness(v["a"], v["b"]))[0]
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda v: _likeness(v["a"], v["b"]))
 
 
 def _likeness(a: Column, b: Column) -> Column:
-    signs = lambda v: F.slice(v, 2 + _HASHES, _BITS * 32)
+    signs = lambda v: F.slice(v, 2 + WIDE, SIGNS // 2)
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
     low = lambda x, v: 2.0 * _low(x) - v[0]
     high = lambda x, v: 2.0 * _high(x) - v[0]

@@ -76,16 +76,17 @@ def test_model_of_nothing(spark):
 
 def exact_vector(text):
     """Number, wide lanes and bit lanes of a text, two lanes a long, from the standard hash."""
-    lanes = [0] * (WIDE + SIGNS)
+    wide, lanes = [0] * WIDE, [0] * SIGNS
     found = [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", text) if x]
     for x in found:
-        h = [xxhash.xxh64_intdigest(x.encode(), xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)) for k in range(WIDE // 2 + SIGNS // 64)]
-        for k in range(WIDE):
-            lanes[k] = (lanes[k] + (h[k // 2] >> 32 * (k % 2) & 0xFFFFFFFF)) % 2**32
-        for k in range(SIGNS):
-            lanes[WIDE + k] += h[WIDE // 2 + k // 64] >> (k % 64 // 2 + 32 * (k % 2)) & 1
-    longs = [lanes[k] | lanes[k + 1] << 32 for k in range(0, WIDE + SIGNS, 2)]
-    return [len(found), *(x - 2**64 if x >> 63 else x for x in longs)]
+        h = [xxhash.xxh64_intdigest(x.encode(), xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)) for k in range(WIDE + SIGNS // 64)]
+        wide = [(w + v % 2**61) % 2**61 for w, v in zip(wide, h, strict=False)]
+        for k in range(SIGNS):  # long 4 * shift + byte of a hash has that bit of that byte, and of the fourth byte after
+            long, upper = divmod(k, 2)
+            shift, byte = divmod(long % 32, 4)
+            lanes[k] += h[WIDE + long // 32] >> (shift + 8 * byte + 32 * upper) & 1
+    longs = [lanes[k] | lanes[k + 1] << 32 for k in range(0, SIGNS, 2)]
+    return [len(found), *wide, *(x - 2**64 if x >> 63 else x for x in longs)]
 
 
 def exact_likeness(a, b):
@@ -126,7 +127,7 @@ def test_next_document_across_ranges_hot_and_null_ids(spark):
 
 def test_vectors_equal_brute_force_and_likeness_is_near(spark):
     r = random.Random(5)
-    texts = ["".join(r.choice(["one. ", "two\n", "three! ", f"own {k}\n", "four\n"]) for _ in range(r.randrange(1, 60))) for k in range(40)] + ["", "no end", "\n" * 70]
+    texts = ["".join(r.choice(["one. ", "two\n", "three! ", f"own {k}\n", "four\n"]) for _ in range(r.randrange(1, 60))) for k in range(40)] + ["", "no end", "\n" * 700]
     got = [x["v"] for x in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(1).sort("k").select(vector(F.col("t")).alias("v")).collect()]
     assert got == [exact_vector(t) for t in texts]
     bases = [[f"{k} {j}. " for j in range(40)] for k in range(60)]
@@ -137,11 +138,11 @@ def test_vectors_equal_brute_force_and_likeness_is_near(spark):
 
 
 def test_vectors_of_very_many_paragraphs_and_collections(spark):
-    v = spark.range(1).select(vector(F.repeat(F.lit("\n"), 5_000_000)).alias("v")).first()["v"]
+    n = 2_200_000  # more than 2**21
+    v = spark.range(1).select(vector(F.repeat(F.lit("\n"), n)).alias("v")).first()["v"]
     one = exact_vector("\n")
-    for k, (many, single) in enumerate(zip(v[1:], one[1:], strict=True)):
-        for shift in (0, 32):
-            assert many >> shift & 0xFFFFFFFF == (single >> shift & 0xFFFFFFFF) * 5_000_000 % 2**32, k
+    assert v[: 1 + WIDE] == [n, *(x * n % 2**61 for x in one[1 : 1 + WIDE])]
+    assert [x >> s & 0xFFFFFFFF for x in v[1 + WIDE :] for s in (0, 32)] == [(x >> s & 0xFFFFFFFF) * n for x in one[1 + WIDE :] for s in (0, 32)]
     df = spark.createDataFrame([(0, "a. b. c.\nd.\n"), (1, "d.\na. b. c.\n"), (2, "a. b. c.\n"), (3, "d.\n")], "k int, text string").select("k", vector(F.col("text")).alias("v"))
     a, b, c, d = (x["v"] for x in df.orderBy("k").collect())
     row = spark.createDataFrame([(a, c, d)], "a array<long>, c array<long>, d array<long>").select(combine(F.col("c"), F.col("d")).alias("sum"), remove(F.col("a"), F.col("d")).alias("rest")).first()
