@@ -49,12 +49,36 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from ``columns`` (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, *, limit: int = 100_000, least: int = 10_000) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key and in ``weight`` how many rows of ``left`` have it.
+
+    Keys with total / limit rows or more (``total``: rows of ``left``, at least ``least``) are ``limit`` at most by
+    that number, so they are broadcast and their rows stay where they are; the others are shuffled, and no task
+    gets more rows of one key than that.
+    """
+    bound = max(least, total // limit)
+    hot = right.where(F.col(weight) >= bound)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(weight) < bound), on)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def text_chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows with about CHUNK_BYTES of UTF-8 text; nulls are empty.
+def text_chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of rows with about ``size`` bytes of UTF-8 text; nulls are empty.
 
     ``offsets`` has one entry more than the run has rows and starts at 0.
     """
@@ -68,7 +92,7 @@ def text_chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int,
     data = np.frombuffer(data_buffer, np.uint8) if data_buffer is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        end = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         end = min(n, max(end, first + 1))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end

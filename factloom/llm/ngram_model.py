@@ -51,6 +51,8 @@ RANGE_TOKENS = 3_000_000
 WORD_RANGE_CHARS = 1 << 28
 #: Bytes of arrays that a worker has mapped (or, from a store without local paths, read) at once.
 MAPPED_BYTES = 384 << 20
+#: Bytes of text that are looked up together: the more, the fewer rounds over the arrays.
+TEXT_BYTES = 8 << 20
 #: Ids are packed two to 64 bits at worst, so a vocabulary may have no more words.
 MOST_WORDS = 2**32 - 2
 
@@ -172,7 +174,7 @@ def _opened(path: str, name: str) -> np.ndarray:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
     """Hashes of the words of each text and its end, and their rows."""
     for batch in batches:
-        for first, end, data, offsets in text_chunks(batch, "text"):
+        for first, end, data, offsets in text_chunks(batch, "text", TEXT_BYTES):
             words, rows = word_hashes(data, offsets)
             n = end - first
             counts = np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, np.int64)
@@ -253,7 +255,7 @@ class Arrays:
         low = self.get(f"{kind}-low")
         short = _short(keys, int(self.get(f"{kind}-seed")[0]))
         top, rest = (short >> np.uint64(16)).astype(np.uint32), (short & np.uint64(0xFFFF)).astype(np.uint16)
-        order = np.argsort(top, kind="stable")  # neighbours in the array are asked for together
+        order = np.argsort(top)  # neighbours in the array are asked for together
         at = np.empty(len(keys), np.int64)
         at[order] = np.searchsorted(high, top[order])
         todo = np.flatnonzero(at < len(high))
@@ -613,14 +615,11 @@ def _levels(arrays: Arrays, words: list[np.ndarray]) -> Iterator[tuple[int, np.n
     for level, (gram, context) in enumerate(zip(_gram_keys(words), _context_keys(words), strict=True), 2):
         counts, totals = np.zeros(n, np.int64), np.zeros((n, 4), np.int64)
         for p, here in _runs(part, (part >= 0) & seen):
-            keys, back = np.unique(gram[here], return_inverse=True)
-            counts[here] = arrays.of_grams(level, p, keys)[back]
+            counts[here] = arrays.of_grams(level, p, gram[here])
         for p, here in _runs(home, (home >= 0) & ~is_split & seen):
-            keys, back = np.unique(context[here], return_inverse=True)
-            totals[here] = arrays.of_contexts(f"context-{level}-{p}", keys)[back]
+            totals[here] = arrays.of_contexts(f"context-{level}-{p}", context[here])
         for p, here in _runs(np.searchsorted(arrays.hash_cuts, context, "right"), is_split & seen):
-            keys, back = np.unique(context[here], return_inverse=True)
-            totals[here] = arrays.of_contexts(f"shared-{level}-{p}", keys)[back]
+            totals[here] = arrays.of_contexts(f"shared-{level}-{p}", context[here])
         # seen once, and so not stored
         totals[seen & (totals[:, 0] == 0) & (words[0] != model.words) & (level > 2)] = (1, 1, 0, 0)
         yield level, counts, totals
@@ -631,7 +630,8 @@ def _levels(arrays: Arrays, words: list[np.ndarray]) -> Iterator[tuple[int, np.n
 def _runs(part: np.ndarray, use: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each value of ``part`` with the places in use that have it."""
     at = np.flatnonzero(use)
-    at = at[np.argsort(part[at], kind="stable")]
+    few = part[at].astype(np.uint16 if len(part) and part.max() < 2**16 else np.int64)  # numbers of 16 bits are sorted by their digits
+    at = at[np.argsort(few, kind="stable")]
     edges = np.flatnonzero(np.concatenate([[True], part[at][1:] != part[at][:-1], [True]])) if len(at) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield int(part[at[a]]), at[a:b]
