@@ -1,24 +1,33 @@
 """Surrogates for personal data: keyed, type-consistent, the same for each mention of an entity, distinct for others.
 
-Detected are e-mail addresses, phone numbers, card numbers, IPv4 addresses, hexadecimal secrets and names behind a
-title. An entity's canonical form (letters in lower case, digits without their separators) names it, so mentions
-in other spellings corefer. Its surrogate takes letters and digits from a keyed SHA-256 stream and keeps the
-format: letter case, separators, lengths, a phone's country code, an address's last label, valid octets; a name keeps its
-title, and the surrogate fits the title's gender and the name's script.
+Detected are e-mail addresses, phone numbers, card and social security numbers, IPv4 addresses, hexadecimal secrets, keys
+of well-known forms and names behind a title. An entity's canonical form (letters in lower case, digits without their
+separators, a North American number without its country code) names it, so mentions in other spellings corefer. A name is
+taken apart: family and given name are entities of their own, so ``Mr. Kern`` and ``Mr. John Kern`` keep one family name.
+A surrogate takes letters and digits from a keyed SHA-256 stream and keeps the format: letter case, separators, lengths, a
+phone's country code, an address's last label, a key's prefix, valid octets, a card's first digit and its check digit
+if the old one was right; a name keeps its title, and its surrogate, built from syllables, has the name's script and, by
+the title, its gender. Behind a title without gender (Dr, Prof) a given name has a surrogate of its own.
 
 Distinctness: the surrogates of all entities are compared with one another and with the entities themselves; those
-that meet another take the next stream, again until none do. Only those entities need a look-up when texts are
-rewritten: all other surrogates are computed where they stand, without a join. Spark SQL functions only.
+that meet another take the next stream, again until none do (``SurrogateError`` after MOST_SALTS). Only those entities
+need a look-up when texts are rewritten: all other surrogates are computed where they stand, without a join. Spark SQL
+functions only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
+
+#: Streams that an entity may try before it is an error; slices of the mentions of one entity when salts are looked up.
+MOST_SALTS = 60
+SLICES = 16
 
 _FEMALE_TITLES = "Mrs|Ms|Miss|Madame|Mme|Frau|Señora|Sra|Госпожа|Κυρία"
 _MALE_TITLES = "Mr|Monsieur|Herr|Señor|Sr|Господин|Κύριος"
@@ -27,9 +36,11 @@ _OTHER_TITLES = "Dr|Prof"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
+    "token": r"(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|xox[abprs]-[0-9A-Za-z-]{10,64})(?![0-9A-Za-z_-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
     "local_phone": r"(?<![0-9A-Za-z+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "name": rf"(?<!\p{{L}})(?:{_FEMALE_TITLES}|{_MALE_TITLES}|{_OTHER_TITLES})\.? \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?",
 }
@@ -37,8 +48,9 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A phone's country code: the assigned ones of one and two digits, all others have three. It needs no separator behind it.
 COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
-#: Stretches that only a secret without a digit has.
-_BARE_SECRET = "[a-f]{32}|[A-F]{32}"
+#: Stretches that only a secret or key without a digit has, and what stays of a key.
+_BARE_SECRET = "[a-f]{32}|[A-F]{32}|AKIA|gh[pousr]_|sk-[A-Za-z]{20}|xox[abprs]-"
+_KEY_PREFIX = r"^(?:AKIA|gh[pousr]_|sk-|xox[abprs]-)"
 
 
 def may_hold(text: Column) -> Column:
@@ -54,26 +66,33 @@ def entities(text: Column) -> Column:
     return F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-#: Given names by script and gender, and family names by script.
-_GIVEN = {
-    ("latin", "f"): ["Anna", "Clara", "Edith", "Flora", "Greta", "Helen", "Ida", "Julia", "Laura", "Maria", "Nora", "Olga", "Paula", "Rosa", "Vera", "Wanda"],
-    ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Otto", "Paul", "Victor"],
-    ("cyrillic", "f"): ["Анна", "Вера", "Ирина", "Мария", "Нина", "Ольга", "Раиса", "Софья"],
-    ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Иван", "Лев", "Олег", "Павел", "Роман"],
-    ("greek", "f"): ["Άννα", "Ελένη", "Ζωή", "Μαρία", "Νίκη", "Σοφία", "Χαρά", "Δάφνη"],
-    ("greek", "m"): ["Αλέξης", "Γιώργος", "Ηλίας", "Κώστας", "Λεωνίδας", "Νίκος", "Πέτρος", "Στέφανος"],
+#: Onsets and vowels of syllables by script; endings of family names, and of given names by gender.
+_SYLLABLES = {
+    "latin": ("b c d f g h j k l m n p r s t v w br cl dr fl gr st tr".split(), "a e i o u".split()),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х ц ч ш".split(), "а е и о у".split()),
+    "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ".split(), "α ε η ι ο ω".split()),
 }
-_FAMILY = {
-    "latin": ["Alder", "Birch", "Cobb", "Dorn", "Ebert", "Falk", "Grove", "Hale", "Irving", "Jarvis", "Kern", "Lind", "Marsh", "Nolan", "Orr", "Pike"],
-    "cyrillic": ["Белых", "Волк", "Гончар", "Долгих", "Коваль", "Мельник", "Седых", "Черных"],
-    "greek": ["Αλεξίου", "Βασιλείου", "Γεωργίου", "Δημητρίου", "Ιωάννου", "Νικολάου", "Παύλου", "Χρήστου"],
+_ENDINGS = {
+    ("latin", "family"): "son ner man berg ley ton sen wood".split(),
+    ("latin", "f"): "na lia rina bella".split(),
+    ("latin", "m"): "ro rius lan bert".split(),
+    ("cyrillic", "family"): "нко щук вых ских".split(),
+    ("cyrillic", "f"): "на лия рина".split(),
+    ("cyrillic", "m"): "рий лан мир".split(),
+    ("greek", "family"): "νίου ράκη λίδη".split(),
+    ("greek", "f"): "να λία ρη".split(),
+    ("greek", "m"): "νος λης ρας".split(),
 }
 
 
+class SurrogateError(ValueError):
+    """An entity that has no surrogate of its own in its format."""
+
+
 def kind(entity: Column) -> Column:
     """Which detector a found entity belongs to."""
     out: Column = F.lit("name")
-    for name in ("card", "local_phone", "phone", "ip", "secret", "email"):
+    for name in ("card", "ssn", "local_phone", "phone", "ip", "token", "secret", "email"):
         out = F.when(entity.rlike("^(?:" + PATTERNS[name] + ")$"), name).otherwise(out)
     return out
 
@@ -83,49 +102,81 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def canonical(entity: Column) -> Column:
-    """Kind and bare letters and digits: equal for all mentions of one entity."""
+def _digits(e: Column) -> Column:
+    return F.regexp_replace(e, "[^0-9]", "")
+
+
+def _canon(e: Column, k: Column) -> Column:
+    """Kind and bare letters and digits of a piece: equal for all spellings of one entity."""
+    american = (k == "phone") & e.startswith("+1") & (F.length(_digits(e)) == 11)
+    value = F.when(american, F.substring(_digits(e), 2, 10)).when(k == "phone", F.concat(F.lit("+"), _digits(e))).when(k.isin("card", "ssn", "local_phone"), _digits(e)).otherwise(F.lower(e))
+    return F.concat(F.when(k == "local_phone", "phone").otherwise(k), F.lit(":"), value)
+
 
-    def bare(x: Column) -> Column:
+def atoms(entity: Column) -> Column:
+    """(canon, piece, kind) of what is replaced: the entity itself, or the one or two parts of a name.
+
+    A given name's canonical form has the gender of the title: ``given-f``, ``given-m``, or ``given-n`` without one.
+    """
+
+    def of(x: Column) -> Column:
         e, k = x["e"], x["k"]
-        digits = F.regexp_replace(e, "[^0-9]", "")
-        value = F.when(k.isin("card", "phone", "local_phone"), digits).when(k == "name", F.regexp_replace(F.lower(e), r"^\S+ ", "")).otherwise(F.lower(e))
-        return F.concat_ws(":", F.when(k == "local_phone", "phone").otherwise(k), value)
+        title = F.regexp_replace(F.regexp_extract(e, r"^\S+", 0), r"\.$", "")
+        gender = F.when(title.isin(_FEMALE_TITLES.split("|")), "f").when(title.isin(_MALE_TITLES.split("|")), "m").otherwise("n")
+        parts = F.slice(F.split(e, " "), 2, 2)
+        named = F.transform(parts, lambda p, i: F.struct(p.alias("piece"), F.when(i == F.size(parts) - 1, "family").otherwise(F.concat(F.lit("given-"), gender)).alias("kind")))
+        whole = F.array(F.struct(e.alias("piece"), k.alias("kind")))
+        return F.transform(F.when(k == "name", named).otherwise(whole), lambda a: F.struct(_canon(a["piece"], a["kind"]).alias("canon"), a["piece"].alias("piece"), a["kind"].alias("kind")))
+
+    return let(F.struct(entity.alias("e"), kind(entity).alias("k")), of)
+
 
-    return let(entity, lambda e: let(F.struct(e.alias("e"), kind(e).alias("k")), bare))
+def plain(canon: Column) -> Column:
+    """What must differ between entities: the canonical form; that of a given name without its gender."""
+    return F.regexp_replace(canon, "^given-.:", "given:")
 
 
 def _pick(names: list[str], stream: Column, at: int) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), F.conv(F.substring(stream, at, 4), 16, 10).cast("int") % len(names) + 1)
 
 
+def _luhn(digits: Column) -> Column:
+    """The Luhn sum of a string of digits, modulo 10."""
+    turned = F.reverse(F.filter(F.split(digits, ""), lambda d: d != ""))
+    each = F.transform(turned, lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(2 * d.cast("int") - F.when(d.cast("int") > 4, 9).otherwise(0)))
+    return F.aggregate(each, F.lit(0), lambda s, d: s + d) % 10
+
+
 def _letters(e: Column, k: Column, stream: Column) -> Column:
-    """The entity with its letters and digits from the stream; a phone's country code and an address's last label stay."""
-    country = F.when(k == "phone", F.length(F.regexp_extract(e, COUNTRY, 0))).otherwise(0)
+    """The piece with its letters and digits from the stream, but for what its format fixes."""
+    front = F.when(k == "phone", F.length(F.regexp_extract(e, COUNTRY, 0))).when(k == "token", F.length(F.regexp_extract(e, _KEY_PREFIX, 0))).when(k == "card", 1).otherwise(0)
     top = F.when(k == "email", F.length(F.regexp_extract(e, r"\.[A-Za-z0-9-]+$", 0))).otherwise(0)
-    # a character's number in the stream counts letters and digits alone, so separators do not shift it
-    chars = F.transform(
-        F.sequence(F.lit(1), F.length(e)),
-        lambda i: F.struct(i.alias("i"), F.substring(e, i, F.lit(1)).alias("c"), F.length(F.regexp_replace(F.substring(e, F.lit(1), i), "[^A-Za-z0-9]", "")).alias("at")),
-    )
 
-    def swapped(x: Column, fixed: Column, upper: Column) -> Column:
+    def swapped(x: Column, fixed: Column) -> Column:
         i, c = x["i"], x["c"]
         value = F.conv(F.substring(stream, F.pmod(2 * x["at"], F.lit(126)) + 1, F.lit(2)), 16, 10).cast("int")
         hexed = F.substring(stream, F.pmod(x["at"], F.lit(128)) + 1, F.lit(1))
         low = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), value % 26 + 1, F.lit(1))
         return (
-            F.when((i <= fixed["country"]) | (i > fixed["end"]) | ~c.rlike("[A-Za-z0-9]"), c)
-            .when(k == "secret", F.when(upper, F.upper(hexed)).otherwise(hexed))
+            F.when((i <= fixed["front"]) | (i > fixed["end"]) | ~c.rlike("[A-Za-z0-9]"), c)
+            .when(k == "secret", F.when(fixed["upper"], F.upper(hexed)).otherwise(hexed))
             .when(c.rlike("[0-9]"), (value % 10).cast("string"))
             .when(c.rlike("[A-Z]"), F.upper(low))
             .otherwise(low)
         )
 
-    return let(
-        F.struct(country.alias("country"), (F.length(e) - top).alias("end"), (e == F.upper(e)).alias("upper")),
-        lambda fixed: F.array_join(F.transform(chars, lambda x: swapped(x, fixed, fixed["upper"])), ""),
-    )
+    def joined(fixed: Column) -> Column:
+        # a character's number in the stream counts letters and digits behind the fixed front alone, so neither separators nor a country code shift it
+        chars = F.transform(
+            F.sequence(F.lit(1), F.length(e)),
+            lambda i: F.struct(i.alias("i"), F.substring(e, i, F.lit(1)).alias("c"), F.length(F.regexp_replace(F.substring(e, fixed["front"] + 1, F.greatest(i - fixed["front"], F.lit(0))), "[^A-Za-z0-9]", "")).alias("at")),
+        )
+        return F.array_join(F.transform(chars, lambda x: swapped(x, fixed)), "")
+
+    made = let(F.struct(front.alias("front"), (F.length(e) - top).alias("end"), (e == F.upper(e)).alias("upper")), joined)
+    right = (k == "card") & (_luhn(_digits(e)) == 0)
+    check = lambda m: F.concat(F.substring(m, F.lit(1), F.length(m) - 1), ((10 - _luhn(F.concat(F.regexp_replace(F.substring(m, F.lit(1), F.length(m) - 1), "[^0-9]", ""), F.lit("0")))) % 10).cast("string"))
+    return F.when(right, let(made, check)).otherwise(made)
 
 
 def _address(stream: Column) -> Column:
@@ -133,90 +184,110 @@ def _address(stream: Column) -> Column:
     return F.concat_ws(".", (octet(1).cast("int") % 223 + 1).cast("string"), octet(3), octet(5), (octet(7).cast("int") % 254 + 1).cast("string"))
 
 
-def _name(e: Column, stream: Column, salt: Column) -> Column:
-    """A name behind the same title, of the title's gender and in the script of the old name."""
-    title = F.regexp_extract(e, r"^\S+", 0)
-    bare = F.regexp_replace(title, r"\.$", "")
+def _name(piece: Column, k: Column, stream: Column, salt: Column) -> Column:
+    """A name of the piece's script: syllables, one more from the sixth salt on, and an ending by kind and gender."""
+    script = F.when(piece.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(piece.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
     even = F.conv(F.substring(stream, 9, 2), 16, 10).cast("int") % 2 == 0
-    woman = F.when(bare.isin(_FEMALE_TITLES.split("|")), True).when(bare.isin(_MALE_TITLES.split("|")), False).otherwise(even)
-    first = F.substring(F.regexp_extract(e, r"^\S+ (.)", 1), 1, 1)
-    script = F.when(first.rlike(r"\p{IsCyrillic}"), "cyrillic").when(first.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    group = F.when(k == "family", "family").when((k == "given-f") | ((k == "given-n") & even), "f").otherwise("m")
 
     def named(x: Column) -> Column:
-        given: Column = F.lit(None).cast("string")
-        family: Column = F.lit(None).cast("string")
-        for s in _FAMILY:
-            given = F.when(x["script"] == s, F.when(x["woman"], _pick(_GIVEN[(s, "f")], stream, 11)).otherwise(_pick(_GIVEN[(s, "m")], stream, 11))).otherwise(given)
-            family = F.when(x["script"] == s, _pick(_FAMILY[s], stream, 15)).otherwise(family)
-        # a salted name has one more group of letters, so that the small lists never run out
-        more = F.initcap(F.translate(F.substring(stream, 20, 6), "0123456789", "ghijklmnop"))
-        family = F.when(salt > 0, F.concat(family, F.lit("-"), more)).otherwise(family)
-        return F.when(F.size(F.split(e, " ")) > 2, F.concat_ws(" ", x["title"], given, family)).otherwise(F.concat_ws(" ", x["title"], family))
+        out: Column = F.lit(None).cast("string")
+        for s, (onsets, vowels) in _SYLLABLES.items():
+            syllable = lambda n, onsets=onsets, vowels=vowels: F.concat(_pick(onsets, stream, 11 + 8 * n), _pick(vowels, stream, 15 + 8 * n))
+            end: Column = F.lit(None).cast("string")
+            for g in ("family", "f", "m"):
+                end = F.when(x["group"] == g, _pick(_ENDINGS[(s, g)], stream, 51)).otherwise(end)
+            more = F.when(salt > 5, syllable(3)).otherwise("")
+            third = F.when(x["group"] == "family", syllable(2)).otherwise("")
+            out = F.when(x["script"] == s, F.concat(syllable(0), syllable(1), third, more, end)).otherwise(out)
+        return F.initcap(out)
 
-    return let(F.struct(title.alias("title"), woman.alias("woman"), script.alias("script")), named)
+    return let(F.struct(script.alias("script"), group.alias("group")), named)
 
 
-def surrogate(entity: Column, salt: Column, key: str) -> Column:
-    """The replacement for one entity under a key and a salt (0 unless a collision was found)."""
+def replaced(atom: Column, salt: Column, key: str) -> Column:
+    """The replacement of one atom's piece under a key and a salt (0 unless a collision was found)."""
 
     def made(x: Column) -> Column:
-        e, k, stream = x["e"], x["k"], x["stream"]
+        e, k, stream, salt = x["piece"], x["kind"], x["stream"], x["salt"]
         # addresses of few or no letters run out of others in their format: from the fourth salt on six more go before them
         more = F.when((k == "email") & (salt > 3), F.translate(F.substring(stream, 20, 6), "0123456789", "ghijklmnop")).otherwise("")
-        return F.when(k == "ip", _address(stream)).when(k == "name", _name(e, stream, salt)).otherwise(F.concat(more, _letters(e, k, stream)))
+        return F.when(k == "ip", _address(stream)).when(k.isin("family", "given-f", "given-m", "given-n"), _name(e, k, stream, salt)).otherwise(F.concat(more, _letters(e, k, stream)))
+
+    secret = hashlib.sha256(key.encode()).hexdigest()
+    seed = F.concat(F.lit(secret + "|"), salt.cast("string"), F.lit("|"), atom["canon"])
+    streamed = lambda s: let(F.struct(atom["piece"].alias("piece"), atom["kind"].alias("kind"), F.concat(F.sha2(s, 256), F.sha2(F.concat(s, F.lit("+")), 256)).alias("stream"), salt.alias("salt")), made)
+    return let(seed, streamed)
+
 
-    def streamed(e: Column) -> Column:
-        seed = F.concat_ws("|", F.lit(key), canonical(e), salt.cast("string"))
-        return let(seed, lambda s: let(F.struct(e.alias("e"), kind(e).alias("k"), F.concat(F.sha2(s, 256), F.sha2(F.concat(s, F.lit("+")), 256)).alias("stream")), made))
+def surrogate(entity: Column, salt_of: Callable[[Column], Column], key: str) -> Column:
+    """The replacement of one entity; ``salt_of`` gives the salt of a canonical form."""
 
-    return let(entity, streamed)
+    def joined(e: Column) -> Column:
+        new = F.array_join(F.transform(atoms(e), lambda a: replaced(a, salt_of(a["canon"]), key)), " ")
+        return F.when(kind(e) == "name", F.concat(F.regexp_extract(e, r"^\S+ ", 0), new)).otherwise(new)
 
+    return let(entity, joined)
 
-def collisions(entities: DataFrame, key: str) -> DataFrame | None:
-    """(canon, salt) of the entities whose surrogate under salt 0 meets another surrogate or a real entity.
 
-    ``entities`` has the distinct ``canon`` and one spelling ``entity`` of each. None if no two meet. Of those that
-    share a surrogate the least canonical form keeps it; the others go on to the next salt.
+def collisions(found: DataFrame, key: str) -> DataFrame | None:
+    """(canon, salt) of the atoms whose surrogate under salt 0 meets another surrogate or a real entity.
+
+    ``found`` has distinct ``canon``, each with one ``piece`` and its ``kind``; a surrogate's canonical form depends on
+    the canonical form alone, so one spelling stands for all. None if no two meet. Of those that share a surrogate the
+    least canonical form keeps it; the others go on to the next salt. ``SurrogateError`` if MOST_SALTS are not enough.
     """
-    now = written(entities.withColumn("salt", F.lit(0)).withColumn("new", canonical(surrogate(F.col("entity"), F.col("salt"), key))), "surrogates")
+
+    def under(rows: DataFrame) -> DataFrame:
+        new = replaced(F.struct("canon", "piece", "kind"), F.col("salt"), key)
+        return rows.withColumn("new", plain(_canon(new, F.col("kind"))))
+
+    now = written(under(found.withColumn("salt", F.lit(0))), "surrogates")
     salted = False
     while True:
         holder = now.groupBy("new").agg(F.min("canon").alias("keeper"), F.count("*").alias("n"))
-        real = now.select(F.col("canon").alias("new"), F.lit(True).alias("real"))
+        real = now.select(plain(F.col("canon")).alias("new")).distinct().withColumn("real", F.lit(True))
         clash = now.join(holder.where("n > 1"), "new", "left").join(real, "new", "left").where("(keeper IS NOT NULL AND keeper <> canon) OR real")
-        clash = written(clash.select("canon"), "clashes")
-        if clash.isEmpty():
+        clash = written(clash.select("canon", "salt"), "clashes")
+        worst = clash.orderBy(F.desc("salt"), "canon").limit(1).collect()
+        if not worst:
             break
+        if worst[0]["salt"] >= MOST_SALTS:
+            raise SurrogateError(f"no surrogate of its own for {worst[0]['canon']}")
         salted = True
-        again = now.join(clash, "canon", "left_semi").withColumn("salt", F.col("salt") + 1).withColumn("new", canonical(surrogate(F.col("entity"), F.col("salt"), key)))
+        clash = clash.select("canon")
+        again = under(now.join(clash, "canon", "left_semi").withColumn("salt", F.col("salt") + 1).drop("new"))
         now = written(now.join(clash, "canon", "left_anti").unionByName(again), "surrogates")
     return now.where("salt > 0").select("canon", "salt") if salted else None
 
 
 def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with surrogates in ``text_col`` and a column ``entities_replaced`` (long).
+    """``docs`` with surrogates in ``text_col`` and a column ``entities_replaced`` (long), which replaces one of that name.
 
-    Null text stays null and counts 0; rows with equal ids are rewritten alike and separately. All columns stay.
+    Null text stays null and counts 0; rows with equal or null ids are rewritten alike and separately, repeated rows
+    alike; an empty table gives an empty one. All other columns stay, whatever their names.
     """
-    found = docs.where(may_hold(F.col(text_col))).select(F.explode(F.array_distinct(entities(F.col(text_col)))).alias("entity"))
-    distinct = found.distinct().withColumn("canon", canonical(F.col("entity"))).groupBy("canon").agg(F.min("entity").alias("entity"))
-    salts = collisions(distinct, key)
-    rows = docs.withColumn("__found", entities(F.col(text_col)))
+    text, names = F.col(f"`{text_col}`"), [c for c in docs.columns if c.lower() != "entities_replaced"]
+    every = F.explode(F.array_distinct(F.flatten(F.transform(entities(text), atoms)))).alias("atom")
+    found = docs.where(may_hold(text)).select(every).select("atom.*").groupBy("canon").agg(F.min(F.struct("kind", "piece")).alias("one"))
+    salts = collisions(found.select("canon", "one.piece", "one.kind"), key)
+    spots, hashed, table = fresh(docs.columns, "spots", "hashed", "salts")
+    rows = docs.withColumn(spots, entities(text))
     if salts is None:
-        new = F.transform("__found", lambda e: surrogate(e, F.lit(0), key))
+        salt_of = lambda canon: F.lit(0)
     else:
-        # only mentions of salted entities leave their row, and only their number and salt come back
-        mentions = docs_entities(docs, id_col, text_col).join(salts, "canon").groupBy("__id").agg(F.map_from_entries(F.collect_set(F.struct("canon", "salt"))).alias("__salts"))
-        rows = rows.join(mentions, F.col(id_col) == F.col("__id"), "left")
-        new = F.transform("__found", lambda e: surrogate(e, F.coalesce(F.try_element_at("__salts", canonical(e)), F.lit(0)), key))
-    parts = F.split(F.col(text_col), ANY, -1)
+        # only mentions of salted entities leave their row, each document's once; what comes back is their number and salt
+        mine = docs.where(may_hold(text)).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), every)
+        mine = mine.select("id", "hash", F.col("atom.canon").alias("canon"), F.pmod("hash", F.lit(SLICES)).alias("slice"))
+        sliced = salts.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))))
+        back = mine.join(sliced, ["canon", "slice"]).groupBy("id", "hash").agg(F.map_from_entries(F.collect_set(F.struct("canon", "salt"))).alias(table))
+        back = back.select(F.col("id").alias(f"{table}_id"), F.col("hash").alias(f"{table}_hash"), table)
+        rows = rows.withColumn(hashed, F.xxhash64(text))
+        rows = rows.join(back, rows[f"`{id_col}`"].eqNullSafe(back[f"{table}_id"]) & (rows[hashed] == back[f"{table}_hash"]), "left")
+        salt_of = lambda canon: F.coalesce(F.try_element_at(F.col(table), canon), F.lit(0))
+    new = F.transform(F.col(spots), lambda e: surrogate(e, salt_of, key))
+    parts = F.split(text, ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(parts, new, lambda p, e: F.array(p, F.coalesce(e, F.lit(""))))), "")
-    text = F.when(F.size("__found") > 0, joined).otherwise(F.col(text_col))
-    n = F.greatest(F.coalesce(F.size("__found"), F.lit(0)), F.lit(0)).cast("long")
-    return rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n.alias("entities_replaced"))
-
-
-def docs_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__id, canon: the entities of each document."""
-    found = docs.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(entities(F.col(text_col)))).alias("entity"))
-    return found.select("__id", canonical(F.col("entity")).alias("canon"))
+    out = F.when(F.size(F.col(spots)) > 0, joined).otherwise(text)
+    n = F.greatest(F.coalesce(F.size(F.col(spots)), F.lit(0)), F.lit(0)).cast("long")
+    return rows.select(*[out.alias(c) if c == text_col else rows[f"`{c}`"] for c in names], n.alias("entities_replaced"))

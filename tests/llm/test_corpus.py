@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from factloom.llm import common, decontaminate
+from factloom.llm import common, decontaminate, surrogates
 from factloom.llm.line_dedup import drop_recurring_lines
 from factloom.llm.near_dedup import near_duplicates
 from factloom.llm.packing import default_tokenizer, pack, plan, repeat_counts
@@ -178,6 +178,61 @@ def test_surrogates_stay_distinct(spark):
     assert len({r["text"] for r in out}) == len(names) and not {r["text"] for r in out} & set(names)
 
 
+def luhn(number):
+    digits = [int(c) for c in reversed(number) if c.isdigit()]
+    return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10
+
+
+def test_surrogates_by_brute_force(spark):
+    """Keyed, distinct, coreferent and of the same form, over thousands of entities of small spaces."""
+    r = random.Random(11)
+    short = [f"{a}{b}@x.io" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz0123456789"]  # most of a small space
+    phones = [f"+1 ({r.randrange(200, 999)}) {r.randrange(200, 999)}-{r.randrange(10**4):04}" for _ in range(300)]
+    names = [f"{t} {g} {f}" for t in ("Mr.", "Ms.", "Dr.") for g in ("John", "Kim", "Ola") for f in ("Kern", "Lee", "Voss", "O'brien")]
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "4111 1111 1111 1112"]
+    others = ["123-45-6789", "AKIA" + "ABCDEFGH12345678", "ghp_" + "a1B2" * 9, "0123456789abcdef" * 2]
+    mentions = [(m, "mail " + m) for m in short] + [(p, "call " + p) for p in phones] + [(p, "call " + p[3:]) for p in phones[:50]] + [(n, n + " spoke") for n in names] + [(n, n.split()[0] + " " + n.split()[2] + " left") for n in names]
+    mentions += [(c, "card " + c) for c in cards] + [(o, "key " + o) for o in others]
+    rows = [(k, text) for k, (_, text) in enumerate(mentions)]
+    out = {x["doc_id"]: x["text"] for x in replace_entities(frame(spark, rows), key="k").collect()}
+    other = {x["doc_id"]: x["text"] for x in replace_entities(frame(spark, rows), key="z").collect()}
+    assert sum(out[k] != other[k] for k in out) > 0.99 * len(out)
+    made, family, given = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
+    for k, (entity, text) in enumerate(mentions):
+        new = out[k]
+        assert new != text and new.split()[0] == text.split()[0]
+        if entity in names:
+            title, *rest = new.split()[:-1]
+            family[entity.split()[2]].add(rest[-1])
+            if len(rest) > 1:
+                given[title, entity.split()[1]].add(rest[0])
+        else:
+            made[entity].add(re.sub(r"\D", "", new)[-10:] if entity in phones else new.split(" ", 1)[1])
+            assert entity in phones or re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", new)))[-4:] == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", text)))[-4:] or entity in others[3:]
+    for found in (made, family, given):  # one surrogate an entity, one entity a surrogate
+        assert all(len(v) == 1 for v in found.values()) and len({x for v in found.values() for x in v}) == len(found)
+    assert not {x for v in made.values() for x in v} & {m for m, _ in mentions}
+    card = {c: next(iter(made[c])) for c in cards}
+    assert all(luhn(card[c]) == 0 and card[c][0] == c[0] for c in cards[:2]) and re.fullmatch(r"(\d{4} ){3}\d{4}", card[cards[2]])
+    assert next(iter(made[others[1]])).startswith("AKIA") and next(iter(made[others[2]])).startswith("ghp_")
+
+
+def test_surrogates_without_another_form_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "MOST_SALTS", 2)
+    with pytest.raises(surrogates.SurrogateError, match="-@-.com"):
+        replace_entities(frame(spark, [(1, "to -@-.com now")]), key="k")
+
+
+def test_surrogates_of_odd_tables(spark):
+    names = [f"{a}@{b}.io" for a in "abcdefgh" for b in "abcdefgh"]
+    df = spark.createDataFrame([(None if k % 3 else k, f"to {m}", "x", 1, 2) for k, m in enumerate(names)], "doc_id long, text string, spots string, entities_replaced int, Salts int")
+    out = replace_entities(df, key="k")
+    assert out.columns == ["doc_id", "text", "spots", "Salts", "entities_replaced"]
+    found = [x["text"] for x in out.collect()]
+    assert len(set(found)) == len(names) and not set(found) & {f"to {m}" for m in names}
+    assert replace_entities(df.where("false"), key="k").count() == 0
+
+
 def test_surrogates_of_phones_without_separators(spark):
     phones = ["+12125551234", "+442079460958", "+4915112345678", "+35312345678", "+79161234567", "+1 212-555-1234"]
     out = [r["text"] for r in replace_entities(frame(spark, [(k, f"call {p} now") for k, p in enumerate(phones)]), key="k").orderBy("doc_id").collect()]
