@@ -1,81 +1,127 @@
 """Recurring line templates across documents: a log-template tree of fixed depth, in Spark SQL functions.
 
-A line is parsed down a tree: the number of its tokens, then its first DEPTH tokens, then the rest. A token with a
-digit is a variable field ``<*>`` from the start. What a leaf still generalises is one half of the rest: lines of
-one leaf that agree in the other half are one template with a variable half (at least half of the tokens agree, the
-usual bound of such trees). So a line has three template keys, all under its tree path: all tokens as they stand,
-first half, second half. A template that occurs in MIN_DOCUMENTS documents or more is dropped from all but the
-first of them (least id), so that no content leaves the corpus altogether.
+A line is parsed down a tree: the number of its tokens, then its first DEPTH tokens; there is its leaf. A token with a
+digit is a variable field ``<*>`` from the start. Within a leaf, lines are compared by their other tokens, cut into SEGMENTS
+runs by place: lines that agree in all but two runs are of one template, whose other tokens are variable fields, if those
+are at most a quarter of all tokens. So a line has a key for each pair of runs that may vary, and one without any; a
+key is made only for lines of leaves that two documents share, so most lines are left after one count.
+
+A template of MIN_DOCUMENTS documents or more is dropped from all but the first of them (least id): what leaves the corpus
+with a line is a quarter of its tokens at most. Lines of fewer than MIN_TOKENS tokens have the key without variables alone
+and are dropped only from SHORT_DOCUMENTS documents on, for they are often plain sentences.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Leading tokens in the tree path, documents that make a template recurring, tokens of a line that can be dropped.
+from .common import attach, fresh, written
+
+#: Leading tokens in the tree path, documents that make a template recurring, tokens of a line that is compared with others.
 DEPTH = 2
 MIN_DOCUMENTS = 3
 MIN_TOKENS = 4
-#: A half stands for its line only if it has so many tokens.
-MIN_HALF = 6
+#: Documents that make a line of fewer tokens recurring; runs that a line's other tokens are cut into.
+SHORT_DOCUMENTS = 20
+SEGMENTS = 8
+#: One variable token for so many of a line.
+SHARE = 4
 
 
 def masked(line: Column) -> Column:
     """The line with tokens joined by single spaces, those with a digit as ``<*>``."""
-    tight = F.regexp_replace(F.trim(F.regexp_replace(line, r"[\x09-\x0D ]+", " ")), r"\S*[0-9]\S*", "<*>")
-    return tight
-
-
-def template_keys(line: Column, *, depth: int, min_tokens: int, min_half: int) -> Column:
-    """Hashes of the templates that a line may be of; empty below ``min_tokens`` tokens."""
-    tokens = F.split(masked(line), " ")
-    half = lambda t: F.floor((F.size(t) + depth) / 2).cast("int")
-    return F.transform(
-        F.array(tokens),
-        lambda t: F.when(
-            F.size(t) >= min_tokens,
-            F.filter(
-                F.array(
-                    F.xxhash64(F.size(t), F.lit(0), t),
-                    F.when(F.size(t) - depth >= 2 * min_half, F.xxhash64(F.size(t), F.lit(1), F.slice(t, F.lit(1), half(t)))),
-                    F.when(F.size(t) - depth >= 2 * min_half, F.xxhash64(F.size(t), F.lit(2), F.slice(t, F.lit(1), F.lit(depth)), F.slice(t, half(t) + 1, F.size(t)))),
-                ),
-                lambda k: k.isNotNull(),
-            ),
-        ),
-    )[0]
-
-
-def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, min_half: int = MIN_HALF) -> DataFrame:
-    """``docs`` with ``text_col`` freed of recurring lines and a column ``lines_dropped`` (long).
+    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[\x09-\x0D ]+", " ")), r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")
+
+
+def _edge(n: Column, k: int, depth: int) -> Column:
+    """Tokens before the k-th run of a line of ``n`` tokens."""
+    return depth + F.floor(k * F.greatest(n - depth, F.lit(0)) / SEGMENTS).cast("int")
+
+
+def parsed(line: Column, *, depth: int, min_tokens: int) -> Column:
+    """n, leaf and the hashes of the runs; null for a line without a token. A short line is a leaf by itself."""
+
+    def of(t: Column) -> Column:
+        n = F.size(t)
+        leaf = F.xxhash64(n, F.when(n < min_tokens, t).otherwise(F.slice(t, 1, depth)))
+        runs = F.array(*[F.hash(F.slice(t, _edge(n, k, depth) + 1, _edge(n, k + 1, depth) - _edge(n, k, depth))) for k in range(SEGMENTS)])
+        return F.when(t[0] != "", F.struct(n.alias("n"), leaf.alias("leaf"), runs.alias("runs")))
+
+    return F.transform(F.array(F.split(masked(line), " ")), of)[0]
+
+
+def _keys(*, depth: int, min_tokens: int) -> Column:
+    """Hashes of the templates that a parsed line (n, leaf, runs) may be of."""
+    n, leaf, runs = F.col("n"), F.col("leaf"), [F.get("runs", k) for k in range(SEGMENTS)]
+    size = [_edge(n, k + 1, depth) - _edge(n, k, depth) for k in range(SEGMENTS)]
+    out = [F.xxhash64(leaf, *runs)]
+    for a, b in combinations(range(SEGMENTS), 2):
+        free = size[a] + size[b]
+        rest = [r for k, r in enumerate(runs) if k not in (a, b)]
+        out.append(F.when((n >= min_tokens) & (free > 0) & (free * SHARE <= n), F.xxhash64(leaf, F.lit(a), F.lit(b), *rest)))
+    return F.array_compact(F.array(*out))
+
+
+def parsed_lines(docs: DataFrame, id_col: str, text_col: str, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """id, hash (of the text), line, n, leaf, runs of every line with a token, in a table of the shared folder: texts are parsed once."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull() & text.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    rows = rows.select("id", "hash", F.posexplode(F.split("text", "\n")).alias("line", "said"))  # the text itself stays behind
+    found = rows.select("id", "hash", "line", parsed(F.col("said"), depth=depth, min_tokens=min_tokens).alias("p")).where("p IS NOT NULL")
+    return written(found.select("id", "hash", "line", "p.n", "p.leaf", "p.runs"), "lines")
+
+
+def recurring_lines(parsed: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, short_documents: int = SHORT_DOCUMENTS) -> DataFrame:
+    """id, hash, line of parsed lines whose template recurs, but for those of its first document."""
+    total = parsed.count()
+    leaves = parsed.groupBy("leaf").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("weight")).where("low < high").select("leaf", "weight")
+    shared = attach(parsed, written(leaves, "leaves"), ["leaf"], "weight", total)
+    keys = written(shared.select("id", "hash", "line", "n", "leaf", "runs"), "shared").select("id", "hash", "line", "n", F.explode(_keys(depth=depth, min_tokens=min_tokens)).alias("key"))
+    # a document counts once: the pair is reduced before it is shuffled, then the documents of a key are counted
+    holders = keys.groupBy("key", "id").agg(F.count("*").alias("weight"), F.min("n").alias("n")).groupBy("key").agg(F.count("*").alias("documents"), F.min("id").alias("first"), F.sum("weight").alias("weight"), F.min("n").alias("n"))
+    need = F.when(F.col("n") < min_tokens, short_documents).otherwise(min_documents)
+    recurring = written(holders.where(F.col("documents") >= need).select("key", "first", "weight"), "templates")
+    return attach(keys.select("id", "hash", "line", "key"), recurring, ["key"], "weight", total).where("id <> first").select("id", "hash", "line")
+
+
+def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, short_documents: int = SHORT_DOCUMENTS) -> DataFrame:
+    """``docs`` with ``text_col`` freed of recurring lines and a column ``lines_dropped`` (long), which replaces one of that name.
 
     A line ends at a line feed; kept lines are joined as they stood. Null text stays null and drops nothing; a row
-    with a null id is kept as it is. Rows that repeat an id count as one document. All columns of ``docs`` stay.
+    with a null id is kept as it is and counts for nothing. Rows that repeat an id are one document, so lines that they
+    alone share stay. An empty table gives an empty one. All other columns stay, whatever their names.
     """
-    lines = F.split(F.col(text_col), "\n")
-    keyed = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("__id"), F.posexplode(F.transform(lines, lambda x: template_keys(x, depth=depth, min_tokens=min_tokens, min_half=min_half))).alias("__line", "__keys")
-    )
-    keys = keyed.select("__id", "__line", F.explode("__keys").alias("__key"))
-    # a document counts once: the pair is reduced before it is shuffled, then the documents of a key are counted
-    holders = keys.select("__key", "__id").distinct().groupBy("__key").agg(F.count("*").alias("n"), F.min("__id").alias("__first"))
-    recurring = holders.where(F.col("n") >= min_documents).select("__key", "__first")
-    dropped = keys.join(recurring, "__key").where("__id <> __first").groupBy("__id").agg(F.collect_set("__line").alias("__dropped"))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("__dropped", i))
-    out = docs.join(dropped, F.col(id_col) == F.col("__id"), "left")
-    text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size("__dropped"), F.lit(0)).cast("long")
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n.alias("lines_dropped"))
+    names = [c for c in docs.columns if c.lower() != "lines_dropped"]
+    (table,) = fresh(docs.columns, "dropped")
+    found = recurring_lines(parsed_lines(docs, id_col, text_col, depth=depth, min_tokens=min_tokens), depth=depth, min_tokens=min_tokens, min_documents=min_documents, short_documents=short_documents)
+    dropped = found.groupBy("id", "hash").agg(F.array_sort(F.collect_set("line")).alias(table)).select(F.col("id").alias(f"{table}_id"), F.col("hash").alias(f"{table}_hash"), table)
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    text = rows[f"`{text_col}`"]
+    out = rows.join(dropped, (rows[f"`{id_col}`"] == dropped[f"{table}_id"]) & (F.xxhash64(text) == dropped[f"{table}_hash"]), "left")
+
+    lines, at = F.split(text, "\n"), F.col(table)
+    # a flag for each line, made from the stretches between those that are dropped: linear in the lines
+    stay = F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(F.size(lines))), lambda a, b: F.concat(F.array_repeat(F.lit(True), b - a - 1), F.array(F.lit(False)))))
+    rest = F.transform(F.array(F.struct(lines.alias("lines"), stay.alias("stay"))), lambda x: F.filter(x["lines"], lambda _, i: F.get(x["stay"], i)))[0]
+    new = F.when(F.col(table).isNull(), text).otherwise(F.array_join(rest, "\n"))
+    n = F.coalesce(F.size(table), F.lit(0)).cast("long")
+    return out.select(*[new.alias(c) if c == text_col else rows[f"`{c}`"] for c in names], n.alias("lines_dropped"))
 
 
+#: The same templates by their tokens as text.
 ORACLE = r"""
 WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(i) WHERE text IS NOT NULL),
-t AS (SELECT doc_id, i, line, string_split(regexp_replace(trim(regexp_replace(line, '[\x09-\x0D ]+', ' ', 'g'), ' '), '\S*[0-9]\S*', '<*>', 'g'), ' ') AS t FROM l),
-k AS (SELECT doc_id, i, unnest(list_filter([[0, len(t)]::VARCHAR || array_to_string(t, ' '), CASE WHEN len(t) >= 14 THEN [1, len(t)]::VARCHAR || array_to_string(t[1:(len(t) + 2) // 2], ' ') END,
-      CASE WHEN len(t) >= 14 THEN [2, len(t)]::VARCHAR || array_to_string(t[1:2] || t[(len(t) + 2) // 2 + 1:], ' ') END], lambda x: x IS NOT NULL)) AS key FROM t WHERE len(t) >= 4),
-h AS (SELECT key, min(doc_id) AS first FROM k GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
-d AS (SELECT DISTINCT doc_id, i FROM k JOIN h USING (key) WHERE doc_id <> first),
+t AS (SELECT doc_id, i, string_split(regexp_replace(trim(regexp_replace(line, '[\x09-\x0D ]+', ' ', 'g'), ' '), '\S*[0-9]\S*', '<*>', 'g'), ' ') AS t FROM l),
+n AS (SELECT doc_id, i, t, len(t) AS n, greatest(len(t) - 2, 0) AS r FROM t WHERE t[1] <> ''),
+p AS (SELECT a, b FROM range(8) a(a), range(8) b(b) WHERE a < b),
+k AS (SELECT doc_id, i, n, array_to_string(t, ' ') AS key FROM n UNION ALL
+      SELECT doc_id, i, n, concat_ws(' ', a, b, array_to_string(list_transform(t, (x, j) -> CASE WHEN j - 2 > a * r // 8 AND j - 2 <= (a + 1) * r // 8 OR j - 2 > b * r // 8 AND j - 2 <= (b + 1) * r // 8 THEN '' ELSE x END), ' ')) FROM n, p
+      WHERE n >= 4 AND (a + 1) * r // 8 - a * r // 8 + (b + 1) * r // 8 - b * r // 8 BETWEEN 1 AND n // 4),
+h AS (SELECT n, key, min(doc_id) AS first FROM k GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= CASE WHEN n < 4 THEN 20 ELSE 3 END),
+d AS (SELECT DISTINCT doc_id, i FROM k JOIN h USING (n, key) WHERE doc_id <> first),
 g AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (d.i IS NULL) AS text, count(d.i) AS n FROM l LEFT JOIN d USING (doc_id, i) GROUP BY 1)
 SELECT o.doc_id, CASE WHEN o.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text, coalesce(n, 0) AS lines_dropped FROM documents o LEFT JOIN g USING (doc_id)
 """

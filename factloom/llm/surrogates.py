@@ -277,8 +277,8 @@ def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_
         salt_of = lambda canon: F.lit(0)
     else:
         # only mentions of salted entities leave their row, each document's once; what comes back is their number and salt
-        mine = docs.where(may_hold(text)).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), every)
-        mine = mine.select("id", "hash", F.col("atom.canon").alias("canon"), F.pmod("hash", F.lit(SLICES)).alias("slice"))
+        mine = docs.where(may_hold(text)).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), F.flatten(F.transform(entities(text), atoms)).alias("atoms"))
+        mine = mine.select("id", "hash", F.explode(F.array_distinct("atoms")).alias("atom")).select("id", "hash", F.col("atom.canon").alias("canon"), F.pmod("hash", F.lit(SLICES)).alias("slice"))
         sliced = salts.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))))
         back = mine.join(sliced, ["canon", "slice"]).groupBy("id", "hash").agg(F.map_from_entries(F.collect_set(F.struct("canon", "salt"))).alias(table))
         back = back.select(F.col("id").alias(f"{table}_id"), F.col("hash").alias(f"{table}_hash"), table)

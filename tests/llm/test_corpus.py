@@ -65,18 +65,87 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def recurring(rows):
+    """doc_id: numbers of the lines that go, by comparing all lines of a leaf token by token."""
+    lines = []
+    for k, text in {(k, t) for k, t in rows if k is not None and t is not None}:
+        for at, line in enumerate(text.split("\n")):
+            tokens = [re.sub(r".*[0-9].*", "<*>", t) for t in line.split()]
+            if tokens:
+                lines.append((k, at, tokens))
+    gone = collections.defaultdict(set)
+    for k, at, tokens in lines:
+        n, rest = len(tokens), max(0, len(tokens) - 2)
+        run = [-1, -1, *(min(s for s in range(8) if j < (s + 1) * rest // 8) for j in range(rest))]
+        leaf = [x for x in lines if len(x[2]) == n and x[2][:2] == tokens[:2]]
+        same = {x[0] for x in leaf if x[2] == tokens}
+        if len(same) >= (20 if n < 4 else 3) and k != min(same):
+            gone[k].add(at)
+        for pair in itertools.combinations(range(8), 2) if n >= 4 else ():
+            free = [j for j in range(n) if run[j] in pair]
+            if 0 < len(free) <= n // 4:
+                like = {x[0] for x in leaf if all(x[2][j] == tokens[j] or j in free for j in range(n))}
+                if len(like) >= 3 and k != min(like):
+                    gone[k].add(at)
+    return gone
+
+
 def test_line_templates(spark):
-    shared = "Posted at 12:30 on 2020-01-%02d by the same old bot"
-    long = "alpha beta one two three four five six seven %s %s %s %s %s %s %s"
-    rows = [(k, f"own line number of doc {chr(97 + k) * 5}\n" + shared % (k + 1) + "\n" + long % tuple(f"{chr(97 + k)}{j * 'x'}" for j in range(7)) + "\nshort one") for k in range(5)] + ODD
-    out = {r["doc_id"]: r for r in drop_recurring_lines(frame(spark, rows)).collect()}
-    assert out[0]["text"] == rows[0][1] and out[0]["lines_dropped"] == 0
-    for k in range(1, 5):
-        assert out[k]["lines_dropped"] == 2 and out[k]["text"].split("\n")[1] == "short one"
-    assert out[900]["text"] is None and all(out[k]["text"] == t for k, t in ODD if t is not None)
+    own = lambda k, n: " ".join(f"{chr(97 + k)}{'xyz'[j % 3] * (j + 1)}" for j in range(n))
+    texts = []
+    for k in range(5):
+        texts.append(
+            "\n".join(
+                [
+                    f"own line of doc {own(k, 5)}",
+                    f"Posted at 12:30 on 2020-01-{k + 1:02} by the same old bot",
+                    f"twelve tokens are here and {own(k, 1)} is the one that differs now",
+                    f"eight tokens {own(k, 1)} where two {own(k + 1, 2).split()[1]} differ here",
+                    f"one common first half of a sentence has {own(k, 8)}",
+                    "short one",
+                    "",
+                ]
+            )
+        )
+    rows = list(enumerate(texts)) + ODD
+    got = {r["doc_id"]: r for r in drop_recurring_lines(frame(spark, rows)).collect()}
+    assert got[0]["text"] == texts[0] and got[0]["lines_dropped"] == 0
+    for k in range(1, 5):  # what differs in a quarter goes, what differs in half stays, a short line too
+        kept = texts[k].split("\n")
+        assert got[k]["text"] == "\n".join([kept[0], *kept[4:]]) and got[k]["lines_dropped"] == 3
+    assert got[900]["text"] is None and all(got[k]["text"] == t for k, t in ODD if t is not None)
     assert drop_recurring_lines(frame(spark, [])).count() == 0
-    once = drop_recurring_lines(frame(spark, rows[:2] + [rows[0]]))  # a repeated row is the same document
-    assert once.where("lines_dropped > 0").count() == 0
+
+
+def test_line_templates_equal_brute_force(spark):
+    r = random.Random(9)
+    word = lambda: r.choice(["the", "of", "cat", "dog", "sat", "on", "x1", "2020"])
+    bases = [[word() for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 9, 10, 14, 23) for _ in range(3)]
+
+    def line():
+        out = list(r.choice(bases))
+        for _ in range(r.choice((0, 0, 1, 2, 3))):
+            out[r.randrange(len(out))] = word()
+        return r.choice(["", " "]) + r.choice([" ", "  "]).join(out)
+
+    rows = [(k, "\n".join(line() for _ in range(r.randrange(1, 9)))) for k in range(60)]
+    rows += [rows[3], (None, rows[4][1]), (7, "the cat sat on the other mat"), *ODD[:5]]  # a repeated row, no id, another text of an id
+    gone = recurring(rows)
+    df = frame(spark, rows).withColumnRenamed("id", "dropped").withColumnRenamed("rank", "lines_dropped").withColumnRenamed("lang", "Line")
+    out = drop_recurring_lines(df)
+    assert out.columns == ["doc_id", "text", "Line", "source", "n_chars", "dropped", "lines_dropped"]
+    want = collections.Counter()
+    for k, t in rows:
+        at = {a for a in gone[k] if (k, a) in {(k, a) for a in gone[k]}} if k not in (7, None) and t is not None else set()
+        want[k, t if not at else "\n".join(x for a, x in enumerate(t.split("\n")) if a not in at), len(at)] += 1
+    got = collections.Counter((x["doc_id"], x["text"], x["lines_dropped"]) for x in out.collect())
+    assert {x: n for x, n in got.items() if x[0] != 7} == {x: n for x, n in want.items() if x[0] != 7} and sum(got.values()) == len(rows)
+
+
+def test_lines_are_dropped_in_linear_time(spark):
+    many = "\n".join("a recurring line of this log" if k % 2 else f"own{'x' * (k % 50)} words {'y' * (k % 61)} stay put {'z' * (k % 67)}" for k in range(100_000))
+    rows = [(k, "a recurring line of this log") for k in range(3)] + [(5, many)]
+    assert {r["doc_id"]: r["lines_dropped"] for r in drop_recurring_lines(frame(spark, rows)).collect()} == {0: 0, 1: 1, 2: 1, 5: 50_000}
 
 
 def test_packing_round_trip(spark):
