@@ -118,7 +118,7 @@ t AS (SELECT doc_id, i, string_split(regexp_replace(trim(regexp_replace(line, '[
 n AS (SELECT doc_id, i, t, len(t) AS n, greatest(len(t) - 2, 0) AS r FROM t WHERE t[1] <> ''),
 p AS (SELECT a, b FROM range(8) a(a), range(8) b(b) WHERE a < b),
 k AS (SELECT doc_id, i, n, array_to_string(t, ' ') AS key FROM n UNION ALL
-      SELECT doc_id, i, n, concat_ws(' ', a, b, array_to_string(list_transform(t, (x, j) -> CASE WHEN j - 2 > a * r // 8 AND j - 2 <= (a + 1) * r // 8 OR j - 2 > b * r // 8 AND j - 2 <= (b + 1) * r // 8 THEN '' ELSE x END), ' ')) FROM n, p
+      SELECT doc_id, i, n, concat_ws(' ', a, b, array_to_string(list_transform(t, lambda x, j: CASE WHEN j - 2 > a * r // 8 AND j - 2 <= (a + 1) * r // 8 OR j - 2 > b * r // 8 AND j - 2 <= (b + 1) * r // 8 THEN '' ELSE x END), ' ')) FROM n, p
       WHERE n >= 4 AND (a + 1) * r // 8 - a * r // 8 + (b + 1) * r // 8 - b * r // 8 BETWEEN 1 AND n // 4),
 h AS (SELECT n, key, min(doc_id) AS first FROM k GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= CASE WHEN n < 4 THEN 20 ELSE 3 END),
 d AS (SELECT DISTINCT doc_id, i FROM k JOIN h USING (n, key) WHERE doc_id <> first),
