@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.model import KB
+from ..plans.model import KB, content_id
 from ..plans.tables import written
 from .closure import components
 
@@ -124,12 +124,12 @@ def tuple_rows(tuples: DataFrame, *, mod: str = "m", element: str = "has_element
     """(statements, qualifiers) of ``tuples`` (tuple, elements array of URIs): a length and an indexed element each."""
     each = tuples.select("tuple", F.posexplode("elements").alias("place", "o"))
     null = F.lit(None).cast("string")
-    stm_id = F.sha2(F.concat_ws("|", "tuple", F.lit(element), F.col("place").cast("string")), 256)
+    stm_id = content_id(F.col("tuple"), F.lit(element), F.col("place"))
     common = [F.lit(mod).alias("mod"), F.col("place").cast("long").alias("seq"), F.col("tuple").alias("s")]
     elements = each.select(stm_id.alias("stm_id"), *common, F.lit(element).alias("p"), F.lit("E").alias("o_kind"), "o", null.alias("o_type"), null.alias("o_lex"), null.alias("o_lang"), null.alias("scope"), F.lit(False).alias("free"))
     size = F.size("elements")
     lengths = tuples.select(
-        F.sha2(F.concat_ws("|", "tuple", F.lit(length)), 256).alias("stm_id"), F.lit(mod).alias("mod"), F.lit(0).cast("long").alias("seq"), F.col("tuple").alias("s"), F.lit(length).alias("p"), F.lit("L").alias("o_kind"),
+        content_id(F.col("tuple"), F.lit(length)).alias("stm_id"), F.lit(mod).alias("mod"), F.lit(0).cast("long").alias("seq"), F.col("tuple").alias("s"), F.lit(length).alias("p"), F.lit("L").alias("o_kind"),
         F.concat(F.lit("n:"), size.cast("double").cast("string")).alias("o"), F.lit("int").alias("o_type"), size.cast("string").alias("o_lex"), null.alias("o_lang"), null.alias("scope"), F.lit(False).alias("free"),
     )
     place = F.col("place").cast("string")
@@ -152,4 +152,4 @@ def close_class(kb: KB, cls: str, *, instance: str = "instance_of", closed: str
 
 def new_id(prefix: str, *parts: Column) -> Column:
     """Id of a made entity from what made it: the same however often it is made."""
-    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))
+    return F.concat(F.lit(prefix), F.substring(content_id(*parts), 1, 32))

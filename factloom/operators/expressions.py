@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -53,7 +54,7 @@ class Expr:
         """The entity's name: equal for equal expressions."""
         import hashlib
 
-        return hashlib.sha256("|".join([self.op, *(a.name for a in self.args)]).encode()).hexdigest() if self.args else self.op
+        return hashlib.sha256(json.dumps([self.op, *(a.name for a in self.args)]).encode()).hexdigest() if self.args else self.op
 
     def rows(self) -> list[tuple[str, str, list[str]]]:
         """(mapping, operator, arguments) of this and all inner calls, each once."""
@@ -79,7 +80,7 @@ def fold(op: str, *args) -> Expr:
 
 def evaluated(calls: DataFrame, operator: str) -> DataFrame:
     """(mapping, args) for each distinct argument array of ``calls`` (args array<string>): the same call is the same entity."""
-    name = F.sha2(F.concat_ws("|", F.lit(operator), "args"), 256)
+    name = F.sha2(F.to_json(F.concat(F.array(F.lit(operator)), "args")), 256)
     return calls.select(name.alias("mapping"), "args").dropDuplicates(["mapping"])
 
 

@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.model import KB, statement
+from ..plans.model import KB, content_id, statement
 from .closure import is_class, superclasses
 from .edit import insert, new_id
 
 #: Relations whose statements about an operator's class hold for its instances: domains of three places and the range.
 SIGNATURE = ("domain_1", "domain_2", "domain_3", "range")
+_OBJECT = ("o_kind", "o", "o_type", "o_lex", "o_lang")
 
 
 class NotAClass(ValueError):
@@ -39,14 +40,13 @@ def new_instances(kb: KB, rows: DataFrame, *, instance: str = "instance_of", lab
 
 def inherited_signature(kb: KB, made: DataFrame, *, mod: str = "derived") -> DataFrame:
     """Statements that the entities of ``made`` (uri, cls) take over from their class; only relations with one object."""
-    own = kb.of(*SIGNATURE).select(F.col("s").alias("cls"), "p", "o", "o_kind")
-    single = own.groupBy("cls", "p").agg(F.count("*").alias("n"), F.first("o").alias("o")).where("n = 1")
-    taken = made.select("uri", "cls").join(single, "cls")
-    parts = None
-    for p in SIGNATURE:
-        one = taken.where(F.col("p") == p).select(*statement(F.col("uri"), p, F.col("o"), mod=mod))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    own = kb.of(*SIGNATURE).select(F.col("s").alias("cls"), "p", *_OBJECT)
+    single = own.groupBy("cls", "p").agg(F.count("*").alias("n"), F.first(F.struct(*_OBJECT)).alias("one")).where("n = 1")
+    taken = made.select("uri", "cls").join(single, "cls").select("uri", "p", "one.*")
+    null = F.lit(None).cast("string")
+    return taken.select(
+        content_id(F.col("uri"), F.col("p"), F.col("o")).alias("stm_id"), F.lit(mod).alias("mod"), F.lit(0).cast("long").alias("seq"), F.col("uri").alias("s"), "p", *_OBJECT, null.alias("scope"), F.lit(False).alias("free")
+    )
 
 
 @dataclass

@@ -153,7 +153,8 @@ def match(kb: KB, pattern: Pattern, *, sizes: dict[str, int] | None = None) -> D
     out, bound = _scan(kb, first, pattern.injective), edge_variables(first)
     while todo:
         linked = [e for e in todo if edge_variables(e) & bound]
-        e = linked[0] if linked else todo[0]
+        # most bound variables first: such an edge filters; then one that is followed from its subject, which fans out least
+        e = min(linked or todo, key=lambda e: (-len(edge_variables(e) & bound), getattr(e.s, "name", None) not in bound, *_cost(e, sizes)))
         todo.remove(e)
         scan, own = _scan(kb, e, pattern.injective), edge_variables(e)
         if not own:

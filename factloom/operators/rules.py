@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import map_of, render
-from ..plans.model import KB, constants
+from ..plans.model import KB, constants, content_id
 from ..plans.tables import written
 from .closure import RoundLimit
 from .edit import insert, merge_entities, new_id, representatives
@@ -109,7 +109,7 @@ def as_statements(rows: DataFrame, *, mod: str = "derived") -> DataFrame:
     number = F.col("o").startswith("n:")
     text = F.when(F.col("o_kind") == "L", F.substring("o", F.lit(3), F.length("o")))
     return rows.select(
-        F.sha2(F.concat_ws("|", F.lit(mod), F.col("s"), F.col("p"), F.col("o")), 256).alias("stm_id"), F.lit(mod).alias("mod"), F.lit(1).cast("long").alias("seq"), "s", "p", "o_kind", "o",
+        content_id(F.lit(mod), F.col("s"), F.col("p"), F.col("o")).alias("stm_id"), F.lit(mod).alias("mod"), F.lit(1).cast("long").alias("seq"), "s", "p", "o_kind", "o",
         F.when(F.col("o_kind") == "L", F.when(number, "float").otherwise("str")).alias("o_type"), text.alias("o_lex"), null.alias("o_lang"), null.alias("scope"), F.lit(False).alias("free"),
     )
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.model import content_id
+
 KINDS = ("SETTING", "PREMISE", "ASSERTION", "AND", "OR", "NOT", "UNIV_QUANT", "EXIS_QUANT")
 
 
@@ -73,7 +75,7 @@ def copy_scope(rows: DataFrame, names: DataFrame, scope: str) -> DataFrame:
     by_s, by_o = names.select(F.col("old").alias("s"), F.col("new").alias("__s")), names.select(F.col("old").alias("o"), F.col("new").alias("__o"))
     out = rows.join(by_s, "s", "left").join(by_o, "o", "left")
     out = out.withColumn("s", F.coalesce("__s", "s")).withColumn("o", F.coalesce("__o", "o")).withColumn("scope", F.lit(scope))
-    return out.withColumn("stm_id", F.sha2(F.concat_ws("|", "stm_id", F.lit(scope)), 256)).select(*rows.columns)
+    return out.withColumn("stm_id", content_id(F.col("stm_id"), F.lit(scope))).select(*rows.columns)
 
 
 def integer_range(spark, start: int, stop: int, step: int = 1) -> DataFrame:

@@ -112,11 +112,16 @@ def statement(s: Column, p: str, o: Column, *, kind: str = "E", o_type: str | No
     else:
         key = F.concat_ws("", F.lit("s:"), lex, *([F.concat(F.lit("@"), lang)] if lang is not None else []))
     return [
-        (F.sha2(F.concat_ws("|", s, F.lit(p), key), 256) if stm_id is None else stm_id).alias("stm_id"), F.lit(mod).alias("mod"), F.lit(0).cast("long").alias("seq"), s.alias("s"), F.lit(p).alias("p"),
+        (content_id(s, F.lit(p), key) if stm_id is None else stm_id).alias("stm_id"), F.lit(mod).alias("mod"), F.lit(0).cast("long").alias("seq"), s.alias("s"), F.lit(p).alias("p"),
         F.lit(kind).alias("o_kind"), key.alias("o"), F.lit(o_type).cast("string").alias("o_type"), lex.alias("o_lex"), (lang if lang is not None else null).alias("o_lang"), null.alias("scope"), F.lit(False).alias("free"),
     ]
 
 
+def content_id(*parts: Column) -> Column:
+    """SHA-256 of the parts as a JSON array: different parts, nulls among them, never have one text."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
+
+
 #: Fixed part of the taxonomy over the star schema.
 SUBCLASSES = [("region", "place"), ("nation", "place"), ("customer", "party"), ("supplier", "party"), ("order", "document"), ("user", "party"), ("place", "thing"), ("party", "thing"), ("document", "thing"), ("product", "thing"), ("thing", "meta")]
 
@@ -176,7 +181,7 @@ def star(spark: SparkSession, sf_dir: str) -> KB:
     def qualifiers() -> DataFrame:
         line = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
         quantity = F.col("l_quantity").cast("string")
-        stm_id = F.sha2(F.concat_ws("|", uri("O", "l_orderkey"), F.lit("contains"), uri("P", "l_partkey")), 256)
+        stm_id = content_id(uri("O", "l_orderkey"), F.lit("contains"), uri("P", "l_partkey"))
         return t("lineitem").select(
             stm_id.alias("stm_id"), line.alias("q_stm_id"), F.col("l_linenumber").cast("long").alias("seq"), F.lit("quantity").alias("p"), F.lit("L").alias("o_kind"), F.concat(F.lit("n:"), quantity).alias("o"),
             F.lit("float").alias("o_type"), quantity.alias("o_lex"), F.lit(None).cast("string").alias("o_lang"),

@@ -143,6 +143,13 @@ class _Parser:
     def step(self):
         if self.op("^"):
             return ("inverse", self.step())
+        if self.op("!"):
+            several, out = self.op("("), [self.term()[1]]
+            while several and self.op("|"):
+                out.append(self.term()[1])
+            if several:
+                self.need(")")
+            return ("not", out)
         if self.op("("):
             out = self.path()
             self.need(")")
@@ -237,6 +244,16 @@ class _Parser:
         out = self.expression(level + 1)
         while (op := self.op(*levels[level])) is not None:
             out = (op, out, self.expression(level + 1))
+        if level == 2 and (word := self.word("IN", "NOT")) is not None:
+            if word == "NOT" and not self.word("IN"):
+                self.fail("expected IN")
+            self.need("(")
+            listed = []
+            while not self.op(")"):
+                listed.append(self.expression(3))
+                self.op(",")
+            same = ("in", out, listed)
+            out = ("!", same) if word == "NOT" else same
         return out
 
     def unary(self):
@@ -315,6 +332,16 @@ class _Parser:
         return out
 
 
+def _loose(df: DataFrame) -> set[str]:
+    """Variables that a solution may leave unbound."""
+    return getattr(df, "_loose", set())
+
+
+def _marked(df: DataFrame, loose: set[str]) -> DataFrame:
+    df._loose = {c for c in loose if c in df.columns}
+    return df
+
+
 class _Plan:
     """Lowers parsed groups. Columns are variables; values are URIs or literal keys."""
 
@@ -322,6 +349,8 @@ class _Plan:
 
     def __init__(self, kb: KB):
         self.kb = kb
+        #: Columns that stand for a variable while the condition of an outer join is made.
+        self.over: dict[str, Column] = {}
 
     def edges(self, p: str | None = None) -> DataFrame:
         out = self.kb.edges(p, graph=False)
@@ -332,6 +361,8 @@ class _Plan:
         kind = path[0]
         if kind == "uri":
             return self.edges(path[1]).select(F.col("s").alias("a"), F.col("o").alias("b"))
+        if kind == "not":
+            return self.edges().where(~F.col("p").isin(*path[1])).select(F.col("s").alias("a"), F.col("o").alias("b"))
         if kind == "inverse":
             return self.pairs(path[1]).select(F.col("b").alias("a"), F.col("a").alias("b"))
         if kind == "seq":
@@ -396,17 +427,73 @@ class _Plan:
             bound |= names(t)
         return out
 
-    def join(self, x: DataFrame, y: DataFrame, how: str = "inner") -> DataFrame:
+    def join(self, x: DataFrame, y: DataFrame, how: str = "inner", filters: list = ()) -> DataFrame:
+        """Compatible solutions of both sides: equal where both bind a variable. ``filters`` see the variables of both (outer joins)."""
+        shared = [c for c in x.columns if c in y.columns]
+        soft = [c for c in shared if c in _loose(x) | _loose(y)]
+        # what stays unbound: loose on both sides, or on the one side that has it, or of the optional side alone
+        loose = {c for c in _loose(x) | _loose(y) if c not in shared or (c in _loose(x) and (c in _loose(y) or how == "left"))}
+        if how == "left":
+            loose |= {c for c in y.columns if c not in x.columns}
+        if not soft and not filters:
+            if shared:
+                return _marked(x.join(y, shared, how), loose)
+            return _marked(x.crossJoin(y) if how == "inner" else x.join(y, F.lit(True), how), loose)
+        right = y.select(*[F.col(c).alias(f"__r_{c}" if c in shared else c) for c in y.columns])
+        on = reduce(lambda p, q: p & q, [self.same(c, c in soft) for c in shared], F.lit(True))
+        self.over = {c: F.coalesce(F.col(c), F.col(f"__r_{c}")) for c in soft}
+        for e in filters:
+            on = on & self.truth(e, [*x.columns, *y.columns])
+        self.over = {}
+        out = x.join(right, on, how)
+        names = [F.coalesce(F.col(c), F.col(f"__r_{c}")).alias(c) if c in soft else F.col(c) for c in x.columns]
+        return _marked(out.select(*names, *[F.col(c) for c in y.columns if c not in x.columns]), loose)
+
+    def same(self, c: str, soft: bool) -> Column:
+        equal = F.col(c) == F.col(f"__r_{c}")
+        return equal | F.col(c).isNull() | F.col(f"__r_{c}").isNull() if soft else equal
+
+    def without(self, x: DataFrame, y: DataFrame) -> DataFrame:
+        """MINUS: not the solutions that a compatible one of ``y`` shares a bound variable with."""
+        shared = [c for c in x.columns if c in y.columns]
+        if not shared:
+            return x
+        soft = [c for c in shared if c in _loose(x) | _loose(y)]
+        y = y.select(*shared).distinct()
+        if not soft:
+            return _marked(x.join(y, shared, "left_anti"), _loose(x))
+        right = y.select(*[F.col(c).alias(f"__r_{c}") for c in shared])
+        on = reduce(lambda p, q: p & q, [self.same(c, c in soft) for c in shared])
+        if len(soft) == len(shared):
+            on = on & reduce(lambda p, q: p | q, [F.coalesce(F.col(c) == F.col(f"__r_{c}"), F.lit(False)) for c in shared])
+        return _marked(x.join(right, on, "left_anti"), _loose(x))
+
+    def there(self, x: DataFrame, g: _Group, negated: bool) -> DataFrame:
+        """(NOT) EXISTS: its group's filters see the outer variables."""
+        inner, filters = self.apart(g)
+        how = "left_anti" if negated else "left_semi"
+        y = self.group(inner)
+        y = y if y is not None else self.kb.spark.range(1).select()
         shared = [c for c in x.columns if c in y.columns]
-        if shared:
-            return x.join(y, shared, how)
-        return x.crossJoin(y) if how == "inner" else x.join(y, F.lit(True), how)
+        if not shared and not filters:
+            return _marked(x.join(y.limit(1), F.lit(True), how), _loose(x))
+        right = y.select(*[F.col(c).alias(f"__r_{c}" if c in shared else c) for c in y.columns]).distinct()
+        on = reduce(lambda p, q: p & q, [self.same(c, c in _loose(x) | _loose(y)) for c in shared], F.lit(True))
+        for e in filters:
+            on = on & self.truth(e, [*x.columns, *y.columns])
+        return _marked(x.join(right, on, how), _loose(x))
+
+    def apart(self, g: _Group) -> tuple[_Group, list]:
+        """A group without its own filters, and these."""
+        inner = _Group()
+        inner.steps = [s for s in g.steps if s[0] != "filter"]
+        return inner, [s[1] for s in g.steps if s[0] == "filter"]
 
     def value(self, e, columns: list[str]) -> Column:
         """A term for comparing: numbers as numbers, all else as text."""
         kind = e[0]
         if kind == "var":
-            return F.col(e[1]) if e[1] in columns else F.lit(None).cast("string")
+            return self.over.get(e[1], F.col(e[1])) if e[1] in columns else F.lit(None).cast("string")
         if kind in ("lit", "uri"):
             return F.lit(e[1])
         if kind == "call":
@@ -450,6 +537,8 @@ class _Plan:
             return self.truth(e[1], columns) & self.truth(e[2], columns)
         if e[0] == "!":
             return ~self.truth(e[1], columns)
+        if e[0] == "in":
+            return reduce(lambda x, y: x | y, [self.truth(("=", e[1], x), columns) for x in e[2]], F.lit(False))
         if e[0] in ("=", "!="):
             same = self.value(e[1], columns) == self.value(e[2], columns)
             return same if e[0] == "=" else ~same
@@ -469,36 +558,40 @@ class _Plan:
             if kind in ("filter", "exists"):
                 late.append(step)
                 continue
+            if out is None and kind in ("bind", "optional", "minus"):
+                out = self.kb.spark.range(1).select()
             if kind == "bind":
-                out = (out if out is not None else self.kb.spark.range(1).select()).withColumn(step[2], self.value(step[1], out.columns if out is not None else []))
+                out = _marked(out.withColumn(step[2], self.value(step[1], out.columns)), _loose(out) | {step[2]})
+                continue
+            if kind == "optional":
+                inner, filters = self.apart(step[1])
+                more = self.group(inner)
+                out = out if more is None else self.join(out, more, "left", filters)
+                continue
+            if kind == "minus":
+                out = self.without(out, self.group(step[1]))
                 continue
             if kind == "triples":
                 more = self.basic(step[1])
             elif kind == "values":
                 more = constants(self.kb.spark, step[2], step[1])
             elif kind == "union":
-                more = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), map(self.group, step[1]))
+                branches = [self.group(b) for b in step[1]]
+                every = {c for b in branches for c in b.columns}
+                loose = {c for c in every if any(c not in b.columns or c in _loose(b) for b in branches)}
+                more = _marked(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), branches), loose)
             elif kind == "select":
                 more = self.select(step[1])
             else:
                 more = self.group(step[1])
-            if out is None:
-                out = more
-            elif kind == "optional":
-                out = self.join(out, more, "left")
-            elif kind == "minus":
-                shared = [c for c in out.columns if c in more.columns]
-                out = out.join(more.select(*shared).distinct(), shared, "left_anti") if shared else out
-            else:
-                out = self.join(out, more)
+            out = more if out is None else self.join(out, more)
         for step in late:
+            if out is None:
+                out = self.kb.spark.range(1).select()
             if step[0] == "filter":
-                out = out.where(self.truth(step[1], out.columns))
+                out = _marked(out.where(self.truth(step[1], out.columns)), _loose(out))
             else:
-                more = self.group(step[1])
-                shared = [c for c in out.columns if c in more.columns]
-                how = "left_anti" if step[2] else "left_semi"
-                out = out.join(more.select(*shared).distinct(), shared, how) if shared else out.join(more.limit(1), F.lit(True), how)
+                out = self.there(out, step[1], step[2])
         return out
 
     def key(self, e) -> str:
@@ -539,6 +632,7 @@ class _Plan:
         df = self.group(q["where"])
         if df is None:
             df = self.kb.spark.range(1).select()
+        q["where_bound"] = set(df.columns) - _loose(df)
         names = q["names"]
         if names is None:
             names = [(c, ("var", c)) for c in df.columns if not c.startswith("__")]
@@ -553,18 +647,25 @@ class _Plan:
         for name, e in names:
             if e != ("var", name):
                 df = df.withColumn(name, self.value(e, df.columns))
+        asked = [n for n, _ in names]
+        if q["distinct"]:  # before the order, which a distinct would lose
+            df = df.select(*[self.value(("var", n), df.columns).alias(n) for n in asked]).distinct()
         if q["order"]:
             keys = []
             for e, down in q["order"]:
+                if q["distinct"] and e[0] == "var" and e[1] not in df.columns:
+                    raise SparqlError(f"?{e[1]} orders distinct rows that do not have it")
                 for c in (self.number(e, df.columns), self.value(e, df.columns)):
                     keys.append(c.desc() if down else c.asc())
             df = df.orderBy(*keys)
-        out = df.select(*[self.value(("var", n), df.columns).alias(n) for n, _ in names])
-        if q["distinct"]:
-            out = out.distinct()
+        out = df.select(*[self.value(("var", n), df.columns).alias(n) for n in asked])
         if q["offset"]:
             out = out.offset(q["offset"])
-        return out if q["limit"] is None else out.limit(q["limit"])
+        if q["limit"] is not None:
+            out = out.limit(q["limit"])
+        # a group's key, a count and a variable that every solution binds are bound
+        fixed = {n for n in asked if n in df.columns and n in q["where_bound"] and not found} | {n for n in q["group"] if n in q["where_bound"]}
+        return _marked(out, set(asked) - fixed)
 
 
 def query(kb: KB, text: str, *, labels: dict[str, str] | None = None) -> DataFrame:

@@ -66,8 +66,12 @@ class Store:
         except Exception:
             self._fs.delete(self._path(aside), True)
             raise
-        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+        old = f"{self.root}/.{name}-old"
+        self._fs.delete(self._path(old), True)
+        if self._exists(f"{self.root}/{name}"):
+            self._fs.rename(self._path(f"{self.root}/{name}"), self._path(old))
         self._fs.rename(self._path(aside), self._path(f"{self.root}/{name}"))
+        self._fs.delete(self._path(old), True)
 
     def load(self, name: str, *, into: KB | None = None, reuse: bool = True) -> KB:
         """A module, alone or added to a knowledge base; one that is in it already is kept (``reuse``) or put anew."""

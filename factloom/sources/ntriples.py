@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sub_uri, uri_base
-from ..plans.model import KB
+from ..plans.model import KB, content_id
 
 _XSD = "http://www.w3.org/2001/XMLSchema#"
 _TYPES = {"int": "integer", "bool": "boolean", "float": "double"}
@@ -90,7 +90,7 @@ def import_facts(kb: KB, triples: DataFrame, *, instance: str, functional: tuple
     key = F.when(F.col("o_is_uri"), F.col("o")).when(F.col("o_type").isin("int", "float", "bool"), F.concat(F.lit("n:"), number.cast("string"))).otherwise(F.concat_ws("", F.lit("s:"), "o", F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang"))))
     null = F.lit(None).cast("string")
     rows = direct.select(
-        F.sha2(F.concat_ws("|", F.lit(mod), "s", "p", key), 256).alias("stm_id"), F.lit(mod).alias("mod"), F.lit(0).cast("long").alias("seq"), "s", "p", F.when(F.col("o_is_uri"), "E").otherwise("L").alias("o_kind"), key.alias("o"),
+        content_id(F.lit(mod), F.col("s"), F.col("p"), key).alias("stm_id"), F.lit(mod).alias("mod"), F.lit(0).cast("long").alias("seq"), "s", "p", F.when(F.col("o_is_uri"), "E").otherwise("L").alias("o_kind"), key.alias("o"),
         "o_type", F.when(~F.col("o_is_uri"), F.col("o")).alias("o_lex"), "o_lang", null.alias("scope"), F.lit(False).alias("free"),
     )
     rows = rows.join(kb.statements.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select(*kb.statements.columns)
