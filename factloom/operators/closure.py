@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import KB
@@ -195,3 +195,40 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
         if same:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def direct_instances(kb: KB, cls: str, *, keep: Column | None = None, instance: str = "instance_of") -> DataFrame:
+    """(s) of a class's own instances, those that a condition on ``s`` keeps."""
+    out = kb.of(instance).where(F.col("o") == cls).select("s").distinct()
+    return out if keep is None else out.where(keep)
+
+
+def class_counts(kb: KB, *, instance: str = "instance_of", subclass: str = "subclass_of") -> DataFrame:
+    """(cls, n): instances of each class, those of the classes below it included. An instance counts once for a class."""
+    own = kb.of(instance).select("s", F.col("o").alias("cls")).distinct()
+    sizes = own.groupBy("cls").agg(F.count("*").alias("n"))
+    above = superclasses(kb, subclass=subclass).select("cls", "above")
+    single = own.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").limit(1).isEmpty()
+    if single:  # every instance has one class: sizes add up along the paths, and no instance is shuffled again
+        return sizes.unionByName(sizes.join(above, "cls").select(F.col("above").alias("cls"), "n")).groupBy("cls").agg(F.sum("n").alias("n"))
+    every = own.unionByName(own.join(above, "cls").select("s", F.col("above").alias("cls"))).distinct()
+    return every.groupBy("cls").agg(F.count("*").alias("n"))
+
+
+def subclass_pairs(kb: KB, pairs: DataFrame, *, subclass: str = "subclass_of", allow_id: bool = False) -> DataFrame:
+    """``pairs`` (cls, above) with ``holds``: whether the second is reached by subclass edges; equal ones only with ``allow_id``."""
+    true = superclasses(kb, subclass=subclass).select("cls", "above").withColumn("yes", F.lit(True))
+    same = F.lit(allow_id) & (F.col("cls") == F.col("above"))
+    return pairs.join(true, ["cls", "above"], "left").select("cls", "above", (F.coalesce("yes", F.lit(False)) | same).alias("holds"))
+
+
+def walk(kb: KB, start: str, relation: str) -> DataFrame:
+    """(node, hops): the chain of a functional relation from one entity until there is no next; a cycle ends it, too."""
+    edges = relation_edges(kb, relation)
+    found = written(kb.spark.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("hops")), "walk")
+    for hop in count(1):
+        last = found.where(F.col("hops") == hop - 1)
+        new = written(edges.join(last, edges["a"] == last["node"]).select(edges["b"].alias("node"), F.lit(hop).alias("hops")).join(found.select("node"), "node", "left_anti"), "walk")
+        if new.isEmpty():
+            return found
+        found = written(found.unionByName(new), "walk")

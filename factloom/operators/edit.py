@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.model import KB, content_id
+from ..plans.model import KB, content_id, statement
 from ..plans.tables import written
 from .closure import components
 
@@ -48,9 +48,16 @@ def insert(kb: KB, rows: DataFrame, *, functional: tuple[str, ...] = (), only_ne
     return after
 
 
-def for_subjects(subjects: DataFrame, columns: list[Column]) -> DataFrame:
-    """One statement for each subject (column s), by the columns of a statement."""
-    return subjects.select(*columns)
+def for_pairs(subjects: DataFrame, p: str, objects: DataFrame, *, mod: str = "m") -> DataFrame:
+    """A statement for each subject (s) and each of the few objects (o) of a relation: several of either at once."""
+    every = subjects.select("s").distinct().crossJoin(objects.select("o").distinct())
+    return every.select(*statement(F.col("s"), p, F.col("o"), mod=mod))
+
+
+def leftovers(kb: KB, mod: str) -> DataFrame:
+    """(kind, name): entities and statements that a module has, to be none once it is unloaded."""
+    entities = kb.entities.where(F.col("mod") == mod).select(F.lit("entity").alias("kind"), F.col("uri").alias("name"))
+    return entities.unionByName(kb.statements.where(F.col("mod") == mod).select(F.lit("statement").alias("kind"), F.col("stm_id").alias("name")))
 
 
 def overwrite(kb: KB, rows: DataFrame) -> KB:

@@ -150,3 +150,33 @@ def with_tombstones(kb: KB, nodes: DataFrame) -> DataFrame:
     """``nodes`` (node) with what they are: live entity, removed entity, or literal."""
     out = nodes.join(kb.entities.select(F.col("uri").alias("node"), "unlinked"), "node", "left")
     return out.select("node", F.when(F.col("unlinked").isNull(), "literal").when(F.col("unlinked"), "removed").otherwise("entity").alias("kind"))
+
+
+def truths(kb: KB, rows: DataFrame) -> DataFrame:
+    """``rows`` (s, p, o) with ``holds``: whether the statement is there."""
+    true = kb.statements.select("s", "p", "o").distinct().withColumn("yes", F.lit(True))
+    return rows.join(true, ["s", "p", "o"], "left").select("s", "p", "o", F.coalesce("yes", F.lit(False)).alias("holds"))
+
+
+def tuple_difference(kb: KB, first: str, second: str, **more) -> DataFrame:
+    """(place, argument): elements of one tuple that the other has not, in the first's order of places."""
+    elements = tuple_elements(kb, **more)
+    one = elements.where(F.col("tuple") == first).select("place", "argument")
+    return one.join(elements.where(F.col("tuple") == second).select("argument"), "argument", "left_anti").select("place", "argument")
+
+
+def unused_places(kb: KB, tuples: DataFrame, size: int, **more) -> DataFrame:
+    """(tuple, place): the places from 0 to ``size`` - 1 that a tuple has no element at."""
+    every = tuples.select("tuple").distinct().withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
+    return every.join(tuple_elements(kb, **more).select("tuple", "place"), ["tuple", "place"], "left_anti")
+
+
+def scope_free(kb: KB) -> DataFrame:
+    """(uri) of the entities that lie in no scope: the nodes of the graph that rules see."""
+    return kb.entities.where("scope IS NULL AND NOT unlinked").select("uri")
+
+
+def is_qualifier(kb: KB, ids: DataFrame) -> DataFrame:
+    """``ids`` (stm_id) with ``qualifier``: whether it is a statement about a statement."""
+    own = kb.qualifiers.select(F.col("q_stm_id").alias("stm_id")).distinct().withColumn("yes", F.lit(True))
+    return ids.join(own, "stm_id", "left").select("stm_id", F.coalesce("yes", F.lit(False)).alias("qualifier"))

@@ -223,6 +223,31 @@ def assume(kb: KB, rules: list[Rule], s: str, p: str, objects: list[str], *, max
     return kb, refuted
 
 
+def relation_counts(rows: DataFrame) -> DataFrame:
+    """(p, n): what deltas assert, by relation."""
+    return rows.groupBy("p").agg(F.count("*").alias("n"))
+
+
+def report_counts(*deltas: DataFrame) -> DataFrame:
+    """(n): statements of all partial results together."""
+    return reduce(DataFrame.unionByName, [d.agg(F.count("*").alias("n")) for d in deltas]).agg(F.sum("n").alias("n"))
+
+
+def bijection_report(kb: KB, classes: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """(relation, n, total, product): admissible bijections for each negative relation of closed classes, their sum and product."""
+    found = [bijections(kb, s, o, p).agg(F.lit(p).alias("relation"), F.countDistinct("assignment").alias("n")) for p, (s, o) in classes.items()]
+    counts = reduce(DataFrame.unionByName, found)  # a row a relation
+    both = counts.agg(F.sum("n").alias("total"), F.aggregate(F.collect_list("n"), F.lit(1).cast("long"), lambda x, y: x * y).alias("product"))
+    return counts.crossJoin(both)
+
+
+def open_pairs(subjects: DataFrame, relations: DataFrame, kb: KB) -> DataFrame:
+    """(s, p) for each subject (s) and relation (p) without a statement; as many rows as subjects and a few relations make."""
+    every = subjects.select("s").distinct().crossJoin(relations.select("p").distinct())
+    named = [r["p"] for r in relations.select("p").distinct().collect()]  # the vocabulary's relations
+    return every.join(kb.of(*named).select("s", "p").distinct(), ["s", "p"], "left_anti")
+
+
 def violations(kb: KB, rule: Rule) -> DataFrame:
     """(violation, rule, bindings): an item for each match of a constraint rule's premise."""
     found = bindings(kb, rule)
