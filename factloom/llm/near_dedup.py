@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import text_chunks, written
+from .common import attach, text_chunks, written
 from .components import components
 from .words import mix, shingle_hashes, word_hashes
 
+#: Pairs of one hub that are compared in one place.
+HUB_PAIRS = 1000
+
 _SIGNATURE = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -125,16 +128,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Two texts are linked if 100 * |A & B| >= percent * |A | B| for their sets of ``shingle``-word shingles. A null
     text is empty; an empty set is linked with nothing. A row with a null id keeps itself and has no component.
-    Rows that repeat an id are one document each; they share the component. Other columns are not read.
+    Rows that repeat an id are one document each; they share the component. Other columns are not read. An empty
+    table gives an empty one. No key (a set, a band, a hub) with many rows has them in one task: see ``attach``.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_signatures(shingle, bands, rows), _SIGNATURE), "signatures")
     sets = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"))
+    same, total = ["set_a", "set_b", "n_shingles"], signed.count()
+    classes = written(sets.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     members = written(
-        sets.join(classes, ["set_a", "set_b", "n_shingles"]).select("id", "rep", "n_shingles", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members"
+        attach(sets, classes, same, "copies", total).select("id", "rep", "n_shingles", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members"
     )
-    links = _links(members.where("bands IS NOT NULL").dropDuplicates(["id"]), texts, shingle, percent)
+    links = _links(members.where("bands IS NOT NULL").dropDuplicates(["id"]), texts, shingle, percent, total * bands)
     found = members.select("id", "rep").distinct().join(links, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n_shingles").join(found, "id", "left")
     component = F.coalesce("component", "id")
@@ -143,11 +148,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _links(reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, component) of representatives that a confirmed link joins to another."""
+def _links(reps: DataFrame, texts: DataFrame, shingle: int, percent: int, total: int) -> DataFrame:
+    """(node, component) of representatives that a confirmed link joins to another; ``total`` bounds their band keys."""
     keys = reps.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    buckets = written(keys.join(shared, "key"), "buckets")
+    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("held")).where("hub < last").select("key", "hub", "held")
+    buckets = written(attach(keys, written(shared, "shared"), ["key"], "held", total).select("key", "id", "hub"), "buckets")
     nodes = buckets.select("id").distinct()
     sets = written(texts.join(nodes, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_full_sets(shingle), _SETS), "sets")
     pairs = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -191,11 +196,15 @@ def _prefix_pairs(left: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) by the full sets of both."""
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_x"))
+    """(a, b, linked) by the full sets of both. A hub of many pairs has its set in as many slices as keep them apart."""
+    pairs = written(pairs, "pairs")
+    hubs = written(pairs.groupBy("a").agg(F.count("*").alias("held")), "hubs").withColumn("slices", F.ceil(F.col("held") / HUB_PAIRS))
+    sliced = attach(pairs, hubs, ["a"], "held", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), "slices").alias("slice"))
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_x")).join(hubs.select("a", "slices"), "a")
+    one = one.select("a", "set_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
     other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_y"))
     both = F.size(F.array_intersect("set_x", "set_y"))
-    return pairs.join(other, "b").join(one, "a").select("a", "b", (100 * both >= percent * (F.size("set_x") + F.size("set_y") - both)).alias("linked"))
+    return sliced.join(other, "b").join(one, ["a", "slice"]).select("a", "b", (100 * both >= percent * (F.size("set_x") + F.size("set_y") - both)).alias("linked"))
 
 
 ORACLE = r"""
