@@ -29,11 +29,14 @@ SHORT_DOCUMENTS = 20
 SEGMENTS = 8
 #: One variable token for so many of a line.
 SHARE = 4
+#: Templates that are sent to all executors at most (24 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 def masked(line: Column) -> Column:
     """The line with tokens joined by single spaces, those with a digit as ``<*>``."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[\x09-\x0D ]+", " ")), r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")
+    tight = F.trim(F.regexp_replace(line, r"[\x09-\x0D ]+", " "))
+    return F.transform(F.array(tight), lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(t))[0]
 
 
 def _edge(n: Column, k: int, depth: int) -> Column:
@@ -42,7 +45,7 @@ def _edge(n: Column, k: int, depth: int) -> Column:
 
 
 def parsed(line: Column, *, depth: int, min_tokens: int) -> Column:
-    """n, leaf and the hashes of the runs; null for a line without a token. A short line is a leaf by itself."""
+    """An array of one n, leaf and the hashes of the runs; its entry is null for a line without a token. A short line is a leaf by itself."""
 
     def of(t: Column) -> Column:
         n = F.size(t)
@@ -50,7 +53,7 @@ def parsed(line: Column, *, depth: int, min_tokens: int) -> Column:
         runs = F.array(*[F.hash(F.slice(t, _edge(n, k, depth) + 1, _edge(n, k + 1, depth) - _edge(n, k, depth))) for k in range(SEGMENTS)])
         return F.when(t[0] != "", F.struct(n.alias("n"), leaf.alias("leaf"), runs.alias("runs")))
 
-    return F.transform(F.array(F.split(masked(line), " ")), of)[0]
+    return F.transform(F.array(F.split(masked(line), " ")), of)
 
 
 def _keys(*, depth: int, min_tokens: int) -> Column:
@@ -70,21 +73,31 @@ def parsed_lines(docs: DataFrame, id_col: str, text_col: str, *, depth: int = DE
     text = F.col(f"`{text_col}`")
     rows = docs.where(F.col(f"`{id_col}`").isNotNull() & text.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     rows = rows.select("id", "hash", F.posexplode(F.split("text", "\n")).alias("line", "said"))  # the text itself stays behind
-    found = rows.select("id", "hash", "line", parsed(F.col("said"), depth=depth, min_tokens=min_tokens).alias("p")).where("p IS NOT NULL")
-    return written(found.select("id", "hash", "line", "p.n", "p.leaf", "p.runs"), "lines")
+    found = rows.select("id", "hash", "line", F.inline(parsed(F.col("said"), depth=depth, min_tokens=min_tokens)))  # a generator evaluates it once
+    return written(found.where("n IS NOT NULL"), "lines")
 
 
 def recurring_lines(parsed: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, short_documents: int = SHORT_DOCUMENTS) -> DataFrame:
     """id, hash, line of parsed lines whose template recurs, but for those of its first document."""
     total = parsed.count()
     leaves = parsed.groupBy("leaf").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("weight")).where("low < high").select("leaf", "weight")
-    shared = attach(parsed, written(leaves, "leaves"), ["leaf"], "weight", total)
-    keys = written(shared.select("id", "hash", "line", "n", "leaf", "runs"), "shared").select("id", "hash", "line", "n", F.explode(_keys(depth=depth, min_tokens=min_tokens)).alias("key"))
+    lines = written(attach(parsed, written(leaves, "leaves"), ["leaf"], "weight", total).drop("weight"), "shared")
+    # two runs may vary, so of three groups of runs one is the same in all lines of a template: others have no partner
+    groups = lines.select("id", "hash", "line", F.explode(F.array(*[F.xxhash64("leaf", F.lit(g), F.slice("runs", 1 + 3 * g, 3)) for g in range(3)])).alias("key"))
+    met = groups.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("weight")).where("low < high").select("key", "weight")
+    some = attach(groups, written(met, "met"), ["key"], "weight", total).select("id", "hash", "line").distinct()
+    lines = written(lines.join(some, ["id", "hash", "line"], "left_semi"), "candidates")
+    keys = lines.select("id", "hash", "line", "n", F.explode(_keys(depth=depth, min_tokens=min_tokens)).alias("key"))
     # a document counts once: the pair is reduced before it is shuffled, then the documents of a key are counted
     holders = keys.groupBy("key", "id").agg(F.count("*").alias("weight"), F.min("n").alias("n")).groupBy("key").agg(F.count("*").alias("documents"), F.min("id").alias("first"), F.sum("weight").alias("weight"), F.min("n").alias("n"))
     need = F.when(F.col("n") < min_tokens, short_documents).otherwise(min_documents)
     recurring = written(holders.where(F.col("documents") >= need).select("key", "first", "weight"), "templates")
-    return attach(keys.select("id", "hash", "line", "key"), recurring, ["key"], "weight", total).where("id <> first").select("id", "hash", "line")
+    mentions = keys.select("id", "hash", "line", "key")
+    if recurring.count() <= MOST_BROADCAST:
+        found = mentions.join(F.broadcast(recurring), "key")
+    else:
+        found = attach(mentions, recurring, ["key"], "weight", total)
+    return found.where("id <> first").select("id", "hash", "line").distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, short_documents: int = SHORT_DOCUMENTS) -> DataFrame:
