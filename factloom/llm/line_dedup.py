@@ -35,7 +35,7 @@ MOST_BROADCAST = 500_000
 
 def masked(line: Column) -> Column:
     """The line with tokens joined by single spaces, those with a digit as ``<*>``."""
-    tight = F.trim(F.regexp_replace(line, r"[\x09-\x0D ]+", " "))
+    tight = F.trim(F.regexp_replace(line, r"[\x09-\x0D ]{2,}|[\x09-\x0D]", " "))
     return F.transform(F.array(tight), lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(t))[0]
 
 
@@ -56,16 +56,29 @@ def parsed(line: Column, *, depth: int, min_tokens: int) -> Column:
     return F.transform(F.array(F.split(masked(line), " ")), of)
 
 
-def _keys(*, depth: int, min_tokens: int) -> Column:
-    """Hashes of the templates that a parsed line (n, leaf, runs) may be of."""
-    n, leaf, runs = F.col("n"), F.col("leaf"), [F.get("runs", k) for k in range(SEGMENTS)]
-    size = [_edge(n, k + 1, depth) - _edge(n, k, depth) for k in range(SEGMENTS)]
-    out = [F.xxhash64(leaf, *runs)]
-    for a, b in combinations(range(SEGMENTS), 2):
-        free = size[a] + size[b]
-        rest = [r for k, r in enumerate(runs) if k not in (a, b)]
-        out.append(F.when((n >= min_tokens) & (free > 0) & (free * SHARE <= n), F.xxhash64(leaf, F.lit(a), F.lit(b), *rest)))
-    return F.array_compact(F.array(*out))
+def _keyed(lines: DataFrame, *, depth: int, min_tokens: int, extra: list[str]) -> DataFrame:
+    """``extra``, n and key of each template that a parsed line (n, leaf, runs) may be of; those without variables have the runs -1, -1.
+
+    The line's hash is the leaf's and the runs' by exclusive or, so that two runs are taken out by the same. Pairs with
+    an empty run are one template each: of such runs the first one stands for all, and the first of all is one of them.
+    """
+    whole = F.xxhash64("leaf")
+    for k in range(SEGMENTS):
+        whole = whole.bitwiseXOR(F.xxhash64(F.get("runs", k), F.lit(k)))
+    pairs = [(-1, -1), *combinations(range(SEGMENTS), 2)]
+    pair = F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]))
+    rows = lines.select(*extra, "n", "runs", whole.alias("whole"), F.greatest(F.col("n") - depth, F.lit(0)).alias("rest"))
+    rows = rows.select("*", pair)  # one row a pair keeps the expressions small enough for generated code
+
+    def size(k: Column) -> Column:
+        return F.floor((k + 1) * F.col("rest") / SEGMENTS) - F.floor(k * F.col("rest") / SEGMENTS)
+
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    free = size(a) + size(b)
+    rows = rows.where((a < 0) | ((n >= min_tokens) & (size(b) > 0) & ((a == 0) | (size(a) > 0)) & (free * SHARE <= n)))
+    out = [F.xxhash64(F.get("runs", k), k) for k in (a, b)]
+    key = F.when(a < 0, F.xxhash64("whole", a, b)).otherwise(F.xxhash64(F.col("whole").bitwiseXOR(out[0]).bitwiseXOR(out[1]), a, b))
+    return rows.select(*extra, "n", key.alias("key"))
 
 
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -80,19 +93,21 @@ def parsed_lines(docs: DataFrame, id_col: str, text_col: str, *, depth: int = DE
 def recurring_lines(parsed: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, short_documents: int = SHORT_DOCUMENTS) -> DataFrame:
     """id, hash, line of parsed lines whose template recurs, but for those of its first document."""
     total = parsed.count()
-    leaves = parsed.groupBy("leaf").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("weight")).where("low < high").select("leaf", "weight")
+    least = min(min_documents, short_documents)
+    enough = (F.col("low") < F.col("high")) & (F.col("weight") >= least)
+    leaves = parsed.groupBy("leaf").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("weight")).where(enough).select("leaf", "weight")
     lines = written(attach(parsed, written(leaves, "leaves"), ["leaf"], "weight", total).drop("weight"), "shared")
     # two runs may vary, so of three groups of runs one is the same in all lines of a template: others have no partner
     groups = lines.select("id", "hash", "line", F.explode(F.array(*[F.xxhash64("leaf", F.lit(g), F.slice("runs", 1 + 3 * g, 3)) for g in range(3)])).alias("key"))
-    met = groups.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("weight")).where("low < high").select("key", "weight")
+    met = groups.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("weight")).where(enough).select("key", "weight")
     some = attach(groups, written(met, "met"), ["key"], "weight", total).select("id", "hash", "line").distinct()
     lines = written(lines.join(some, ["id", "hash", "line"], "left_semi"), "candidates")
-    keys = lines.select("id", "hash", "line", "n", F.explode(_keys(depth=depth, min_tokens=min_tokens)).alias("key"))
     # a document counts once: the pair is reduced before it is shuffled, then the documents of a key are counted
+    keys = _keyed(lines, depth=depth, min_tokens=min_tokens, extra=["id"])
     holders = keys.groupBy("key", "id").agg(F.count("*").alias("weight"), F.min("n").alias("n")).groupBy("key").agg(F.count("*").alias("documents"), F.min("id").alias("first"), F.sum("weight").alias("weight"), F.min("n").alias("n"))
     need = F.when(F.col("n") < min_tokens, short_documents).otherwise(min_documents)
     recurring = written(holders.where(F.col("documents") >= need).select("key", "first", "weight"), "templates")
-    mentions = keys.select("id", "hash", "line", "key")
+    mentions = _keyed(lines, depth=depth, min_tokens=min_tokens, extra=["id", "hash", "line"]).drop("n")
     if recurring.count() <= MOST_BROADCAST:
         found = mentions.join(F.broadcast(recurring), "key")
     else:
