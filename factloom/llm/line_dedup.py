@@ -3,8 +3,9 @@
 A line is parsed down a tree: the number of its tokens, then its first DEPTH tokens; there is its leaf. A token with a
 digit is a variable field ``<*>`` from the start. Within a leaf, lines are compared by their other tokens, cut into SEGMENTS
 runs by place: lines that agree in all but two runs are of one template, whose other tokens are variable fields, if those
-are at most a quarter of all tokens. So a line has a key for each pair of runs that may vary, and one without any; a
-key is made only for lines of leaves that two documents share, so most lines are left after one count.
+are at most a quarter of all tokens. So a line has a key for each pair of runs that may vary, and one without any. Keys
+are made only for lines of leaves that enough lines share, so most lines are left after one count; a line that recurs
+without variables has its other keys made once, for its first document, and makes the templates it is of recurring.
 
 A template of MIN_DOCUMENTS documents or more is dropped from all but the first of them (least id): what leaves the corpus
 with a line is a quarter of its tokens at most. Lines of fewer than MIN_TOKENS tokens have the key without variables alone
@@ -56,29 +57,49 @@ def parsed(line: Column, *, depth: int, min_tokens: int) -> Column:
     return F.transform(F.array(F.split(masked(line), " ")), of)
 
 
-def _keyed(lines: DataFrame, *, depth: int, min_tokens: int, extra: list[str]) -> DataFrame:
-    """``extra``, n and key of each template that a parsed line (n, leaf, runs) may be of; those without variables have the runs -1, -1.
-
-    The line's hash is the leaf's and the runs' by exclusive or, so that two runs are taken out by the same. Pairs with
-    an empty run are one template each: of such runs the first one stands for all, and the first of all is one of them.
-    """
+def _whole() -> Column:
+    """The hash of a parsed line: the leaf's and the runs' by exclusive or, so that a run is taken out by the same."""
     whole = F.xxhash64("leaf")
     for k in range(SEGMENTS):
         whole = whole.bitwiseXOR(F.xxhash64(F.get("runs", k), F.lit(k)))
-    pairs = [(-1, -1), *combinations(range(SEGMENTS), 2)]
-    pair = F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]))
-    rows = lines.select(*extra, "n", "runs", whole.alias("whole"), F.greatest(F.col("n") - depth, F.lit(0)).alias("rest"))
+    return whole
+
+
+def _keyed(lines: DataFrame, extra: list[str], *, depth: int) -> DataFrame:
+    """``extra`` and key of each template with variables that a parsed line (n, runs, whole) may be of.
+
+    Pairs with an empty run are one template each: of such runs the first one stands for all, and the first of all is one of them.
+    """
+    pair = F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in combinations(range(SEGMENTS), 2)]))
+    rows = lines.select(*extra, "n", "runs", "whole", F.greatest(F.col("n") - depth, F.lit(0)).alias("rest"))
     rows = rows.select("*", pair)  # one row a pair keeps the expressions small enough for generated code
 
     def size(k: Column) -> Column:
         return F.floor((k + 1) * F.col("rest") / SEGMENTS) - F.floor(k * F.col("rest") / SEGMENTS)
 
-    a, b, n = F.col("a"), F.col("b"), F.col("n")
-    free = size(a) + size(b)
-    rows = rows.where((a < 0) | ((n >= min_tokens) & (size(b) > 0) & ((a == 0) | (size(a) > 0)) & (free * SHARE <= n)))
+    a, b = F.col("a"), F.col("b")
+    rows = rows.where((size(b) > 0) & ((a == 0) | (size(a) > 0)) & ((size(a) + size(b)) * SHARE <= F.col("n")))
     out = [F.xxhash64(F.get("runs", k), k) for k in (a, b)]
-    key = F.when(a < 0, F.xxhash64("whole", a, b)).otherwise(F.xxhash64(F.col("whole").bitwiseXOR(out[0]).bitwiseXOR(out[1]), a, b))
-    return rows.select(*extra, "n", key.alias("key"))
+    return rows.select(*extra, F.xxhash64(F.col("whole").bitwiseXOR(out[0]).bitwiseXOR(out[1]), a, b).alias("key"))
+
+
+def _matched(left: DataFrame, right: DataFrame, on: str, total: int, *, how: str) -> DataFrame:
+    """``left`` joined, inner or left, with a table of one row a key and its ``weight``: broadcast up to MOST_BROADCAST rows, else hot keys alone."""
+    if right.count() <= MOST_BROADCAST:
+        return left.join(F.broadcast(right), on, how)
+    if how == "inner":
+        return attach(left, right, [on], "weight", total)
+    bound = max(10_000, total // 100_000)
+    hot = right.where(F.col("weight") >= bound)
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.where(F.col("weight") < bound), on, "left")
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def _holders(keys: DataFrame, key: str, *more: Column) -> DataFrame:
+    """key, documents, first, weight (rows) of each key of (key, id, ...): a document counts once, reduced before it is shuffled. ``more`` are aggregates that may be taken twice."""
+    names = [F.col(f"_{k}") for k in range(len(more))]
+    pairs = keys.groupBy(key, "id").agg(F.count("*").alias("weight"), *[m.alias(f"_{k}") for k, m in enumerate(more)])
+    return pairs.groupBy(key).agg(F.count("*").alias("documents"), F.min("id").alias("first"), F.sum("weight").alias("weight"), *[F.max(n).alias(f"_{k}") for k, n in enumerate(names)])
 
 
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -93,26 +114,26 @@ def parsed_lines(docs: DataFrame, id_col: str, text_col: str, *, depth: int = DE
 def recurring_lines(parsed: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, short_documents: int = SHORT_DOCUMENTS) -> DataFrame:
     """id, hash, line of parsed lines whose template recurs, but for those of its first document."""
     total = parsed.count()
-    least = min(min_documents, short_documents)
-    enough = (F.col("low") < F.col("high")) & (F.col("weight") >= least)
-    leaves = parsed.groupBy("leaf").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("weight")).where(enough).select("leaf", "weight")
-    lines = written(attach(parsed, written(leaves, "leaves"), ["leaf"], "weight", total).drop("weight"), "shared")
+    where, least = ["id", "hash", "line"], min(min_documents, short_documents)
+    low, high, weight = F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("weight")
+    leaves = parsed.groupBy("leaf").agg(low, high, weight).where((F.col("low") < F.col("high")) & (F.col("weight") >= least)).select("leaf", "weight")
+    lines = written(_matched(parsed, written(leaves, "leaves"), "leaf", total, how="inner").drop("weight").withColumn("whole", _whole()), "shared")
+
+    # lines without variables: those that recur go from all but the first document, where one of them stands for all (strong)
+    need = F.when(F.col("_0") < min_tokens, short_documents).otherwise(min_documents)
+    exact = written(_holders(lines, "whole", F.max("n")).where(F.col("documents") >= need).select("whole", "first", "weight"), "exact")
+    marked = written(_matched(lines, exact, "whole", total, how="left").drop("weight"), "marked")
+    rest = marked.where((F.col("n") >= min_tokens) & (F.col("first").isNull() | (F.col("id") == F.col("first")))).withColumn("strong", F.col("first").isNotNull()).drop("first")
+
     # two runs may vary, so of three groups of runs one is the same in all lines of a template: others have no partner
-    groups = lines.select("id", "hash", "line", F.explode(F.array(*[F.xxhash64("leaf", F.lit(g), F.slice("runs", 1 + 3 * g, 3)) for g in range(3)])).alias("key"))
-    met = groups.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("weight")).where(enough).select("key", "weight")
-    some = attach(groups, written(met, "met"), ["key"], "weight", total).select("id", "hash", "line").distinct()
-    lines = written(lines.join(some, ["id", "hash", "line"], "left_semi"), "candidates")
-    # a document counts once: the pair is reduced before it is shuffled, then the documents of a key are counted
-    keys = _keyed(lines, depth=depth, min_tokens=min_tokens, extra=["id"])
-    holders = keys.groupBy("key", "id").agg(F.count("*").alias("weight"), F.min("n").alias("n")).groupBy("key").agg(F.count("*").alias("documents"), F.min("id").alias("first"), F.sum("weight").alias("weight"), F.min("n").alias("n"))
-    need = F.when(F.col("n") < min_tokens, short_documents).otherwise(min_documents)
-    recurring = written(holders.where(F.col("documents") >= need).select("key", "first", "weight"), "templates")
-    mentions = _keyed(lines, depth=depth, min_tokens=min_tokens, extra=["id", "hash", "line"]).drop("n")
-    if recurring.count() <= MOST_BROADCAST:
-        found = mentions.join(F.broadcast(recurring), "key")
-    else:
-        found = attach(mentions, recurring, ["key"], "weight", total)
-    return found.where("id <> first").select("id", "hash", "line").distinct()
+    groups = rest.select(*where, "strong", F.explode(F.array(*[F.xxhash64("leaf", F.lit(g), F.slice("runs", 1 + 3 * g, 3)) for g in range(3)])).alias("key"))
+    met = groups.groupBy("key").agg(low, high, weight, F.max("strong").alias("strong")).where((F.col("low") < F.col("high")) & (F.col("strong") | (F.col("weight") >= min_documents))).select("key", "weight")
+    some = _matched(groups.drop("strong"), written(met, "met"), "key", total, how="inner").select(*where).distinct()
+    some = written(rest.join(some, where, "left_semi"), "candidates")
+    holders = _holders(_keyed(some, ["id", "strong"], depth=depth), "key", F.max("strong"))
+    recurring = written(holders.where((F.col("documents") >= min_documents) | (F.col("_0") & (F.col("documents") > 1))).select("key", "first", "weight"), "templates")
+    found = _matched(_keyed(some, where, depth=depth), recurring, "key", total, how="inner")
+    return found.unionByName(marked, allowMissingColumns=True).where("id <> first").select(*where).distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, short_documents: int = SHORT_DOCUMENTS) -> DataFrame:
