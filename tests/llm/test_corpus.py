@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from factloom.llm import common, decontaminate, surrogates
+from factloom.llm import common, decontaminate, line_dedup, surrogates
 from factloom.llm.line_dedup import drop_recurring_lines
 from factloom.llm.near_dedup import near_duplicates
 from factloom.llm.packing import default_tokenizer, pack, plan, repeat_counts
@@ -117,7 +117,9 @@ def test_line_templates(spark):
     assert drop_recurring_lines(frame(spark, [])).count() == 0
 
 
-def test_line_templates_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [line_dedup.MOST_BROADCAST, 0])  # key tables broadcast, or joined by a shuffle
+def test_line_templates_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", most)
     r = random.Random(9)
     word = lambda: r.choice(["the", "of", "cat", "dog", "sat", "on", "x1", "2020"])
     bases = [[word() for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 9, 10, 14, 23) for _ in range(3)]
