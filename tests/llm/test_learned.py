@@ -184,16 +184,76 @@ def test_language_id_rejects_what_is_no_text_of_its_languages(spark):
     assert language_id.keep_identified(df, model).where("doc_id < 200").count() == 200 == language_id.keep_identified(df, model).count()
 
 
-def test_licences(spark):
-    lines = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "He went mit dem Bus.", "The license fee of the apache was paid.", ""]
-    rows = [(1, "\n".join(lines), "en", "x", 1), *ODD]
-    out = {r["paragraph"]: r for r in licences.scan(spark.createDataFrame(rows, SCHEMA)).where("doc_id = 1").collect()}
-    assert [out[k]["family"] for k in range(6)] == ["apache-2.0", "mit", "gpl-3.0", "cc-by-nc", "unknown", "unknown"] and 6 not in out
-    families, bias, weights, temperature = licences.train()
-    for k, line in enumerate(lines[:6]):  # the same sums in plain Python
-        z = (bias + sum((weights[g] for g in set(licences.grams(licences.words(line))) if g in weights), 0)) / temperature
-        p = max(math.e ** (v - max(z)) for v in z) / sum(math.e ** (v - max(z)) for v in z)
-        assert abs(out[k]["probability"] - p) < 1e-5
+NOTICES = {
+    "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+    "Released under the MIT License.": "mit",
+    "Released under the MIT_License": "mit",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl",
+    "This work is licensed under the GNU Affero General Public License, version 3.": "agpl",
+    "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+    "All rights reserved.": "proprietary",
+    "This is free and unencumbered software released into the public domain.": "public-domain",
+    "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files (the \"Software\"), to deal in the Software\n# without restriction": "mit",
+    " * THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS\n * OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\n * FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.": "mit",
+    "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License.": "gpl",
+    "Nanna ate bread in the sun.": None,
+    "He went mit dem Bus.": "unknown",
+    "The license fee of the apache was paid.": "unknown",
+    "The license was granted to the software firm in the public interest.": "unknown",
+}
+
+
+def exact_licence(text, model):
+    """(probability, likeness, family) of a paragraph; none without a word of ``covers``."""
+    tokens = re.findall("[a-z0-9]+", text.lower())
+    if not set(tokens) & set(model.covers):
+        return None
+    runs = {" ".join(tokens[k : k + n]) for n in (1, 2, 3) for k in range(len(tokens) - n + 1)}
+    z = [(b + sum(model.weights[g][k] for g in runs if g in model.weights)) / model.temperature for k, b in enumerate(model.bias)]
+    e = [math.exp(v - max(z)) for v in z]
+    best, own, likeness = z.index(max(z)), {p for p in runs if p.count(" ") == 1}, 0.0
+    for t in licences.TEMPLATES.get(model.families[best], []):
+        t = re.findall("[a-z0-9]+", t.lower())
+        t = {" ".join(p) for p in zip(t, t[1:], strict=False)}
+        likeness = max(likeness, len(own & t) / len(t), len(own & t) / len(own) if len(own) >= licences.FRAGMENT else 0)
+    ok = model.families[best] != "unknown" and max(e) / sum(e) >= licences.MIN_PROBABILITY and likeness >= licences.MIN_LIKENESS
+    return max(e) / sum(e), likeness, model.families[best] if ok else "unknown"
+
+
+def test_licences_equal_brute_force(spark):
+    model, texts = licences.train(), list(NOTICES)
+    for text in texts[:-4]:  # each alone, in a text of its own and as one paragraph of several
+        assert exact_licence(text, model)[2] == NOTICES[text], (text, exact_licence(text, model))
+    several = "\n\n".join(texts)
+    rows = [*((k, t, None, "x", 1) for k, t in enumerate(texts)), (50, several, "en", "x", 1), (50, several, "en", "x", 1), (None, texts[1], "en", "x", 1), *ODD]
+    out = collections.defaultdict(list)
+    for r in licences.scan(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect():
+        assert r["confirmed"] == (r["family"] != "unknown")
+        out[r["doc_id"], r["paragraph"]].append((r["probability"], r["likeness"], r["family"]))
+    for k, text in enumerate(texts):
+        want = exact_licence(text, model)
+        assert want is None if NOTICES[text] is None else want[2] == NOTICES[text], (text, want)
+        got = out.pop((k, 0), []) + out.pop((50, k), [])
+        assert len(got) == (0 if want is None else 3), text
+        assert all(abs(g[0] - want[0]) < 2e-6 and abs(g[1] - want[1]) < 2e-6 and g[2] == want[2] for g in got)
+    assert len(out.pop((None, 0))) == 1
+    assert all(x[2] == "unknown" for v in out.values() for x in v) and {k[0] for k in out} <= {905}
+
+
+def test_paragraphs_without_covers_are_unknown():
+    model, r = licences.train(), random.Random(4)
+    others = sorted({w for g in model.weights for w in g.split()} - set(model.covers))
+    for _ in range(500):
+        tokens = r.choices(others, k=r.randint(1, 40))
+        z = model.bias + sum((model.weights[g] for g in licences.grams(tokens) if g in model.weights), 0)
+        assert model.families[int(z.argmax())] == "unknown"
+
+
+def test_licences_of_nothing_and_clashing_names(spark):
+    assert licences.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+    clash = spark.createDataFrame([(1, "Released under the MIT License.", 1, 2, 3, 4, 5)], "doc_id long, text string, paragraph int, tokens int, copies int, z0 int, family int")
+    assert [r["family"] for r in licences.scan(clash).collect()] == ["mit"]
+    assert licences.scan(spark.createDataFrame([(1, "\n" * 2_100_000 + "Released under the MIT License.\n")], "doc_id long, text string")).count() == 1
 
 
 def test_chat_preferences(spark):
