@@ -32,8 +32,11 @@ CUT_QUANTILE = 0.001
 CUT_SHARE = 0.9
 MIN_COSINE = 0.05
 UNKNOWN = "und"
-#: Cells that are multiplied with the centroids at once.
+#: Cells that are multiplied with the centroids at once, bytes of text that are cut into grams at once (a longer text goes
+#: alone) and rows that leave a worker at once.
 PART = 1 << 17
+GRAM_BYTES = 1 << 16
+ROWS = 1024
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -79,9 +82,9 @@ def unit_weights(n: int, row: np.ndarray, cell: np.ndarray, counts: np.ndarray,
     return (out / np.maximum(np.sqrt(np.bincount(row, out * out, n)), 1e-12)[row]).astype(np.float32)
 
 
-def cosines(n: int, row: np.ndarray, cell: np.ndarray, weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """n x centroids; the rows' cells are added in bounded parts."""
-    out, by_cell = np.zeros((n, len(vectors)), np.float32), np.ascontiguousarray(vectors.T)
+def cosines(n: int, row: np.ndarray, cell: np.ndarray, weights: np.ndarray, by_cell: np.ndarray) -> np.ndarray:
+    """n x centroids, from the centroids' weights by cell; the rows' cells are added in bounded parts."""
+    out = np.zeros((n, by_cell.shape[1]), np.float32)
     for a in range(0, len(row), PART):
         r = row[a : a + PART]
         first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
@@ -89,20 +92,22 @@ def cosines(n: int, row: np.ndarray, cell: np.ndarray, weights: np.ndarray, vect
     return out
 
 
-def _lowered(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
-    at = batch.schema.get_field_index(column)
-    return batch.set_column(at, column, pc.utf8_lower(batch.column(at)))
-
-
 def _rows(batch: pa.RecordBatch, dims: int) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Cells and counts of a batch, at most 256 texts at once so that they stay small."""
-    low = _lowered(batch, "text")
-    for a in range(0, low.num_rows, 256):
-        part = low.slice(a, 256)
-        for first, end, data, offsets in text_chunks(part, "text"):
+    texts = batch.column(batch.schema.get_field_index("text"))
+    for a in range(0, batch.num_rows, 256):
+        low = pa.RecordBatch.from_arrays([pc.utf8_lower(texts.slice(a, 256))], names=["text"])
+        for first, end, data, offsets in text_chunks(low, "text", GRAM_BYTES):
             yield a + first, a + end, gram_cells(data, offsets, dims)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS`` rows, so that what is made of one stays small in the worker and in the JVM."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
 def _frequencies(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(dims, np.int64), 0
@@ -200,7 +205,7 @@ def _cuts(model: Centroids, texts: DataFrame) -> np.ndarray:
     """The centroids' cuts by all training texts with a letter. Few outliers may share a centroid, so their language's quantile bounds its cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             top, score = _nearest(model, batch.column(0))
             told = top < len(model.owner)
             yield pa.RecordBatch.from_arrays([pa.array(top[told]), pa.array(np.append(model.owner, 0)[top[told]]), pa.array(score[told])], names=["centroid", "owner", "score"])
@@ -217,8 +222,9 @@ def _nearest(model: Centroids, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     best, score = np.full(len(texts), len(model.owner)), np.zeros(len(texts))
     if len(model.owner):
+        by_cell = np.ascontiguousarray(model.vectors.T)
         for first, end, (row, cell, counts) in _rows(pa.RecordBatch.from_arrays([texts], names=["text"]), len(model.idf)):
-            near = cosines(end - first, row, cell, unit_weights(end - first, row, cell, counts, model.idf), model.vectors)
+            near = cosines(end - first, row, cell, unit_weights(end - first, row, cell, counts, model.idf), by_cell)
             top = near.argmax(1)
             best[first:end], score[first:end] = top, near[np.arange(end - first), top]
     best[~lettered], score[~lettered] = len(model.owner), 0
@@ -234,7 +240,7 @@ def keep_identified(docs: DataFrame, model: Centroids, *, text_col: str = "text"
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             best, score = _nearest(model, batch.column(at))
             yield batch.filter(pa.array(_accepted(model, best, score)))
 
@@ -244,7 +250,7 @@ def keep_identified(docs: DataFrame, model: Centroids, *, text_col: str = "text"
 def _predicted(model: Centroids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*(model.languages[k] for k in model.owner), UNKNOWN], object)
-        for batch in batches:
+        for batch in _parts(batches):
             best, score = _nearest(model, batch.column(1))
             columns = [batch.column(0), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1).astype(float)), pa.array(~_accepted(model, best, score))]
             yield pa.RecordBatch.from_arrays(columns, names=["carried", "lang_pred", "score", "rejected"])
