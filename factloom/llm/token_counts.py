@@ -136,8 +136,10 @@ class _Known(dict):
         return n
 
 
-#: One counter for each file and worker process.
-_counter = functools.cache(TokenCounter)
+@functools.cache
+def _counter(path: str) -> TokenCounter:
+    """One counter for each file and worker process."""
+    return TokenCounter(path)
 
 
 def _counted(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
