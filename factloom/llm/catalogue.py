@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, licences, line_dedup, near_dedup, ngram_model
+from . import chat_format, decontaminate, importance, language_id, lexical_search, licences, line_dedup, near_dedup, ngram_model
 from .common import read_table
 from .fingerprint import fingerprints
 from .line_dedup import drop_recurring_lines
@@ -105,6 +105,18 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's distribution of words."""
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), longest=1)
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents table."""
@@ -115,3 +127,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op6_line_dedup"] = line_dedup.ORACLE
 ORACLE_SQL["op10_minhash_near_dedup"] = near_dedup.ORACLE
+ORACLE_SQL["op12_lexical_search"] = lexical_search.ORACLE
+ORACLE_SQL["op13_importance_resampling"] = importance.ORACLE
