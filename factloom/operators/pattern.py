@@ -4,16 +4,22 @@ A pattern is a list of edges over variables and constants. Each edge is a filter
 joined through shared variables, those with constants first, and never by a cross product unless the pattern says how
 many separate components it has. In graph mode a match is injective: two variables of one kind never bind the same
 node, nor a constant of the pattern. In SPARQL mode matches are homomorphisms and keep their multiplicity.
+
+Relation variables with properties are unified first, over the statements about relations alone: that gives a table with a
+column for each variable, as small as the vocabulary. It limits the data scans to the relations it names and is joined like
+an edge.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.model import KB
 
@@ -45,10 +51,16 @@ class AnyVar:
 
 @dataclass(frozen=True)
 class RelVar:
-    """A variable for relations, limited to those with all of its properties: (property, object) pairs."""
+    """A variable for relations, limited to those with all of its properties: (property, object) pairs.
+
+    An object is a key, or another relation variable, whose binding then is the property's value: a relation.
+    With ``range_of`` (a relation from relations to classes) the object of each edge is an instance of the first
+    class that the bound relation has by it.
+    """
 
     name: str
-    properties: tuple[tuple[str, str], ...] = ()
+    properties: tuple[tuple[str, str | RelVar], ...] = ()
+    range_of: str | None = None
 
 
 @dataclass(frozen=True)
@@ -84,16 +96,35 @@ class Pattern:
     conditions: list[Callable[[DataFrame], Column]] = field(default_factory=list)
     #: (variable, relation): matches only without such a statement.
     absent: list[tuple[str, str]] = field(default_factory=list)
+    #: A relation variable may be bound between two nodes only if theirs is the only relation; otherwise it is an error.
+    strict_single_edge: bool = False
 
     def variables(self) -> list[str]:
-        return list(dict.fromkeys(t.name for e in self.edges for t in (e.s, e.p, e.o) if isinstance(t, Var | LitVar | AnyVar | RelVar)))
+        own = [t.name for e in self.edges for t in (e.s, e.p, e.o) if isinstance(t, Var | LitVar | AnyVar | RelVar)]
+        return list(dict.fromkeys([*own, *self.relation_variables()]))
+
+    def relation_variables(self) -> dict[str, RelVar]:
+        """Each relation variable by name, with the properties that it has anywhere in the pattern."""
+        out: dict[str, RelVar] = {}
+        todo = [e.p for e in self.edges if isinstance(e.p, RelVar)]
+        while todo:
+            v = todo.pop(0)
+            was = out.get(v.name, RelVar(v.name))
+            out[v.name] = RelVar(v.name, tuple(dict.fromkeys([*was.properties, *v.properties])), v.range_of or was.range_of)
+            todo += [value for _, value in v.properties if isinstance(value, RelVar)]
+        return out
 
 
 def edge_variables(e: Edge) -> set[str]:
     return {t.name for t in (e.s, e.p, e.o) if isinstance(t, Var | LitVar | AnyVar | RelVar)}
 
 
+#: Bindings of relation variables up to which scans name their relations; beyond, the table is joined alone.
+MOST_RELATIONS = 10_000
+
+
 def count_components(edges: list[Edge]) -> int:
+    """Components of nodes: a relation variable between others joins them, too."""
     groups: list[set[str]] = []
     for e in edges:
         own = edge_variables(e)
@@ -102,12 +133,59 @@ def count_components(edges: list[Edge]) -> int:
     return len([g for g in groups if g])
 
 
-def _scan(kb: KB, e: Edge, graph: bool) -> DataFrame:
-    df = kb.edges(e.p if isinstance(e.p, str) else None, graph=graph)
-    if not isinstance(e.p, str):
-        for prop, value in e.p.properties:
-            having = kb.of(prop).where(F.col("o") == value).select(F.col("s").alias("p"))
-            df = df.join(having, "p", "left_semi")
+def unified_relations(kb: KB, pattern: Pattern) -> list[DataFrame]:
+    """Tables of the bindings that the properties of relation variables allow, one for each group of variables they tie together."""
+    variables = pattern.relation_variables()
+    in_edges = {e.p.name for e in pattern.edges if isinstance(e.p, RelVar)}
+    parts: list[DataFrame] = []
+    for v in variables.values():
+        for prop, value in v.properties:
+            rows = kb.of(prop)
+            if not isinstance(value, RelVar):
+                parts.append(rows.where(F.col("o") == value).select(F.col("s").alias(v.name)).distinct())
+            elif value.name == v.name:
+                parts.append(rows.where("s = o").select(F.col("s").alias(v.name)).distinct())
+            else:
+                parts.append(rows.where("o_kind = 'E'").select(F.col("s").alias(v.name), F.col("o").alias(value.name)).distinct())
+    for name in variables.keys() - in_edges:  # bound by properties alone: it must be a relation
+        parts.append(kb.entities.where("etype = 'R'").select(F.col("uri").alias(name)).distinct())
+    tables: list[DataFrame] = []
+    for part in parts:
+        tied = [t for t in tables if set(t.columns) & set(part.columns)]
+        tables = [t for t in tables if all(t is not x for x in tied)]
+        tables.append(reduce(lambda x, y: x.join(y, sorted(set(x.columns) & set(y.columns))), [part, *tied]))
+    return tables
+
+
+class _Scans:
+    """The rows of a pattern's edges: of the knowledge base, and of relations that its relation variables can be."""
+
+    def __init__(self, kb: KB, pattern: Pattern):
+        self.kb, self.graph = kb, pattern.injective
+        self.tables, self.named = [], {}
+        for table in unified_relations(kb, pattern):
+            rows = table.limit(MOST_RELATIONS + 1).collect()
+            if len(rows) <= MOST_RELATIONS:
+                for name in table.columns:
+                    self.named[name] = sorted({r[name] for r in rows})
+                table = kb.spark.createDataFrame(rows, table.schema)
+            self.tables.append(table)
+
+    def edges(self, e: Edge) -> DataFrame:
+        if isinstance(e.p, str):
+            return self.kb.edges(e.p, graph=self.graph)
+        if e.p.name not in self.named:
+            return self.kb.edges(None, graph=self.graph)
+        return self.kb.only(*self.named[e.p.name]).edges(None, graph=self.graph)
+
+    def __call__(self, e: Edge) -> DataFrame:
+        return bound_rows(self.edges(e), e, distinct=self.kb.bag)
+
+
+def bound_rows(df: DataFrame, e: Edge, *, distinct: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What an edge binds in the triples ``df`` (s, p, o_kind, o, and the columns ``keep``)."""
+    if isinstance(e.p, str):
+        df = df.where(F.col("p") == e.p)
     if isinstance(e.s, Ent):
         df = df.where(F.col("s") == e.s.uri)
     if isinstance(e.o, Ent):
@@ -128,8 +206,8 @@ def _scan(kb: KB, e: Edge, graph: bool) -> DataFrame:
             continue
         names[term.name] = column
         columns.append(F.col(column).alias(term.name))
-    out = df.select(*columns) if columns else df.select(F.lit(1).alias("__there"))
-    return out.distinct() if kb.bag or not columns else out
+    out = df.select(*columns, *keep) if columns else df.select(F.lit(1).alias("__there"), *keep)
+    return out.distinct() if distinct or not columns else out
 
 
 def _cost(e: Edge, sizes: dict[str, int]) -> tuple[int, int]:
@@ -137,33 +215,51 @@ def _cost(e: Edge, sizes: dict[str, int]) -> tuple[int, int]:
     return (-constants, sizes.get(e.p, 0) if isinstance(e.p, str) else max(sizes.values(), default=0))
 
 
+def next_edge(todo: list[Edge], bound: set[str], sizes: dict[str, int]) -> tuple[Edge, bool]:
+    """The edge to join next, and whether it shares a variable with what is bound."""
+    linked = [e for e in todo if edge_variables(e) & bound]
+    # most bound variables first: such an edge filters; then one that is followed from its subject, which fans out least
+    e = min(linked or todo, key=lambda e: (-len(edge_variables(e) & bound), getattr(e.s, "name", None) not in bound, *_cost(e, sizes)))
+    return e, bool(linked)
+
+
+def check(pattern: Pattern) -> None:
+    if not pattern.edges:
+        raise PatternError("a pattern needs an edge")
+    if count_components(pattern.edges) > pattern.components:
+        raise PatternError(f"{count_components(pattern.edges)} components, {pattern.components} declared")
+
+
 def match(kb: KB, pattern: Pattern, *, sizes: dict[str, int] | None = None) -> DataFrame:
     """One row for each match, a column for each variable.
 
     ``sizes`` (statements by relation) orders the joins; without it constants alone do. Graph-mode matches are
     distinct mappings of nodes and relations.
     """
-    if not pattern.edges:
-        raise PatternError("a pattern needs an edge")
-    if count_components(pattern.edges) > pattern.components:
-        raise PatternError(f"{count_components(pattern.edges)} components, {pattern.components} declared")
-    sizes = sizes or {}
+    check(pattern)
+    sizes, scan = sizes or {}, _Scans(kb, pattern)
     todo = sorted(pattern.edges, key=lambda e: _cost(e, sizes))
     first = todo.pop(0)
-    out, bound = _scan(kb, first, pattern.injective), edge_variables(first)
+    out, bound = scan(first), edge_variables(first)
     while todo:
-        linked = [e for e in todo if edge_variables(e) & bound]
-        # most bound variables first: such an edge filters; then one that is followed from its subject, which fans out least
-        e = min(linked or todo, key=lambda e: (-len(edge_variables(e) & bound), getattr(e.s, "name", None) not in bound, *_cost(e, sizes)))
+        e, linked = next_edge(todo, bound, sizes)
         todo.remove(e)
-        scan, own = _scan(kb, e, pattern.injective), edge_variables(e)
+        rows, own = scan(e), edge_variables(e)
         if not own:
-            out = out.join(F.broadcast(scan.limit(1)), F.lit(True), "left_semi")  # a fact to be there: one row
+            out = out.join(F.broadcast(rows.limit(1)), F.lit(True), "left_semi")  # a fact to be there: one row
         elif linked:
-            out = out.join(scan, sorted(own & bound))
+            out = out.join(rows, sorted(own & bound))
         else:
-            out = out.crossJoin(scan)
+            out = out.crossJoin(rows)
         bound |= own
+    for table in scan.tables:
+        out = out.join(table, sorted(set(table.columns) & bound))
+        bound |= set(table.columns)
+    return finished(kb, pattern, out)
+
+
+def finished(kb: KB, pattern: Pattern, out: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``out`` (all edges joined) without the matches that the pattern's other parts exclude; ``keep`` are columns to be kept."""
     if pattern.injective:
         kinds: dict[type, list[str]] = {Var: [], LitVar: []}
         given: dict[type, list[str]] = {Var: list(pattern.externals), LitVar: []}
@@ -185,8 +281,38 @@ def match(kb: KB, pattern: Pattern, *, sizes: dict[str, int] | None = None) -> D
         out = out.join(kb.of(relation).select(F.col("s").alias(name)).distinct(), name, "left_anti")
     for condition in pattern.conditions:
         out = out.where(condition(out))
-    out = out.select(*pattern.variables())
-    return out.distinct() if pattern.injective and any(isinstance(e.p, RelVar) for e in pattern.edges) else out
+    for v in pattern.relation_variables().values():
+        if v.range_of:
+            first = kb.of(v.range_of).groupBy(F.col("s").alias(v.name)).agg(F.min_by("o", F.struct("seq", "stm_id")).alias("__range"))
+            for e in pattern.edges:
+                if e.p is not None and isinstance(e.p, RelVar) and e.p.name == v.name and isinstance(e.o, Var):
+                    out = out.join(first, v.name).join(kb.of("instance_of").select(F.col("s").alias(e.o.name), F.col("o").alias("__range")), [e.o.name, "__range"], "left_semi").drop("__range")
+    out = out.select(*pattern.variables(), *keep)
+    if pattern.strict_single_edge:
+        for e in pattern.edges:
+            if isinstance(e.p, RelVar):
+                _single_edges(kb, e, out)
+    return out.distinct() if pattern.injective and pattern.relation_variables() else out
+
+
+def _single_edges(kb: KB, e: Edge, out: DataFrame) -> None:
+    """Raises if two matched nodes have more than one relation."""
+    end = lambda t: F.lit(t.uri) if isinstance(t, Ent) else F.lit(t.key) if isinstance(t, Lit) else F.col(t.name)
+    pairs = out.select(end(e.s).alias("s"), end(e.o).alias("o")).distinct()
+    several = kb.edges().join(pairs, ["s", "o"], "left_semi").groupBy("s", "o").agg(F.countDistinct("p").alias("n")).where("n > 1").limit(1).collect()
+    if several:
+        raise PatternError(f"{several[0]['n']} relations between {several[0]['s']} and {several[0]['o']}, and {e.p.name} stands for one")
+
+
+def first_matches(found: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` of ``found`` in the order of their bindings as JSON text, with ``place`` from 1 and ``cut``: whether there are more.
+
+    Equal matches have one text; they keep places of their own. No task holds more than ``limit`` + 1 rows.
+    """
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(found.columns)]))
+    some = found.withColumn("__text", text).orderBy("__text").limit(limit + 1)
+    counted = some.withColumn("place", F.row_number().over(Window.orderBy("__text")).cast("long")).withColumn("cut", F.count(F.lit(1)).over(Window.partitionBy()) > limit)
+    return counted.where(F.col("place") <= limit).drop("__text")
 
 
 def match_any(kb: KB, branches: list[Pattern], **more) -> DataFrame:

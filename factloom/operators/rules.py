@@ -18,8 +18,8 @@ from ..functions.scalars import map_of, render
 from ..plans.model import KB, constants, content_id
 from ..plans.tables import written
 from .closure import RoundLimit
-from .edit import insert, merge_entities, new_id, representatives
-from .pattern import Ent, Lit, Pattern, RelVar, Var, match_any
+from .edit import FunctionalError, functional_violations, insert, merge_entities, new_id, representatives
+from .pattern import Ent, Lit, LitVar, Pattern, RelVar, Var, match_any
 
 
 class RuleStop(Exception):
@@ -46,7 +46,9 @@ class New:
 class Template:
     s: Var | Ent | New
     p: str | RelVar
-    o: Var | Ent | Lit | New
+    o: Var | LitVar | Ent | Lit | New
+    #: Whether only new triples are asserted; None leaves it to the rule.
+    only_new: bool | None = None
 
 
 @dataclass
@@ -66,6 +68,9 @@ class Rule:
     message: str = ""
     explanation: str = ""
 
+    def is_new(self, t: Template) -> bool:
+        return self.only_new if t.only_new is None else t.only_new
+
 
 def bindings(kb: KB, rule: Rule) -> DataFrame:
     if rule.sparql is not None:
@@ -78,29 +83,47 @@ def bindings(kb: KB, rule: Rule) -> DataFrame:
 
 
 def _term(rule: Rule, t) -> Column:
-    if isinstance(t, Var | RelVar):
+    if isinstance(t, Var | LitVar | RelVar):
         return F.col(t.name)
     if isinstance(t, New):
         return new_id("Ia", F.lit(rule.name), F.lit(t.name), *[F.col(v) for v in t.of])
     return F.lit(t.uri if isinstance(t, Ent) else t.key if isinstance(t, Lit) else t)
 
 
+def template_rows(rule: Rule, found: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """s, p, o_kind, o, only_new, rule, bindings of a rule's templates for each of its matches ``found``, and the columns ``keep``."""
+    bound = map_of({c: F.col(c) for c in found.columns if c not in keep})
+    kind = lambda t: "L" if isinstance(t, Lit | LitVar) else "E"
+    parts = [
+        found.select(*keep, _term(rule, t.s).alias("s"), _term(rule, t.p).alias("p"), F.lit(kind(t.o)).alias("o_kind"), _term(rule, t.o).alias("o"), F.lit(rule.is_new(t)).alias("only_new"), F.lit(rule.name).alias("rule"), bound.alias("bindings"))
+        for t in rule.asserts
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def unscoped(kb: KB, rows: DataFrame) -> DataFrame:
+    """``rows`` (s, o and others) without those about entities of a scope: rules don't touch them."""
+    if kb.entities.schema["scope"].dataType.simpleString() == "void":
+        return rows
+    scoped = kb.entities.where("scope IS NOT NULL").select("uri")
+    return rows.join(scoped.select(F.col("uri").alias("s")), "s", "left_anti").join(scoped.select(F.col("uri").alias("o")), "o", "left_anti")
+
+
 def delta(kb: KB, rule: Rule, found: DataFrame | None = None) -> DataFrame:
     """s, p, o_kind, o, rule, bindings of what the rule asserts; nothing about entities of a scope."""
     if rule.consequent is not None:
-        rows = rule.consequent(kb).select("s", "p", "o_kind", "o", F.lit(rule.name).alias("rule"), map_of({}).alias("bindings"))
+        rows = rule.consequent(kb).select("s", "p", "o_kind", "o", F.lit(rule.only_new).alias("only_new"), F.lit(rule.name).alias("rule"), map_of({}).alias("bindings"))
     else:
-        found = bindings(kb, rule) if found is None else found
-        bound = map_of({c: F.col(c) for c in found.columns})
-        kind = lambda t: "L" if isinstance(t, Lit) else "E"
-        parts = [found.select(_term(rule, t.s).alias("s"), _term(rule, t.p).alias("p"), F.lit(kind(t.o)).alias("o_kind"), _term(rule, t.o).alias("o"), F.lit(rule.name).alias("rule"), bound.alias("bindings")) for t in rule.asserts]
-        rows = reduce(DataFrame.unionByName, parts)
-    scoped = kb.entities.where("scope IS NOT NULL").select("uri")
-    if kb.entities.schema["scope"].dataType.simpleString() != "void":
-        rows = rows.join(scoped.select(F.col("uri").alias("s")), "s", "left_anti").join(scoped.select(F.col("uri").alias("o")), "o", "left_anti")
-    if rule.only_new:
-        rows = rows.dropDuplicates(["s", "p", "o"]).join(kb.statements.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
-    return rows.select("s", "p", "o_kind", "o", "rule", "bindings")
+        rows = template_rows(rule, bindings(kb, rule) if found is None else found)
+    rows = unscoped(kb, rows)
+    kinds = {rule.only_new} if rule.consequent is not None else {rule.is_new(t) for t in rule.asserts}
+    columns = ["s", "p", "o_kind", "o", "rule", "bindings"]
+    if kinds == {False}:
+        return rows.select(*columns)
+    relations = [t.p for t in rule.asserts] if rule.consequent is None else [None]
+    there = kb.of(*dict.fromkeys(relations)) if all(isinstance(p, str) for p in relations) else kb.statements
+    new = rows.where("only_new").dropDuplicates(["s", "p", "o"]).join(there.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select(*columns)
+    return new if kinds == {True} else new.unionByName(rows.where("NOT only_new").select(*columns))
 
 
 def as_statements(rows: DataFrame, *, mod: str = "derived") -> DataFrame:
@@ -141,18 +164,31 @@ def apply_all(kb: KB, rules: list[Rule], **more) -> tuple[KB, list[DataFrame], R
     return kb, out, None
 
 
-def fixpoint(kb: KB, rules: list[Rule], *, max_rounds: int | None = None, **more) -> tuple[KB, int, RuleStop | None]:
-    """Rounds of all rules until one gives no new statement; every round's knowledge base is a table.
+def fixpoint(kb: KB, rules: list[Rule], *, max_rounds: int | None = None, functional: tuple[str, ...] = (), mod: str = "derived") -> tuple[KB, int, RuleStop | None]:
+    """Rounds of all rules until one gives no new statement: (new knowledge base, rounds, stop).
 
-    Raises ``RoundLimit`` if ``max_rounds`` is given and so many rounds leave it open whether another finds more.
-    Rules that keep a statement for each match have no fixpoint and are refused.
+    Rules of patterns and templates are evaluated semi-naively, see ``fixpoint.derived``: a round sees what the rounds before it
+    found. Where a rule merges entities, has a SPARQL premise or asks for the absence or properties that another asserts, all rules are matched on the
+    whole base in each round, one after the other. Raises ``RoundLimit`` if ``max_rounds`` is given and so many rounds leave it open whether
+    another finds more. Rules that keep a statement for each match have no fixpoint and are refused.
     """
-    if any(not r.only_new and r.stop is None and r.merge is None for r in rules):
+    from .fixpoint import derived, semi_naive_fits
+
+    if any(r.stop is None and r.merge is None and any(not r.is_new(t) for t in r.asserts) or r.consequent is not None and not r.only_new for r in rules):
         raise ValueError("a rule that asserts what is there already never comes to an end")
+    if semi_naive_fits(rules):
+        rows, n, stop = derived(kb, rules, max_rounds=max_rounds)
+        after = kb.plus(as_statements(rows, mod=mod))
+        if functional:
+            touched = rows.where(F.col("p").isin(*functional)).select("s", "p").distinct()
+            bad = functional_violations(after, list(functional)).join(touched, ["s", "p"], "left_semi").limit(1).collect()
+            if bad:
+                raise FunctionalError(f"{bad[0]['s']} {bad[0]['p']}: {bad[0]['n']} objects")
+        return after, n, stop
     for n in count():
         if n == max_rounds:
             raise RoundLimit(f"statements were new until round {max_rounds}")
-        kb, deltas, stop = apply_all(kb, rules, **more)
+        kb, deltas, stop = apply_all(kb, rules, functional=functional, mod=mod)
         if stop is not None or all(d.isEmpty() for d in deltas):
             return kb, n + 1, stop
         kb = kb.but(statements=written(kb.statements, "statements"))
@@ -209,18 +245,20 @@ def candidates(kb: KB, negative: str, relations: DataFrame) -> DataFrame:
     return left.groupBy("relation", "s").agg(F.countDistinct("o").alias("n"), F.array_sort(F.collect_set("o")).alias("objects")).orderBy("n", "relation", "s")
 
 
-def assume(kb: KB, rules: list[Rule], s: str, p: str, objects: list[str], *, max_rounds: int | None = None, **more) -> tuple[KB, list[str]]:
-    """Tests each object but the first as a hypothesis on a version of its own; (kb, refuted objects).
+def assume(kb: KB, rules: list[Rule], s: str, p: str, objects: list[str], *, max_rounds: int | None = None, functional: tuple[str, ...] = ()) -> tuple[KB, list[str]]:
+    """Tests each object but the first as a hypothesis, all in one fixpoint with a branch for each; (kb, refuted objects).
 
-    A hypothesis that leads to a contradiction is refuted and its version dropped.
+    The base is closed under the rules first. If that already ends in a contradiction, so does every hypothesis.
     """
-    refuted = []
-    for o in objects[1:]:
-        row = constants(kb.spark, [(s, p, "E", o)], ["s", "p", "o_kind", "o"])
-        _, _, stop = fixpoint(kb.plus(as_statements(row, mod="hypothesis")), rules, max_rounds=max_rounds, **more)
-        if isinstance(stop, Contradiction):
-            refuted.append(o)
-    return kb, refuted
+    from .fixpoint import suppose
+
+    closed, _, stop = fixpoint(kb, rules, max_rounds=max_rounds, functional=functional)
+    if isinstance(stop, Contradiction):
+        return kb, objects[1:]
+    rows = constants(kb.spark, [(o, s, p, "E", o) for o in objects[1:]], ["branch", "s", "p", "o_kind", "o"])
+    outcomes = suppose(closed, rules, rows, functional=functional, max_rounds=max_rounds).outcomes
+    refuted = {r["branch"] for r in outcomes.where("outcome = 'refuted'").collect()}  # at most as many as ``objects``
+    return kb, [o for o in objects[1:] if o in refuted]
 
 
 def relation_counts(rows: DataFrame) -> DataFrame:
