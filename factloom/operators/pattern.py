@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.model import KB
+from ..plans.tables import local
 
 
 class PatternError(ValueError):
@@ -168,7 +169,7 @@ class _Scans:
             if len(rows) <= MOST_RELATIONS:
                 for name in table.columns:
                     self.named[name] = sorted({r[name] for r in rows})
-                table = kb.spark.createDataFrame(rows, table.schema)
+                table = local(kb.spark, rows, table.schema)
             self.tables.append(table)
 
     def edges(self, e: Edge) -> DataFrame:

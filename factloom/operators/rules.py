@@ -178,7 +178,7 @@ def fixpoint(kb: KB, rules: list[Rule], *, max_rounds: int | None = None, functi
         raise ValueError("a rule that asserts what is there already never comes to an end")
     if semi_naive_fits(rules):
         rows, n, stop = derived(kb, rules, max_rounds=max_rounds)
-        after = kb.plus(as_statements(rows, mod=mod))
+        after = kb.plus(as_statements(rows, mod=mod), bag=False)
         if functional:
             touched = rows.where(F.col("p").isin(*functional)).select("s", "p").distinct()
             bad = functional_violations(after, list(functional)).join(touched, ["s", "p"], "left_semi").limit(1).collect()

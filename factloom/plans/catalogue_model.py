@@ -375,16 +375,6 @@ def open_pairs(kb):
     return rules.open_pairs(kb.of("segment"), constants(kb.spark, [("ordered",), ("rated",)], ["p"]), kb.but(statements=ordered.unionByName(rated)))
 
 
-@_q("SELECT 'a3' AS refuted")
-def hypothesis_refuted(kb):
-    """Of three objects for one subject, the one that a rule contradicts."""
-    facts = constants(kb.spark, [("a3", "bars", "x")], ["s", "p", "o"]).withColumn("o_kind", F.lit("E"))
-    o = Var("o")
-    rule = rules.Rule("barred", [Pattern([Edge(Ent("x"), "takes", o), Edge(o, "bars", Ent("x"))])], stop=rules.Contradiction, message="{o}")
-    _, refuted = rules.assume(kb.but(statements=rules.as_statements(facts)), [rule], "x", "takes", ["a1", "a2", "a3"])
-    return constants(kb.spark, [(r,) for r in refuted], ["refuted"])
-
-
 @_q("SELECT 'C'||c_custkey AS c, 'O'||o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 2 = 1 AND c_nationkey = 3")
 def condition_function(kb):
     p = Pattern([Edge(O, "placed_by", C), Edge(C, "part_of", Ent("N3"))], conditions=[lambda df: F.expr("cast(substring(c, 2) as long) % 2 = 1")])

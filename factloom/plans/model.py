@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import local, written
+
 STATEMENT = "stm_id string, mod string, seq long, s string, p string, o_kind string, o string, o_type string, o_lex string, o_lang string, scope string, free boolean"
 ENTITY = "uri string, etype string, is_auto boolean, scope string, mod string, unlinked boolean"
 QUALIFIER = "stm_id string, q_stm_id string, seq long, p string, o_kind string, o string, o_type string, o_lex string, o_lang string"
@@ -25,7 +27,7 @@ class KB:
     """One version of a knowledge base. Its tables are built when they are first asked for.
 
     ``parts`` has the statements of each predicate as a function that builds them: a query that names its
-    predicates then plans and reads those alone. ``bag`` tells whether equal triples can occur (then patterns make
+    predicates then plans and reads those alone; the statements of scopes are never among them. ``bag`` tells whether equal triples can occur (then patterns make
     them distinct).
     """
 
@@ -45,6 +47,13 @@ class KB:
             return self._get("statements")
         return self.of(*self.parts, rest=True)
 
+    @property
+    def scoped(self) -> DataFrame:
+        """Statements that lie in a scope."""
+        if self.parts is None or self._tables["statements"] is not None:
+            return self._get("statements").where("scope IS NOT NULL")
+        return local(self.spark, [], STATEMENT)
+
     @property
     def entities(self) -> DataFrame:
         return self._get("entities")
@@ -65,7 +74,7 @@ class KB:
         if self._tables["statements"] is not None:
             more = self._get("statements")
             out.append(more if rest else more.where(F.col("p").isin(*predicates)))
-        return reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], STATEMENT)
+        return reduce(DataFrame.unionByName, out) if out else local(self.spark, [], STATEMENT)
 
     def edges(self, p: str | None = None, *, graph: bool = True) -> DataFrame:
         """s, p, o_kind, o; in graph mode without statements of a scope or about entities of one."""
@@ -86,9 +95,14 @@ class KB:
         """This version with the statements of some predicates alone."""
         return self.but(statements=lambda: self.of(*predicates))
 
-    def plus(self, statements: DataFrame, entities: DataFrame | None = None, qualifiers: DataFrame | None = None) -> KB:
+    def stored(self) -> KB:
+        """This version with its three tables written to the shared folder: what is asked of it next doesn't compute them again."""
+        return KB(written(self.statements, "statements"), written(self.entities, "entities"), written(self.qualifiers, "qualifiers"), bag=self.bag)
+
+    def plus(self, statements: DataFrame, entities: DataFrame | None = None, qualifiers: DataFrame | None = None, *, bag: bool = True) -> KB:
+        """This version with more rows; ``bag=False`` says that they repeat no triple, of their own or of this version."""
         own = self._get("statements") if self._tables["statements"] is not None else None
-        out = KB(statements if own is None else own.unionByName(statements), self._tables["entities"], self._tables["qualifiers"], bag=True, parts=self.parts)
+        out = KB(statements if own is None else own.unionByName(statements), self._tables["entities"], self._tables["qualifiers"], bag=bag or self.bag, parts=self.parts)
         if entities is not None:
             out._tables["entities"] = self.entities.unionByName(entities)
         if qualifiers is not None:
@@ -208,4 +222,4 @@ def kb_of(spark: SparkSession, triples: list[tuple], *, scoped: dict[str, str] |
             key = f"n:{float(o)}" if kind != "str" else f"s:{lex}" + (f"@{lang}" if lang else "")
             rows.append((f"S{n}", mod, n, s, p, "L", key, kind, lex, lang, scope, False))
     entities = [(u, "R" if u.startswith("R") else "I", u[1:2] == "a", (scoped or {}).get(u), mod, False) for u in sorted(seen)]
-    return KB(spark.createDataFrame(rows, STATEMENT), spark.createDataFrame(entities, ENTITY), spark.createDataFrame([], QUALIFIER))
+    return KB(local(spark, rows, STATEMENT), local(spark, entities, ENTITY), local(spark, [], QUALIFIER))
