@@ -40,13 +40,6 @@ def key_parsing(kb):
     return kb.of("label").where("s LIKE 'N%'").select(scalars.parse_key(text).alias("k")).select("k.*")
 
 
-@_q("SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'x:/cur#I' ELSE 'x:/other#I' END||(1000 + n_nationkey) AS uri FROM nation")
-def key_to_uri(kb):
-    keys = [r["s"][1:] for r in kb.of("label").where("s LIKE 'N%'").select("s").collect()]  # 25 keys, resolved as a user types them
-    text = lambda k: f"I{1000 + int(k)}" if int(k) % 2 == 0 else f"o__I{1000 + int(k)}__name"
-    return constants(kb.spark, [(lookup.resolve(text(k), {"o": "x:/other"}, current="x:/cur", builtin="x:/b"),) for k in keys], ["uri"])
-
-
 @_q("SELECT 'C'||c_custkey AS s, c_nationkey = 3 AS holds FROM customer")
 def truth_of_statements(kb):
     rows = kb.of("segment").select("s", F.lit("part_of").alias("p"), F.lit("N3").alias("o"))

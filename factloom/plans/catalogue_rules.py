@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compiler, fixpoint, rules, scopes
+from ..functions import scalars
+from ..operators import authoring, calls, compiler, fixpoint, modules, rules, scopes
 from ..operators.pattern import Edge, Ent, LitVar, Pattern, RelVar, Var, first_matches, match
 from .catalogue import ORACLE_SQL, QUERIES, _q
 from .model import KB, constants, statement
@@ -330,4 +331,160 @@ def scope_copy_expression(kb):
     return whole.join(counted, "target").join(facts, "target").select(F.expr("substring_index(target, '/', 1)").alias("part"), "expression", "fact", "mappings")
 
 
+
+# modules and authoring
+
+_BASE, _CURRENT = "x:/base", "x:/parts"
+
+
+def _authoring_base(kb: KB) -> KB:
+    """Relations and entities of two modules: R1 to R4 of the base, and R4 and a colour of the current one."""
+    spark = kb.spark
+    relations = [(f"{_BASE}#R1", "has label"), (f"{_BASE}#R2", "has description"), (f"{_BASE}#R3", "has alias"), (f"{_BASE}#R4", "is instance of"), (f"{_CURRENT}#R4", "has size")]
+    entities = local(spark, [(u, "R", False, None, u.split("#")[0], False) for u, _ in relations] + [(f"{_BASE}#I9", "I", False, None, _BASE, False)], "uri string, etype string, is_auto boolean, scope string, mod string, unlinked boolean")
+    rows = None
+    literal = {"kind": "L"}
+    marks = [(f"{_BASE}#R1", authoring.PER_LANGUAGE), (f"{_BASE}#R1", authoring.LITERAL_RANGE), (f"{_BASE}#R2", authoring.LITERAL_RANGE), (f"{_BASE}#R3", authoring.LITERAL_RANGE), (f"{_CURRENT}#R4", authoring.FUNCTIONAL)]
+    for df, p, o_type in ((constants(spark, relations, ["s", "o"]), "label", "str"), *((constants(spark, [(s, "1")], ["s", "o"]), m, "int") for s, m in marks)):
+        some = df.select(*statement(F.col("s"), p, F.col("o"), o_type=o_type, **literal))
+        rows = some if rows is None else rows.unionByName(some)
+    return KB(rows, entities, local(spark, [], "stm_id string, q_stm_id string, seq long, p string, o_kind string, o string, o_type string, o_lex string, o_lang string"))
+
+
+def _authored_rows(source: DataFrame, subject, fields: list[tuple]) -> DataFrame:
+    """Rows of (key, [(text, kind, language)], listed) for each row of ``source``."""
+    out = None
+    for n, (key, values, listed) in enumerate(fields):
+        cells = F.array(*[F.struct(lex.cast("string").alias("lex"), F.lit(kind).alias("kind"), (F.lit(lang) if lang is None or isinstance(lang, str) else lang).cast("string").alias("lang")) for lex, kind, lang in values])
+        some = source.select(subject.alias("subject"), F.lit(n).cast("long").alias("seq"), F.lit(key).alias("key") if isinstance(key, str) else key.alias("key"), cells.alias("values"), F.lit(listed).alias("listed"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def _part_rows(kb: KB) -> DataFrame:
+    """What an author writes about each part, with mistakes in some: in several spellings, languages and lists."""
+    parts = kb.of("label").where("s LIKE 'P%'").select("s", F.expr("cast(substring(s, 2) as long)").alias("k"), "o_lex").join(kb.of("size").select("s", F.col("o_lex").alias("size")), "s")
+    german = F.concat(F.lit("Teil "), F.col("k").cast("string"))
+    size_key = F.when(F.col("k") % 5 == 0, "R4__has_size").when(F.col("k") % 5 == 1, 'R4["has size"]').when(F.col("k") % 5 == 2, "pt__R4__has_size").when(F.col("k") % 5 == 3, "R4").otherwise(F.when(F.col("k") % 2 == 0, "R4__has_colour").otherwise("zz__R4"))
+    first = F.when(F.col("k") % 7 == 0, "R1__has_label__de").otherwise("R1__has_label")
+    second = F.when(F.col("k") % 7 == 0, "R1__has_label").otherwise("R1__has_label__de")
+    fields = [(first, [(F.col("o_lex"), "str", None)], False), (second, [(german, "str", None)], False), ("R3", [(F.concat(F.lit("a"), F.col("k").cast("string")), "str", None), (F.concat(F.lit("b"), F.col("k").cast("string")), "str", None)], True), (size_key, [(F.col("size"), "int", None)], False)]
+    return _authored_rows(parts, F.concat(F.lit(f"{_CURRENT}#I1"), F.col("k").cast("string")), fields)
+
+
+_PART_ERRORS = """
+WITH errors AS (
+    SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'R4__has_colour' ELSE 'zz__R4' END AS key, CASE WHEN p_partkey % 2 = 0 THEN 'another label' ELSE 'unknown prefix' END AS error FROM part WHERE p_partkey % 5 = 4
+    UNION ALL SELECT p_partkey, 'R1__has_label__de', 'the first text is not in the default language' FROM part WHERE p_partkey % 7 = 0)
+"""
+
+
+@_q(_PART_ERRORS + "SELECT 'x:/parts#I1'||k AS subject, key, error FROM errors")
+def authoring_errors(kb):
+    """Mistakes in what is written about every part, found before anything is stored."""
+    prefixes = constants(kb.spark, [("pt", _CURRENT)], ["prefix", "base"])
+    return authoring.author(_authoring_base(kb), _part_rows(kb), prefixes, mod=_CURRENT, search=[_CURRENT, _BASE]).errors
+
+
+@_q(
+    _PART_ERRORS + ", good AS (SELECT * FROM part WHERE p_partkey NOT IN (SELECT k FROM errors)) SELECT 'x:/parts#I1'||p_partkey AS s, 'x:/base#R1' AS p, p_name AS o_lex, 'en' AS o_lang FROM good "
+    "UNION ALL SELECT 'x:/parts#I1'||p_partkey, 'x:/base#R1', 'Teil '||p_partkey, 'de' FROM good UNION ALL SELECT 'x:/parts#I1'||p_partkey, 'x:/base#R3', x||p_partkey, 'en' FROM good, (VALUES ('a'), ('b')) t(x) "
+    "UNION ALL SELECT 'x:/parts#I1'||p_partkey, 'x:/parts#R4', p_size::VARCHAR, NULL FROM good"
+)
+def authoring_statements(kb):
+    """What is stored of it: keys of the current module come before those of the base, and texts have languages."""
+    prefixes = constants(kb.spark, [("pt", _CURRENT)], ["prefix", "base"])
+    done = authoring.author(_authoring_base(kb), _part_rows(kb), prefixes, mod=_CURRENT, search=[_CURRENT, _BASE])
+    return done.kb.statements.where(F.col("s").startswith(f"{_CURRENT}#I")).select("s", "p", "o_lex", "o_lang")
+
+
+@_q(
+    "SELECT doc_id, CASE WHEN lang IS NULL OR lang = 'en' THEN source END AS en, CASE WHEN lang IN ('de', 'fr', 'es') THEN source END AS other, (lang IS NOT NULL AND lang NOT IN ('en', 'de', 'fr', 'es')) AS refused "
+    "FROM (SELECT doc_id, source, lang FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL)",
+    tables=True,
+)
+def authoring_documents(spark, sf_dir):
+    """A description of every document in its own language, added to entities that are there."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "source", "lang").dropDuplicates(["doc_id"])
+    from .model import star
+
+    base = _authoring_base(star(spark, sf_dir))
+    uri = F.concat(F.lit(f"{_BASE}#I7"), F.col("doc_id").cast("string"))
+    entities = docs.select(uri.alias("uri"), F.lit("I").alias("etype"), F.lit(False).alias("is_auto"), F.lit(None).cast("string").alias("scope"), F.lit(_BASE).alias("mod"), F.lit(False).alias("unlinked"))
+    key = F.when(F.col("lang").isin("en", "de", "fr", "es"), F.concat(F.lit("R2__has_description__"), "lang")).when(F.col("lang").isNull(), "R2").otherwise(F.concat(F.lit("R2__has_description__"), "lang", F.lit("__")))
+    rows = _authored_rows(docs, uri, [(key, [(F.col("source"), "str", None)], False)])
+    prefixes = constants(spark, [("b", _BASE)], ["prefix", "base"])
+    known = base.plus(base.statements.limit(0), entities)
+    done = authoring.author(known, rows, prefixes, mod=_BASE, create=None)
+    said = done.kb.of(f"{_BASE}#R2").groupBy("s").agg(F.max(F.when(F.col("o_lang") == "en", F.col("o_lex"))).alias("en"), F.max(F.when(F.col("o_lang") != "en", F.col("o_lex"))).alias("other"))
+    out = docs.withColumn("s", uri).join(said, "s", "left").join(done.errors.select(F.col("subject").alias("s"), F.lit(True).alias("bad")).distinct(), "s", "left")
+    return out.select("doc_id", "en", "other", F.coalesce("bad", F.lit(False)).alias("refused"))
+
+
+@_q(
+    "SELECT 'x:/base#I'||c_custkey AS uri, c_custkey % 4 AS spelling FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'x:/parts#I'||c_custkey, c_custkey % 4 FROM customer WHERE c_custkey % 4 IN (1, 2) "
+    "UNION ALL SELECT NULL, 3 FROM customer WHERE c_custkey % 4 = 3"
+)
+def key_to_uri(kb):
+    """Keys of all customers in several spellings, resolved by joins: a prefix wins, then the searched module, then the active one."""
+    customers = kb.of("segment").select(F.expr("cast(substring(s, 2) as long)").alias("k"))
+    at = lambda base, rest: customers.where(rest).select(F.concat(F.lit(f"{base}#I"), F.col("k").cast("string")).alias("uri"), F.lit("I").alias("etype"), F.lit(False).alias("is_auto"), F.lit(None).cast("string").alias("scope"), F.lit(base).alias("mod"), F.lit(False).alias("unlinked"))
+    known = kb.only("nothing").but(entities=at(_BASE, "k % 4 <> 3").unionByName(at(_CURRENT, "k % 4 IN (1, 2)")), parts=None, statements=kb.only("nothing").statements)
+    k = F.col("k").cast("string")
+    key = F.when(F.col("k") % 4 == 0, F.concat(F.lit("b__I"), k)).when(F.col("k") % 4 == 1, F.concat(F.lit("I"), k)).when(F.col("k") % 4 == 2, F.concat(F.lit("pt__I"), k)).otherwise(F.concat(F.lit("I"), k))
+    work = modules.Workspace(known, prefixes={"b": _BASE, "pt": _CURRENT})
+    with work.module(_BASE), work.search(_CURRENT):
+        found = work.resolve(customers.select(key.alias("key")))
+    keys = customers.select(key.alias("key"), (F.col("k") % 4).cast("int").alias("spelling"))
+    return keys.join(found.select("key", "uri"), "key", "left").select("uri", "spelling")
+
+
+@_q(
+    "SELECT 'derived' AS step, 'x:/trial' AS mod, count(*) AS n FROM orders UNION ALL SELECT 'derived', 'x:/kept', count(*) FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'unloaded', 'x:/kept', count(*) FROM customer WHERE c_mktsegment = 'BUILDING' "
+    "UNION ALL SELECT 'log', 'x:/kept', 1 UNION ALL SELECT 'log', 'x:/trial', 2"
+)
+def module_contexts(kb):
+    """A rule's results land in the active module, one module inside another; one of them is taken back, the other stays."""
+    ship = rules.Rule("ship", [Pattern([Edge(Var("o"), "placed_by", Var("c")), Edge(Var("c"), "part_of", Var("n"))])], [rules.Template(Var("o"), "goes_to", Var("n"))])
+    work = modules.Workspace(kb.only("placed_by", "part_of"))
+    wanted = kb.of("segment").where("o_lex = 'BUILDING'").select(*statement(F.col("s"), "is_wanted", F.lit(1), kind="L", o_type="int"))
+    with work.start("x:/trial", "t"):
+        work.apply(ship)
+        with work.module("x:/kept"):
+            work.insert(wanted, only_new=True)
+    made = lambda step: work.kb.statements.where("mod LIKE 'x:/%'").groupBy("mod").agg(F.count(F.lit(1)).alias("n")).select(F.lit(step).alias("step"), "mod", "n")
+    derived = made("derived")
+    work.unload("x:/trial")
+    log = local(kb.spark, [("log", m, sum(x[0] == m for x in work.log)) for m in ("x:/kept", "x:/trial")], "step string, mod string, n long")
+    return derived.unionByName(made("unloaded")).unionByName(log)
+
+
+# calls
+
+
+@_q(
+    "WITH l AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) SELECT 'offer' AS operator, 'P'||p AS a, 'S'||s AS b, 'contract' AS cls, 'priced' AS other, 'S'||s AS held_by FROM l "
+    "UNION ALL SELECT 'size_of', 'P'||p_partkey, NULL, 'number', NULL, NULL FROM part"
+)
+def operator_calls(kb):
+    """Two operators applied to columns: results of their range's classes, arguments read back, and a rule that runs on new results alone."""
+    facts = _facts(kb, [("offer", "range", "contract"), ("size_of", "range", "number")])
+    second = kb.spark.range(1).select(*statement(F.lit("offer"), "range", F.lit("priced"))).withColumn("seq", F.lit(9).cast("long"))
+    known = facts.only("range").plus(second, bag=False)
+    offers = kb.of("supplied_by").select(F.lit("offer").alias("operator"), F.array("s", "o").alias("args"))
+    asked = offers.unionByName(offers).unionByName(kb.of("size").select(F.lit("size_of").alias("operator"), F.array("s").alias("args")))
+    result, tuple_, b = Var("result"), Var("t"), Var("b")
+    # matched as SPARQL does: the element of place 1 is known by its index, so the rule asks the tuple's supplier through its class
+    held = rules.Rule("held", [Pattern([Edge(result, "applied_mapping_of", Ent("offer")), Edge(result, "has_arguments", tuple_), Edge(tuple_, "has_element", b), Edge(b, "is_supplier", Ent("yes"))])], [rules.Template(result, "held_by", b)])
+    suppliers = kb.of("part_of").where("s LIKE 'S%'").select(*statement(F.col("s"), "is_supplier", F.lit("yes")))
+    after, made = calls.call(known.plus(suppliers, bag=False), asked, post=[held])
+    again, twice = calls.call(after, offers, post=[held])  # nothing of it is new
+    known_args = made.select("result", "operator", F.get("args", 0).alias("a"), F.get("args", 1).alias("b"))
+    stored = again.of("has_arguments").select(F.col("s").alias("result"), F.col("o").alias("tuple"))
+    elements = again.of("has_element").join(again.qualifiers.where("p = 'has_index'").select("stm_id", F.col("o_lex").cast("int").alias("place")), "stm_id").groupBy(F.col("s").alias("tuple")).agg(F.max(F.when(F.col("place") == 0, F.col("o"))).alias("a"), F.max(F.when(F.col("place") == 1, F.col("o"))).alias("b"))
+    one = lambda p, name: again.of(p).select(F.col("s").alias("result"), F.col("o").alias(name))
+    out = known_args.select("result", "operator").join(stored, "result").join(elements, "tuple").join(one("instance_of", "cls"), "result").join(one("secondary_instance_of", "other"), "result", "left").join(one("held_by", "held_by"), "result", "left")
+    return out.join(twice.where("made").select("result"), "result", "left_anti").select("operator", "a", "b", "cls", "other", "held_by")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
