@@ -62,7 +62,7 @@ class Scopes:
     scopes: list[tuple[str, str, str | None, str]] = field(default_factory=list)
     variables: dict[str, tuple[str, str]] = field(default_factory=dict)
     defined: list[tuple] = field(default_factory=list)
-    statements: list[tuple] = field(default_factory=list)
+    rows: list[tuple] = field(default_factory=list)
     stack: list[tuple[str, str]] = field(default_factory=list)
 
     def __getattr__(self, name: str) -> str:
@@ -95,6 +95,11 @@ class Scopes:
         n = sum(s[2] == self._active(None) and s[1] == kind for s in self.scopes)
         return self.scope(f"{kind}{n}", kind)
 
+    @property
+    def statements(self) -> list[tuple[str, str, str, str]]:
+        """(s, p, o, scope) of what has been written, literals by their keys."""
+        return [(s, p, o, scope) for s, p, _, o, scope, *_ in self.rows]
+
     def _active(self, scope: str | None) -> str:
         if not self.stack:
             raise ScopeError("no scope is open")
@@ -121,9 +126,9 @@ class Scopes:
         """A statement of the innermost scope; with ``proxy``, a relation variable, its relation is what that is bound to."""
         active = self._active(scope)
         if overwrite:
-            self.statements = [x for x in self.statements if (x[0], x[1], x[4]) != (s, p, active)]
+            self.rows = [x for x in self.rows if (x[0], x[1], x[4]) != (s, p, active)]
         kind, key = ("E", o) if isinstance(o, str) else ("L", literal_key(o.text if isinstance(o, Text) else o))
-        self.statements.append((s, WILDCARD if proxy else p, kind, key, active, len(self.statements), proxy, mode))
+        self.rows.append((s, WILDCARD if proxy else p, kind, key, active, len(self.rows), proxy, mode))
 
     def add_all(self, triples: list[tuple[str, str, object]]) -> None:
         for s, p, o in triples:
@@ -164,7 +169,7 @@ class Scopes:
         return self.scope(f"antecedent{n}", "ANTECEDENT"), self.scope(f"consequent{n}", "CONSEQUENT")
 
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return local(spark, self.scopes, SCOPES), local(spark, self.defined, VARIABLES), local(spark, self.statements, STATEMENTS)
+        return local(spark, self.scopes, SCOPES), local(spark, self.defined, VARIABLES), local(spark, self.rows, STATEMENTS)
 
     def stored(self, kb: KB, *, about: list[tuple[str, str, object]] = (), mod: str = "scopes") -> KB:
         """``kb`` with the owner's scopes, and statements ``about`` the owner or its scopes that lie in none."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import authoring, calls, compiler, fixpoint, modules, rules, scopes
 from ..operators.pattern import Edge, Ent, LitVar, Pattern, RelVar, Var, first_matches, match
-from .catalogue import ORACLE_SQL, QUERIES, _q
+from .catalogue import ORACLE_SQL, QUERIES, _q, _s
 from .model import KB, constants, statement
 from .tables import local
 
@@ -487,4 +487,19 @@ def operator_calls(kb):
     return out.join(twice.where("made").select("result"), "result", "left_anti").select("operator", "a", "b", "cls", "other", "held_by")
 
 
+
+# SPARQL
+
+_s(
+    "sparql_exists_in_optional",
+    "SELECT 'P'||a.p_partkey AS p, CASE WHEN EXISTS (SELECT 1 FROM part x WHERE x.p_partkey = a.p_partkey // 2 AND x.p_size < a.p_size) THEN 'P'||b.p_partkey END AS q FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey // 2 WHERE a.p_partkey > 0",
+    "SELECT ?p ?q WHERE { ?p :parent ?up . ?p :size ?k OPTIONAL { ?p :parent ?q FILTER EXISTS { ?up :size ?j FILTER (?j < ?k) } } }",
+)
+_s(
+    "sparql_blank_nodes",
+    "SELECT 'O'||o_orderkey AS o, 'N'||c_nationkey AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1",
+    "SELECT ?o ?n WHERE { ?o :placed_by [ :part_of ?n ] . ?n :part_of _:somewhere . _:somewhere :label \"AMERICA\" }",
+)
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

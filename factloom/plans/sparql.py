@@ -2,7 +2,7 @@
 
 SELECT [DISTINCT] with expressions and aggregates, ASK, CONSTRUCT; basic graph patterns with predicate variables,
 FILTER, OPTIONAL, UNION, MINUS, BIND, VALUES, FILTER (NOT) EXISTS, sub-SELECT, GROUP BY, HAVING, ORDER BY, LIMIT, OFFSET;
-property paths ^ / | * + ?. Matches are homomorphisms over distinct triples and keep their multiplicity.
+property paths ^ / | * + ?; blank nodes, also with properties in brackets. Matches are homomorphisms over distinct triples and keep their multiplicity.
 A URI is written as prefix:name or <uri>; names stand for themselves (``:name`` is the entity ``name``) unless their
 prefix is declared with another base.
 """
@@ -26,7 +26,7 @@ class SparqlError(ValueError):
 
 _TOKEN = re.compile(
     r"""\#[^\n]*|(?P<uri><[^>\s]*>)|(?P<var>[?$]\w+)|(?P<str>"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+)?)|(?P<num>[+-]?\d+(?:\.\d+)?)"""
-    r"""|(?P<name>[A-Za-z_][\w-]*?:[\w.-]*(?:\["[^"]*"\])?|:[\w.-]+(?:\["[^"]*"\])?)|(?P<word>[A-Za-z_]\w*)|(?P<op>\|\||&&|!=|<=|>=|[{}().,;*+?/|^=<>!-])"""
+    r"""|(?P<name>[A-Za-z_][\w-]*?:[\w.-]*(?:\["[^"]*"\])?|:[\w.-]+(?:\["[^"]*"\])?)|(?P<word>[A-Za-z_]\w*)|(?P<op>\|\||&&|!=|<=|>=|[{}()\[\].,;*+?/|^=<>!-])"""
 )
 
 
@@ -116,6 +116,8 @@ class _Parser:
             return "var", value[1:]
         if kind == "uri":
             return "uri", value[1:-1]
+        if kind == "name" and value.startswith("_:"):
+            return "var", f"__{value[2:]}"  # a blank node is a variable that no one can name
         if kind == "name":
             return "uri", self.name(value)
         if kind == "num":
@@ -223,17 +225,33 @@ class _Parser:
                 rows.append((self.term()[1],))
         return ("values", names, rows)
 
+    def node(self, out: _Group) -> tuple[str, str]:
+        """A term, or a variable of its own for a blank node, whose properties in brackets become triples."""
+        if not self.op("["):
+            return self.term()
+        blank = ("var", self.new())
+        if not self.op("]"):
+            self.properties(blank, out)
+            self.need("]")
+        return blank
+
     def triples(self, out: _Group) -> None:
-        s = self.term()
+        blank = self.peek() == ("op", "[")
+        s = self.node(out)
+        if not (blank and self.peek() in (("op", "."), ("op", "}"))):
+            self.properties(s, out)
+
+    def properties(self, s: tuple[str, str], out: _Group) -> None:
         while True:
             p = self.path()
             while True:
-                out.triples.append((s, p, self.term()))
+                o = self.node(out)
+                out.triples.append((s, p, o))
                 if not self.op(","):
                     break
             if not self.op(";"):
                 return
-            if self.peek() in (("op", "."), ("op", "}")):
+            if self.peek() in (("op", "."), ("op", "}"), ("op", "]")):
                 return
 
     # expressions are ("var", n), ("lit", k), ("uri", u), (op, a, b), ("call", name, args, distinct)
@@ -415,13 +433,16 @@ class _Plan:
         return df.select(*[F.col(c).alias(n) for n, c in names.items()]) if names else df.limit(1).select()
 
     def basic(self, triples: list) -> DataFrame:
-        constants_of = lambda t: -sum(x[0] in ("uri", "lit") for x in t if len(x) == 2)
-        todo = sorted(triples, key=constants_of)
+        """All triples of a block: first the one with most constants, then always the one with most variables bound by then."""
+        constants_of = lambda t: sum(x[0] in ("uri", "lit") for x in t if len(x) == 2)
         names = lambda t: {x[1] for x in t if x[0] == "var"}
-        first = todo.pop(0)
+        todo = list(triples)
+        first = max(todo, key=constants_of)
+        todo.remove(first)
         out, bound = self.triple(first), names(first)
         while todo:
-            t = next((t for t in todo if names(t) & bound), todo[0])
+            linked = [t for t in todo if names(t) & bound]
+            t = min(linked or todo, key=lambda t: (-len(names(t) & bound), not (t[0][0] != "var" or t[0][1] in bound), -constants_of(t)))
             todo.remove(t)
             out = self.join(out, self.triple(t))
             bound |= names(t)
@@ -439,6 +460,16 @@ class _Plan:
             if shared:
                 return _marked(x.join(y, shared, how), loose)
             return _marked(x.crossJoin(y) if how == "inner" else x.join(y, F.lit(True), how), loose)
+        if how == "inner" and not filters and len(soft) == len(shared):
+            # nothing to hash on but variables that may be unbound: bound rows meet by equality, only unbound ones meet all
+            c = soft[0]
+            known = lambda df, yes: _marked(df.where(F.col(c).isNotNull() if yes else F.col(c).isNull()), _loose(df) - {c} if yes else _loose(df))
+            parts = [self.join(known(x, True), known(y, True)), self._loosely(known(x, False), y, shared, soft, []), self._loosely(known(x, True), known(y, False), shared, soft, [])]
+            return _marked(reduce(DataFrame.unionByName, parts), loose)
+        return _marked(self._loosely(x, y, shared, soft, filters, how), loose)
+
+    def _loosely(self, x: DataFrame, y: DataFrame, shared: list[str], soft: list[str], filters: list, how: str = "inner") -> DataFrame:
+        """A join in which an unbound variable of either side meets every value of the other."""
         right = y.select(*[F.col(c).alias(f"__r_{c}" if c in shared else c) for c in y.columns])
         on = reduce(lambda p, q: p & q, [self.same(c, c in soft) for c in shared], F.lit(True))
         self.over = {c: F.coalesce(F.col(c), F.col(f"__r_{c}")) for c in soft}
@@ -447,7 +478,29 @@ class _Plan:
         self.over = {}
         out = x.join(right, on, how)
         names = [F.coalesce(F.col(c), F.col(f"__r_{c}")).alias(c) if c in soft else F.col(c) for c in x.columns]
-        return _marked(out.select(*names, *[F.col(c) for c in y.columns if c not in x.columns]), loose)
+        return out.select(*names, *[F.col(c) for c in y.columns if c not in x.columns])
+
+    def optional(self, x: DataFrame, g: _Group) -> DataFrame:
+        """OPTIONAL: filters and (NOT) EXISTS of its group see the variables of both sides."""
+        inner, filters = self.apart(g)
+        tests = [s for s in inner.steps if s[0] == "exists"]
+        inner.steps = [s for s in inner.steps if s[0] != "exists"]
+        more = self.group(inner)
+        if more is None:
+            return x
+        if not tests:
+            return self.join(x, more, "left", filters)
+        # each different solution with its candidates, those that pass all tests, and then back to all solutions
+        own = _marked(x.distinct().select(*x.columns, *[F.col(c).alias(f"__x_{c}") for c in x.columns]), _loose(x))
+        found = self.join(own, more)
+        for e in filters:
+            found = _marked(found.where(self.truth(e, found.columns)), _loose(found))
+        for _, group, negated, *_ in tests:
+            found = self.there(found, group, negated)
+        left = x.select(*[F.col(c).alias(f"__l_{c}") for c in x.columns])
+        on = reduce(lambda p, q: p & q, [F.col(f"__l_{c}").eqNullSafe(F.col(f"__x_{c}")) for c in x.columns], F.lit(True))
+        out = left.join(found, on, "left").select(*[F.coalesce(F.col(c), F.col(f"__l_{c}")).alias(c) for c in x.columns], *[F.col(c) for c in more.columns if c not in x.columns])
+        return _marked(out, _loose(x) | {c for c in more.columns if c not in x.columns})
 
     def same(self, c: str, soft: bool) -> Column:
         equal = F.col(c) == F.col(f"__r_{c}")
@@ -564,9 +617,7 @@ class _Plan:
                 out = _marked(out.withColumn(step[2], self.value(step[1], out.columns)), _loose(out) | {step[2]})
                 continue
             if kind == "optional":
-                inner, filters = self.apart(step[1])
-                more = self.group(inner)
-                out = out if more is None else self.join(out, more, "left", filters)
+                out = self.optional(out, step[1])
                 continue
             if kind == "minus":
                 out = self.without(out, self.group(step[1]))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars
 from factloom.operators.expressions import Expr, fold, relation_rows
 from factloom.operators.pattern import Edge, Pattern, Var
-from factloom.operators.rules import Rule, Template, delta
+from factloom.operators.rules import Contradiction, Rule, Template, delta
 from factloom.operators.scopes import ScopeError, Scopes
 from factloom.plans import sparql
 from factloom.plans.model import kb_of
@@ -125,9 +125,36 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     kb = kb_of(spark, [("I1", "r", "I2")])
     more = kb_of(spark, [("I2", "r", "I3"), ("I3", "r", "I4")]).statements.withColumn("stm_id", F.concat(F.lit("n"), "stm_id"))
     more.coalesce(1).write.parquet(str(tmp_path / "in"))
-    live = Incremental(kb, [rule])
+    state = str(tmp_path / "state")
+    live = Incremental(kb, [rule], path=state)
     q = spark.readStream.schema(more.schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(live.foreach).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert live.kb.of("r").count() == 6
     live.foreach(more, 0)
-    assert live.kb.of("r").count() == 6
+    assert live.kb.of("r").count() == 6 and live.last == 0
+    # another driver goes on where this one ended
+    added = []
+    again = Incremental(kb, [rule], lambda rows, epoch: added.append((rows.count(), epoch)), path=state)
+    assert again.last == 0 and again.kb.of("r").count() == 6
+    again.foreach(kb_of(spark, [("I0", "r", "I1"), ("I0", "r", "I1"), ("I1", "r", "I2")]).statements, 1)
+    assert again.kb.of("r").count() == 10 and added == [(4, 1)]
+    stop = Rule("stop", [Pattern([Edge(x, "r", x)], injective=False)], stop=Contradiction, message="{x}")
+    strict = Incremental(kb, [rule, stop], path=str(tmp_path / "strict"))
+    with pytest.raises(Contradiction):
+        strict.foreach(kb_of(spark, [("I7", "r", "I7")]).statements, 0)
+    assert strict.last == -1 and strict.kb.of("r").count() == 1
+
+
+def test_exists_in_optional_sees_outer_variables(spark):
+    kb = kb_of(spark, [("a", "p", "b"), ("a", "n", 1), ("c", "p", "d"), ("c", "n", 5), ("z", "n", 3), ("e", "n", 2)])
+    text = "SELECT ?s ?o WHERE { ?s :n ?k OPTIONAL { ?s :p ?o FILTER %s { ?z :n ?j FILTER (?j > ?k) } } }"
+    got = lambda word: {r["s"]: r["o"] for r in sparql.query(kb, text % word).collect()}
+    assert got("EXISTS") == {"a": "b", "c": None, "z": None, "e": None}
+    assert got("NOT EXISTS") == {"a": None, "c": "d", "z": None, "e": None}
+
+
+def test_blank_nodes(spark):
+    kb = kb_of(spark, [("a", "r", "x"), ("x", "q", "y"), ("x", "v", 1), ("b", "r", "w"), ("w", "q", "y")])
+    assert [r["s"] for r in sparql.query(kb, "SELECT * WHERE { ?s :r [ :q :y ; :v 1 ] }").collect()] == ["a"]
+    assert sorted(r["s"] for r in sparql.query(kb, "SELECT ?s WHERE { ?s :r _:m . _:m :q [] }").collect()) == ["a", "b"]
+    assert sparql.query(kb, "SELECT ?s WHERE { [ :v ?k ] . ?s :r [ :v ?k ] }").count() == 1
