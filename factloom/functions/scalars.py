@@ -93,12 +93,20 @@ def inline_latex(text: Column) -> Column:
     return F.regexp_replace(text, r"\$([^$]*)\$", r"\\($1\\)")
 
 
+def escaped(text: Column) -> Column:
+    """Text for HTML: the characters that it gives a meaning, as entities."""
+    out = text
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(plain), F.lit(entity))
+    return out
+
+
 def entity_html(label: Column, key: Column, uri: Column) -> Column:
-    return F.format_string('<a href="/e/%s">%s ["%s"]</a>', F.url_encode(uri), key, label)
+    return F.format_string('<a href="/e/%s">%s [&quot;%s&quot;]</a>', F.url_encode(uri), escaped(key), escaped(label))
 
 
 def literal_html(text: Column) -> Column:
-    return F.format_string('<span class="literal">"%s"</span>', text)
+    return F.format_string('<span class="literal">&quot;%s&quot;</span>', escaped(text))
 
 
 def colour_of_number(n: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import COLUMNS, KB, content_id, statement
 from ..plans.tables import written
 from .edit import tuple_rows
+from .expressions import Expr
 from .rules import Rule, as_statements, bindings, template_rows, unscoped
 
 APPLIED, ARGUMENTS, RANGE, INSTANCE = "applied_mapping_of", "has_arguments", "range", "instance_of"
@@ -19,6 +20,37 @@ class NotCallable(TypeError):
     """An operator without a range: nothing says what its results are."""
 
 
+def result_id(operator: Column, args: Column) -> Column:
+    """The entity that a call gives, whoever makes it."""
+    return F.concat(F.lit("Ia"), F.substring(content_id(F.lit("call"), operator, F.to_json(args)), 1, 32))
+
+
+def evaluate(kb: KB, tree: Expr, inputs: DataFrame, *, result: str = "result", **more) -> tuple[KB, DataFrame]:
+    """(``kb`` with all calls of an expression for each row of ``inputs``, ``inputs`` with the result's entity).
+
+    Leaves that are named as columns of ``inputs`` stand for their values, keys or URIs; other leaves for themselves. Calls are made a level of
+    nesting at a time, each one once, whichever rows and places of the expression it comes from.
+    """
+    depth: dict[str, tuple[int, Expr]] = {}
+
+    def place(e: Expr) -> int:
+        level = 1 + max(map(place, e.args)) if e.args else 0
+        depth[e.name] = (level, e)
+        return level
+
+    top = place(tree)
+    own = list(inputs.columns)
+    column = lambda e: F.col(f"`{e.op}`") if not e.args and e.op in own else F.col(f"`__{e.name}`") if e.args else F.lit(e.op)
+    frame = inputs
+    for level in range(1, top + 1):
+        nodes = [e for n, e in depth.values() if n == level]
+        arguments = {e.name: F.array(*[column(a) for a in e.args]) for e in nodes}
+        asked = frame.select(F.explode(F.array(*[F.struct(F.lit(e.op).alias("operator"), arguments[e.name].alias("args")) for e in nodes])).alias("x")).select("x.*")
+        kb, _ = call(kb, asked, **more)
+        frame = frame.select("*", *[result_id(F.lit(e.op), arguments[e.name]).alias(f"__{e.name}") for e in nodes])
+    return kb, frame.select(*own, column(tree).alias(result))
+
+
 def call(kb: KB, calls: DataFrame, *, post: list[Rule] | None = None, secondary: str = "secondary_instance_of", mod: str = "calls") -> tuple[KB, DataFrame]:
     """(``kb`` with the results, (operator, args, result, made)) of ``calls`` (operator, args array<string>).
 
@@ -28,7 +60,7 @@ def call(kb: KB, calls: DataFrame, *, post: list[Rule] | None = None, secondary:
     empty array is a call of no arguments. Raises ``NotCallable`` for an operator without a range, before anything is stored.
     """
     args = F.coalesce("args", F.array().cast("array<string>"))
-    result = F.concat(F.lit("Ia"), F.substring(content_id(F.lit("call"), F.col("operator"), F.to_json(args)), 1, 32))
+    result = result_id(F.col("operator"), args)
     asked = written(calls.select("operator", args.alias("args")).withColumn("result", result).dropDuplicates(["result"]), "calls")
     ranges = kb.of(RANGE).select(F.col("s").alias("operator"), F.col("o").alias("cls"), "seq", "stm_id")
     bad = asked.select("operator").distinct().join(ranges, "operator", "left_anti").orderBy("operator").limit(1).collect()

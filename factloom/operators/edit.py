@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.model import KB, content_id, statement
 from ..plans.tables import written
@@ -127,33 +128,54 @@ def merge_entities(kb: KB, replacements: DataFrame, *, keep: tuple[str, ...] = (
     return out.but(bag=True)
 
 
-def tuple_rows(tuples: DataFrame, *, mod: str = "m", element: str = "has_element", index: str = "has_index", length: str = "has_length") -> tuple[DataFrame, DataFrame]:
-    """(statements, qualifiers) of ``tuples`` (tuple, elements array of URIs): a length and an indexed element each."""
-    each = tuples.select("tuple", F.posexplode("elements").alias("place", "o"))
+def indexed(members: DataFrame, *, order: str = "o") -> DataFrame:
+    """``members`` (tuple, o) with ``place``: from 0 in each tuple by the elements' order. No tuple is held in one task.
+
+    Rows are sorted by range and written; a row's place is its place in its task less that of its tuple's first, plus the rows of the tuple in the tasks before.
+    """
+    spot = F.monotonically_increasing_id()
+    sorted_ = members.orderBy("tuple", order).withColumn("part", F.shiftright(spot, 33)).withColumn("spot", spot.bitwiseAND(F.lit((1 << 33) - 1)))
+    sorted_ = written(sorted_, "sorted")
+    runs = sorted_.groupBy("tuple", "part").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n"))  # a row for each tuple and task that has some of it
+    before = F.sum("n").over(Window.partitionBy("tuple").orderBy("part")) - F.col("n")
+    return sorted_.join(runs.withColumn("before", before), ["tuple", "part"]).select("tuple", "o", (F.col("spot") - F.col("first") + F.col("before")).alias("place"))
+
+
+def element_rows(members: DataFrame, *, mod: str = "m", element: str = "has_element", index: str = "has_index", length: str = "has_length") -> tuple[DataFrame, DataFrame]:
+    """(statements, qualifiers) of tuples as ``members`` (tuple, o, place): an indexed element each, and a length a tuple."""
     null = F.lit(None).cast("string")
     stm_id = content_id(F.col("tuple"), F.lit(element), F.col("place"))
     common = [F.lit(mod).alias("mod"), F.col("place").cast("long").alias("seq"), F.col("tuple").alias("s")]
-    elements = each.select(stm_id.alias("stm_id"), *common, F.lit(element).alias("p"), F.lit("E").alias("o_kind"), "o", null.alias("o_type"), null.alias("o_lex"), null.alias("o_lang"), null.alias("scope"), F.lit(False).alias("free"))
-    size = F.size("elements")
-    lengths = tuples.select(
-        content_id(F.col("tuple"), F.lit(length)).alias("stm_id"), F.lit(mod).alias("mod"), F.lit(0).cast("long").alias("seq"), F.col("tuple").alias("s"), F.lit(length).alias("p"), F.lit("L").alias("o_kind"),
-        F.concat(F.lit("n:"), size.cast("double").cast("string")).alias("o"), F.lit("int").alias("o_type"), size.cast("string").alias("o_lex"), null.alias("o_lang"), null.alias("scope"), F.lit(False).alias("free"),
-    )
+    elements = members.select(stm_id.alias("stm_id"), *common, F.lit(element).alias("p"), F.lit("E").alias("o_kind"), "o", null.alias("o_type"), null.alias("o_lex"), null.alias("o_lang"), null.alias("scope"), F.lit(False).alias("free"))
+    sizes = members.groupBy("tuple").agg(F.count(F.lit(1)).alias("n"))
     place = F.col("place").cast("string")
-    qualifiers = each.select(
+    qualifiers = members.select(
         stm_id.alias("stm_id"), F.concat(stm_id, F.lit("q")).alias("q_stm_id"), F.lit(0).cast("long").alias("seq"), F.lit(index).alias("p"), F.lit("L").alias("o_kind"),
         F.concat(F.lit("n:"), F.col("place").cast("double").cast("string")).alias("o"), F.lit("int").alias("o_type"), place.alias("o_lex"), null.alias("o_lang"),
     )
-    return elements.unionByName(lengths), qualifiers
+    return elements.unionByName(_lengths(sizes, F.col("n"), mod, length)), qualifiers
+
+
+def _lengths(rows: DataFrame, size: Column, mod: str, length: str) -> DataFrame:
+    null = F.lit(None).cast("string")
+    return rows.select(
+        content_id(F.col("tuple"), F.lit(length)).alias("stm_id"), F.lit(mod).alias("mod"), F.lit(0).cast("long").alias("seq"), F.col("tuple").alias("s"), F.lit(length).alias("p"), F.lit("L").alias("o_kind"),
+        F.concat(F.lit("n:"), size.cast("double").cast("string")).alias("o"), F.lit("int").alias("o_type"), size.cast("string").alias("o_lex"), null.alias("o_lang"), null.alias("scope"), F.lit(False).alias("free"),
+    )
+
+
+def tuple_rows(tuples: DataFrame, *, mod: str = "m", element: str = "has_element", index: str = "has_index", length: str = "has_length") -> tuple[DataFrame, DataFrame]:
+    """(statements, qualifiers) of ``tuples`` (tuple, elements array of URIs): a length and an indexed element each, also of empty ones."""
+    each = tuples.select("tuple", F.posexplode("elements").alias("place", "o"))
+    rows, qualifiers = element_rows(each, mod=mod, element=element, index=index, length=length)
+    return rows.where(F.col("p") == element).unionByName(_lengths(tuples, F.size("elements"), mod, length)), qualifiers
 
 
 def close_class(kb: KB, cls: str, *, instance: str = "instance_of", closed: str = "has_closed_tuple") -> KB:
-    """Stores the class's direct instances, in order of insertion, as its closed tuple."""
-    listed = kb.of(instance).where(F.col("o") == cls).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "s"))), lambda x: x["s"]).alias("elements"))
-    listed = written(listed.select(F.concat(F.lit("tuple:"), F.lit(cls)).alias("tuple"), "elements"), "tuple")
-    rows, qualifiers = tuple_rows(listed)
-    link = rows.where("p = 'has_length'").withColumn("stm_id", F.concat("stm_id", F.lit("c"))).withColumn("o", F.col("s")).withColumn("o_kind", F.lit("E"))
-    link = link.withColumn("s", F.lit(cls)).withColumn("p", F.lit(closed)).withColumn("o_type", F.lit(None).cast("string")).withColumn("o_lex", F.lit(None).cast("string"))
+    """Stores the class's direct instances, in order of insertion, as its closed tuple; however many there are."""
+    own = kb.of(instance).where(F.col("o") == cls).select(F.lit(f"tuple:{cls}").alias("tuple"), F.col("s").alias("o"), F.struct("seq", "s").alias("at"))
+    rows, qualifiers = element_rows(indexed(own, order="at"))
+    link = kb.spark.range(1).select(*statement(F.lit(cls), closed, F.lit(f"tuple:{cls}"), mod="m"))
     return kb.plus(rows.unionByName(link), qualifiers=qualifiers)
 
 

@@ -94,3 +94,18 @@ def relation_rows(lhs: Expr, sign: str, rhs: Expr, *, kinds: dict[str, str] = RE
         raise ValueError("both sides are the same expression")
     proxy = Expr(sign, (lhs, rhs)).name
     return [(proxy, "instance_of", kinds[sign]), (proxy, "has_lhs", lhs.name), (proxy, "has_rhs", rhs.name), (lhs.name, f"is_related:{sign}", rhs.name)]
+
+
+def related(rows: DataFrame, *, kinds: dict[str, str] = RELATIONS) -> DataFrame:
+    """(s, p, o) of mathematical relations ``rows`` (lhs, sign, rhs): as ``relation_rows``, for all rows at once.
+
+    Equal relations are one item. Raises for an unknown sign or two equal sides, before anything is made.
+    """
+    bad = rows.where(~F.col("sign").isin(*kinds) | (F.col("lhs") == F.col("rhs")) | F.col("lhs").isNull() | F.col("rhs").isNull() | F.col("sign").isNull()).limit(1).collect()
+    if bad:
+        raise ValueError(f"no relation: {bad[0]['lhs']} {bad[0]['sign']} {bad[0]['rhs']}")
+    item = F.sha2(F.to_json(F.array("sign", "lhs", "rhs")), 256)
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("sign"))
+    facts = [(item, F.lit("instance_of"), kind), (item, F.lit("has_lhs"), F.col("lhs")), (item, F.lit("has_rhs"), F.col("rhs")), (F.col("lhs"), F.concat(F.lit("is_related:"), "sign"), F.col("rhs"))]
+    each = F.explode(F.array(*[F.struct(s.alias("s"), p.alias("p"), o.alias("o")) for s, p, o in facts]))
+    return rows.select("lhs", "sign", "rhs").distinct().select(each.alias("x")).select("x.*").distinct()

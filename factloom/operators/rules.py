@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import map_of, render
 from ..plans.model import KB, constants, content_id
-from ..plans.tables import written
+from ..plans.tables import local, written
 from .closure import RoundLimit
 from .edit import FunctionalError, functional_violations, insert, merge_entities, new_id, representatives
 from .pattern import Ent, Lit, LitVar, Pattern, RelVar, Var, match_any
@@ -239,6 +239,22 @@ def bijections(kb: KB, subjects: list[str], objects: list[str], negative: str) -
     return rows.join(bad, "assignment", "left_anti")
 
 
+def admissible(excluded: DataFrame, subjects: list[str], objects: list[str]) -> DataFrame:
+    """(case, n): for each case of ``excluded`` (case, s, o) the bijections between two closed classes, of one size up to eight, that hold none of its pairs."""
+    if len(subjects) != len(objects) or len(objects) > 8:
+        raise ValueError("bijections are counted between classes of one size, up to eight")
+    names = lambda values: F.array(*map(F.lit, values))
+    bits = (F.array_position(names(subjects), F.col("s")) - 1) * len(objects) + F.array_position(names(objects), F.col("o")) - 1
+    known = excluded.where(F.col("s").isin(subjects) & F.col("o").isin(objects))
+    masks = excluded.select("case").distinct().join(known.groupBy("case").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))).alias("mask")), "case", "left")
+    signed = lambda m: m - (1 << 64) if m >> 63 else m  # noqa: E731  a pair a bit, 64 at most
+    every = [signed(sum(1 << (k * len(objects) + o) for k, o in enumerate(p))) for p in permutations(range(len(objects)))]
+    counts = masks.select(F.coalesce("mask", F.lit(0).cast("long")).alias("mask")).distinct()
+    tried = counts.crossJoin(F.broadcast(local(excluded.sparkSession, [(m,) for m in every], "assignment long")))  # at most 8! assignments
+    n = tried.groupBy("mask").agg(F.count(F.when(F.col("mask").bitwiseAND(F.col("assignment")) == 0, 1)).alias("n"))
+    return masks.withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).join(n, "mask").select("case", "n")
+
+
 def candidates(kb: KB, negative: str, relations: DataFrame) -> DataFrame:
     """(relation, s, n, objects): what ``relations`` (relation, s, o) leaves open after the negative statements, fewest first."""
     left = relations.join(kb.of(negative).select("s", "o").distinct(), ["s", "o"], "left_anti")

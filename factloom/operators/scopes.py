@@ -348,3 +348,15 @@ def copy_scopes(kb: KB, copies: DataFrame, *, mod: str = "copies", operator: str
 def integer_range(spark, start: int, stop: int, step: int = 1) -> DataFrame:
     """(value) of a concrete integer range, its end included."""
     return spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(stop), F.lit(step))).alias("value"))
+
+
+def integer_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` (start, stop, step and others) with ``value``: a row for each number from start towards stop, both ends included.
+
+    A range that leads away from its end is empty. A step of 0 or null, or a null end, is an error, found before anything is made.
+    """
+    bad = rows.where("coalesce(step, 0) = 0 OR start IS NULL OR stop IS NULL").limit(1).collect()
+    if bad:
+        raise ScopeError(f"no range: {bad[0].asDict()}")
+    towards = F.signum(F.col("step")) * (F.col("stop") - F.col("start")) >= 0
+    return rows.where(towards).withColumn("value", F.explode(F.sequence("start", "stop", "step")))

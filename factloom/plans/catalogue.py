@@ -169,10 +169,11 @@ def pattern_cross_components(kb):
     return match(kb, Pattern([Edge(a, "size", Lit("n:49.0")), Edge(b, "size", Lit("n:50.0"))], components=2))
 
 
-@_q("SELECT 'C'||c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@_q("SELECT 'C'||c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def pattern_absence(kb):
-    placed = kb.of("placed_by").select(F.col("o").alias("s")).distinct().select(*statement(F.col("s"), "has_order", F.lit(1), kind="L", o_type="int"))
-    return match(kb.plus(placed), Pattern([Edge(C, "instance_of", Ent("customer"))], absent=[("c", "has_order")]))
+    pending = kb.of("status").where("o_lex = 'P'").select("s")
+    placed = kb.of("placed_by").join(pending, "s", "left_semi").select(F.col("o").alias("s")).distinct().select(*statement(F.col("s"), "has_pending_order", F.lit(1), kind="L", o_type="int"))
+    return match(kb.plus(placed, bag=False), Pattern([Edge(C, "instance_of", Ent("customer"))], absent=[("c", "has_pending_order")]))
 
 
 @_q("SELECT 'P'||p_partkey AS p FROM part WHERE p_size = 10 UNION ALL SELECT 'P'||p_partkey FROM part WHERE p_brand = 'Brand#13'")
@@ -317,11 +318,21 @@ def candidate_report(kb):
     return rules.candidates(kb, "segment", every).select("relation", "s", "n", F.array_join("objects", ",").alias("objects"))
 
 
-@_q("SELECT count(*) AS n FROM (SELECT 1 FROM range(5) a(a), range(5) b(b), range(5) c(c), range(5) d(d), range(5) e(e) WHERE len(list_distinct([a, b, c, d, e])) = 5 AND a <> 0 AND b <> 2)")
-def permutation_count(kb):
-    bad = constants(kb.spark, [("h0", "d0"), ("h1", "d2")], ["s", "o"]).select(*statement(F.col("s"), "not_drinks", F.col("o")))
-    found = rules.bijections(kb.plus(bad), [f"h{k}" for k in range(5)], [f"d{k}" for k in range(5)], "not_drinks")
-    return found.agg(F.countDistinct("assignment").alias("n"))
+@_q(
+    "WITH bad AS (SELECT DISTINCT o_custkey AS c, c_mktsegment AS s, o_orderpriority AS o FROM orders JOIN customer ON c_custkey = o_custkey), g AS (SELECT list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS g FROM customer), p AS (SELECT list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS p FROM orders), "
+    "perms AS (SELECT a, b, c, d, e FROM range(1, 6) a(a), range(1, 6) b(b), range(1, 6) c(c), range(1, 6) d(d), range(1, 6) e(e) WHERE len(list_distinct([a, b, c, d, e])) = 5), "
+    "used AS (SELECT c, list(struct_pack(s := list_position(g, s), o := list_position(p, o))) AS bad FROM bad, g, p GROUP BY c) "
+    "SELECT 'C'||used.c AS s, count(*) AS n FROM used, perms WHERE len(list_filter(bad, lambda x: [perms.a, perms.b, perms.c, perms.d, perms.e][x.s] = x.o)) = 0 GROUP BY 1",
+    tables=True,
+)
+def permutation_count(spark, sf_dir):
+    """For each customer that ordered: in how many ways segments and priorities go together one to one, if its own segment has none of the priorities of its orders."""
+    segments = star(spark, sf_dir).of("segment").select("s", F.col("o").alias("segment"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    ordered = orders.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("s"), F.col("o_orderpriority").alias("priority")).distinct()
+    bad = ordered.join(segments, "s").select(F.col("s").alias("case"), F.col("segment").alias("s"), F.col("priority").alias("o")).distinct()
+    names = lambda df, c: sorted(r[c] for r in df.select(c).distinct().limit(9).collect())  # noqa: E731  a closed class of up to eight
+    return rules.admissible(bad, names(segments, "segment"), names(ordered, "priority")).where("n > 0").select(F.col("case").alias("s"), "n")
 
 
 # closures and graphs
@@ -364,9 +375,11 @@ def ego_radius2(kb):
     return closure.ego_graph(kb.only("parent"), "P21", 2)
 
 
-@_q("SELECT 'C'||c_custkey AS source, 'part_of' AS p, 'N5' AS target FROM customer WHERE c_nationkey = 5 UNION ALL SELECT 'S'||s_suppkey, 'part_of', 'N5' FROM supplier WHERE s_nationkey = 5 UNION ALL SELECT 'N5', 'part_of', 'R'||n_regionkey FROM nation WHERE n_nationkey = 5 UNION ALL SELECT 'N5', 'instance_of', 'nation'")
+@_q("SELECT * FROM (SELECT 'Ia'||c_custkey AS source, 'part_of' AS p, 'N5' AS target FROM customer WHERE c_nationkey = 5 ORDER BY 1 LIMIT 3) UNION ALL SELECT 'S'||s_suppkey, 'part_of', 'N5' FROM supplier WHERE s_nationkey = 5 UNION ALL SELECT 'N5', 'part_of', 'R'||n_regionkey FROM nation WHERE n_nationkey = 5")
 def neighbourhood_capped(kb):
-    return closure.neighbourhood(kb, "N5").select("source", "p", "target")
+    """Of the customers of a nation, under names of made entities, three are shown; suppliers all."""
+    made = kb.of("part_of").withColumn("s", F.when(F.col("s").startswith("C"), F.concat(F.lit("Ia"), F.expr("substring(s, 2)"))).otherwise(F.col("s")))
+    return closure.neighbourhood(kb.but(statements=made), "N5").select("source", "p", "target")
 
 
 @_q("SELECT DISTINCT 'P'||l_partkey AS source, 'S'||l_suppkey AS target FROM lineitem UNION SELECT 'O'||o_orderkey, 'C'||o_custkey FROM orders")
@@ -432,9 +445,13 @@ def type_check_violations(kb):
     return type_violations(kb, calls, signature)
 
 
-@_q(f"{_SUBSTAR} SELECT 1 AS one FROM t WHERE a = b")
+@_q("SELECT 'P'||p_partkey AS node, 4 AS hops FROM part WHERE p_partkey // 4 * 4 + 3 <= (SELECT max(p_partkey) FROM part)")
 def taxonomy_cycles(kb):
-    return closure.transitive_closure(closure.relation_edges(kb, "subclass_of")).where("a = b").select(F.lit(1).alias("one"))
+    """Classes in circles of four: each is above itself after four steps. Those of an incomplete circle are not."""
+    k = F.expr("cast(substring(s, 2) as long)")
+    above = F.when(k % 4 == 3, k - 3).otherwise(k + 1)
+    edges = kb.of("size").select(F.col("s").alias("a"), F.concat(F.lit("P"), above.cast("string")).alias("b"))
+    return closure.transitive_closure(edges).where("a = b").select(F.col("a").alias("node"), "hops")
 
 
 @_q("SELECT kind, count(*) AS n FROM (SELECT 'direct' AS kind FROM orders UNION ALL SELECT 'subject' FROM orders UNION ALL SELECT 'object' FROM orders) GROUP BY 1")
@@ -446,23 +463,23 @@ def rdf_projection_reified(kb):
     return out.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@_q("SELECT 'N'||n_nationkey AS s, 'label' AS p, n_name AS o FROM nation UNION ALL SELECT 'N'||n_nationkey, 'part_of', 'R'||n_regionkey FROM nation")
+@_q("SELECT 'C'||c_custkey AS s, 'label' AS p, c_name AS o FROM customer UNION ALL SELECT 'C'||c_custkey, 'part_of', 'N'||c_nationkey FROM customer")
 def nt_roundtrip(kb):
     from ..sources import ntriples
 
-    some = kb.but(statements=kb.of("label", "part_of").where("s LIKE 'N%'"))
+    some = kb.but(statements=kb.of("label", "part_of").where("s LIKE 'C%'"))
     lines = ntriples.lines(ntriples.projection(some, base="x:/m#"))
     back = ntriples.parse(lines)
     return back.select(scalars.uri_key(F.col("s")).alias("s"), scalars.uri_key(F.col("p")).alias("p"), F.when(F.col("o_is_uri"), scalars.uri_key(F.col("o"))).otherwise(F.col("o")).alias("o"))
 
 
-@_q("SELECT 'x:/a#N'||n_nationkey AS s FROM nation")
+@_q("SELECT 'x:/a#C'||c_custkey AS s FROM customer")
 def module_filter(kb):
     from ..sources.ntriples import projection
 
-    at = F.when(F.col("s").startswith("N"), "x:/a#").otherwise("x:/b#")
-    some = kb.of("label").where("s LIKE 'N%' OR s LIKE 'R%'").withColumn("s", F.concat(at, "s"))
-    return projection(kb.but(statements=some), modules=["x:/a"]).select("s")
+    at = F.when(F.col("s").startswith("C"), "x:/a#").otherwise("x:/b#")
+    some = kb.of("label").where("s LIKE 'C%' OR s LIKE 'S%'").withColumn("s", F.concat(at, "s"))
+    return projection(kb.but(statements=some), modules="x:/a").select("s")
 
 
 @_q("SELECT 'N'||n_nationkey AS s, 'because N'||n_nationkey||' is in R'||n_regionkey AS explanation FROM nation")

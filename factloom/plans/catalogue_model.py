@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import checks, closure, edit, expressions, instances, lookup, rules, scopes
+from ..operators import calls, checks, closure, edit, expressions, instances, lookup, rules, scopes
 from ..operators.pattern import Edge, Ent, LitVar, Pattern, Var, match
 from ..sources import modules, ntriples, reports
 from . import sparql
@@ -13,7 +13,7 @@ from .catalogue import _SUBSTAR, _TYPED, ORACLE_SQL, QUERIES, _q, _s
 from .model import constants, statement
 
 C, N, R, P, O = Var("c"), Var("n"), Var("r"), Var("p"), Var("o")  # noqa: E741
-_NATIONS = "SELECT 'N'||n_nationkey AS s"
+_CUSTOMERS = "SELECT 'C'||c_custkey AS s"
 
 
 def _flag(kb, rows, p: str):
@@ -34,10 +34,13 @@ def statements_of_entity(kb):
     return lookup.statements_of(kb, "C7").select("p", "o")
 
 
-@_q("SELECT 'ex' AS prefix, 'I'||n_nationkey AS key, replace(n_name, ' ', '_') AS label, 'de' AS lang FROM nation")
+@_q("SELECT CASE p_partkey % 3 WHEN 0 THEN 'ex' END AS prefix, 'I'||p_partkey AS key, CASE p_partkey % 3 WHEN 2 THEN p_name ELSE replace(replace(p_name, ' ', '_'), '-', '_') END AS label, CASE p_partkey % 3 WHEN 0 THEN 'de' END AS lang FROM part")
 def key_parsing(kb):
-    text = F.concat(F.lit("ex__I"), F.expr("substring(s, 2)"), F.lit("__"), scalars.underscored(F.col("o_lex")), F.lit("__de"))
-    return kb.of("label").where("s LIKE 'N%'").select(scalars.parse_key(text).alias("k")).select("k.*")
+    """Three spellings: prefix, name and language; name; label in brackets."""
+    number, name = F.expr("substring(s, 2)"), scalars.underscored(F.col("o_lex"))
+    kind = F.expr("cast(substring(s, 2) as long) % 3")
+    text = F.when(kind == 0, F.concat(F.lit("ex__I"), number, F.lit("__"), name, F.lit("__de"))).when(kind == 1, F.concat(F.lit("I"), number, F.lit("__"), name)).otherwise(F.concat(F.lit("I"), number, F.lit('["'), "o_lex", F.lit('"]')))
+    return kb.of("label").where("s LIKE 'P%'").select(scalars.parse_key(text).alias("k")).select("k.*")
 
 
 @_q("SELECT 'C'||c_custkey AS s, c_nationkey = 3 AS holds FROM customer")
@@ -46,11 +49,11 @@ def truth_of_statements(kb):
     return lookup.truths(kb.only("part_of"), rows).select("s", "holds")
 
 
-@_q(f"{_NATIONS}, n_nationkey % 2 = 1 AS auto, CASE WHEN n_nationkey % 2 = 1 THEN 'gray' ELSE 'black' END AS colour, n_nationkey::BIGINT AS number, 'I' AS kind FROM nation")
+@_q(f"{_CUSTOMERS}, c_custkey % 2 = 1 AS auto, CASE WHEN c_custkey % 2 = 1 THEN 'gray' ELSE 'black' END AS colour, c_custkey::BIGINT AS number, 'I' AS kind FROM customer")
 def generic_instances(kb):
     n = F.expr("cast(substring(s, 2) as int)")
     key = F.concat(F.when(n % 2 == 1, "Ia").otherwise("I"), n.cast("string"))
-    return kb.of("label").where("s LIKE 'N%'").select("s", scalars.is_auto(key).alias("auto"), scalars.colour_of_item(key).alias("colour"), scalars.key_number(key).alias("number"), scalars.key_kind(key).alias("kind"))
+    return kb.of("label").where("s LIKE 'C%'").select("s", scalars.is_auto(key).alias("auto"), scalars.colour_of_item(key).alias("colour"), scalars.key_number(key).alias("number"), scalars.key_kind(key).alias("kind"))
 
 
 @_q("SELECT 'label' AS p, 's:'||p_name AS o FROM part WHERE p_partkey = 7 UNION ALL SELECT 'size', 'n:'||p_size::DOUBLE FROM part WHERE p_partkey = 7 UNION ALL SELECT 'brand', 's:'||p_brand FROM part WHERE p_partkey = 7")
@@ -73,25 +76,28 @@ def proxy_items(kb):
     return lookup.proxies(kb.but(qualifiers=own))
 
 
-@_q("SELECT 'M'||n_regionkey AS mapping, row_number() OVER (PARTITION BY n_regionkey ORDER BY 'N'||n_nationkey) - 1 AS place, 'N'||n_nationkey AS argument FROM nation")
+@_q("SELECT 'M'||o AS mapping, row_number() OVER (PARTITION BY o ORDER BY 'P'||p) - 1 AS place, 'P'||p AS argument FROM (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)")
 def mapping_arguments(kb):
-    listed = kb.of("part_of").where("s LIKE 'N%'").groupBy(F.concat(F.lit("T"), "o").alias("tuple")).agg(F.array_sort(F.collect_list("s")).alias("elements"))  # five regions
+    """A mapping for each order, its argument tuple the order's parts."""
+    listed = kb.of("contains").groupBy(F.concat(F.lit("T"), "s").alias("tuple")).agg(F.array_sort(F.collect_set("o")).alias("elements"))  # at most as many as an order has lines
     rows, qualifiers = edit.tuple_rows(listed)
     links = listed.select(F.expr("substring(tuple, 3)").alias("k"), "tuple").select(*statement(F.concat(F.lit("M"), "k"), "has_arguments", F.col("tuple")))
     return lookup.arguments(kb.but(statements=rows.unionByName(links), qualifiers=qualifiers))
 
 
-@_q(f"SELECT row_number() OVER (ORDER BY 'N'||n_nationkey) - 1 AS place, 'N'||n_nationkey AS argument FROM nation QUALIFY 'N'||n_nationkey NOT IN (SELECT 'N'||n_nationkey FROM nation WHERE n_regionkey = 2)")
+@_q("SELECT row_number() OVER (ORDER BY 'S'||s_suppkey) - 1 AS place, 'S'||s_suppkey AS argument FROM supplier QUALIFY s_nationkey <> 2")
 def tuple_difference(kb):
-    every = kb.of("label").where("s LIKE 'N%'").agg(F.array_sort(F.collect_list("s")).alias("elements")).select(F.lit("t1").alias("tuple"), "elements")  # 25 nations
-    some = kb.of("part_of").where("o = 'R2'").agg(F.array_sort(F.collect_list("s")).alias("elements")).select(F.lit("t2").alias("tuple"), "elements")
-    rows, qualifiers = edit.tuple_rows(every.unionByName(some))
+    """All suppliers as one tuple, less that of a nation: an element a row, numbered by counts of the tasks before."""
+    suppliers = kb.of("part_of").where("s LIKE 'S%'").select(F.col("s").alias("o"), F.col("o").alias("nation"))
+    members = edit.indexed(suppliers.select(F.lit("t1").alias("tuple"), "o").unionByName(suppliers.where("nation = 'N2'").select(F.lit("t2").alias("tuple"), "o")))
+    rows, qualifiers = edit.element_rows(members)
     return lookup.tuple_difference(kb.but(statements=rows, qualifiers=qualifiers), "t1", "t2")
 
 
-@_q("SELECT 'T'||r_regionkey AS tuple, k AS place FROM region, range(8) t(k) WHERE k >= (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)")
+@_q("SELECT 'T'||o AS tuple, k AS place FROM (SELECT l_orderkey AS o, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1), range(8) t(k) WHERE k >= n")
 def unused_places(kb):
-    listed = kb.of("part_of").where("s LIKE 'N%'").groupBy(F.expr("'T' || substring(o, 2)").alias("tuple")).agg(F.array_sort(F.collect_list("s")).alias("elements"))
+    """Of eight places, those that an order's parts leave free."""
+    listed = kb.of("contains").groupBy(F.expr("'T' || substring(s, 2)").alias("tuple")).agg(F.array_sort(F.collect_set("o")).alias("elements"))
     rows, qualifiers = edit.tuple_rows(listed)
     return lookup.unused_places(kb.but(statements=rows, qualifiers=qualifiers), listed, 8)
 
@@ -110,21 +116,21 @@ def statements_in_scope(kb):
     return lookup.scope_members(kb.but(statements=kb.of("placed_by").unionByName(rows.select(*kb.of("placed_by").columns))), "done")[0].select("s")
 
 
-@_q("SELECT 'N'||n_nationkey AS scope, 'R1' AS owner FROM nation WHERE n_regionkey = 1")
+@_q("SELECT 'C'||c_custkey AS scope, 'N1' AS owner FROM customer WHERE c_nationkey = 1")
 def subscopes_of_owner(kb):
-    links = kb.of("part_of").where("s LIKE 'N%'").select(*statement(F.col("s"), "is_scope_of", F.col("o")))
+    links = kb.of("part_of").where("s LIKE 'C%'").select(*statement(F.col("s"), "is_scope_of", F.col("o")))
     more = kb.but(statements=links.unionByName(kb.of("label")))
-    name = kb.of("label").join(kb.of("part_of").where("o = 'R1'").select("s"), "s").orderBy("s").first()
-    assert lookup.subscope_named(more, "R1", name["o_lex"]) == name["s"]
-    return lookup.subscopes(more, "R1").withColumn("owner", F.lit("R1"))
+    name = kb.of("label").join(kb.of("part_of").where("o = 'N1' AND s LIKE 'C%'").select("s"), "s").orderBy("s").first()
+    assert lookup.subscope_named(more, "N1", name["o_lex"]) == name["s"]
+    return lookup.subscopes(more, "N1").withColumn("owner", F.lit("N1"))
 
 
-@_q("SELECT 'N'||n_nationkey AS node, CASE WHEN n_regionkey = 2 THEN 'removed' ELSE 'entity' END AS kind FROM nation UNION ALL SELECT n_name, 'literal' FROM nation")
+@_q("SELECT 'C'||c_custkey AS node, CASE WHEN c_nationkey = 2 THEN 'removed' ELSE 'entity' END AS kind FROM customer UNION ALL SELECT c_name, 'literal' FROM customer")
 def node_resolution(kb):
-    gone = kb.of("part_of").where("s LIKE 'N%' AND o = 'R2'").select(F.col("s").alias("uri"))
+    gone = kb.of("part_of").where("s LIKE 'C%' AND o = 'N2'").select(F.col("s").alias("uri"))
     after = edit.delete_entities(kb.only("part_of"), gone)
-    nations = kb.of("label").where("s LIKE 'N%'")
-    return lookup.with_tombstones(after, nations.select(F.col("s").alias("node")).unionByName(nations.select(F.col("o_lex").alias("node"))))
+    customers = kb.of("label").where("s LIKE 'C%'")
+    return lookup.with_tombstones(after, customers.select(F.col("s").alias("node")).unionByName(customers.select(F.col("o_lex").alias("node"))))
 
 
 @_q("SELECT 'P'||p_partkey AS uri FROM part WHERE p_partkey % 3 = 0")
@@ -162,12 +168,15 @@ def functional_walk(kb):
     return closure.walk(kb, "P777", "parent")
 
 
-@_q("SELECT 'R'||(n_regionkey) AS component, 'N'||n_nationkey AS node FROM nation")
+@_q("SELECT 'P'||p_partkey AS node, 'P'||(p_partkey // 8 * 8) AS component FROM part")
 def linked_components(kb):
-    edges = closure.relation_edges(kb, "part_of").where("a LIKE 'N%'")
-    found = closure.components(edges)
-    names = found.where("node LIKE 'R%'").select("component", F.col("node").alias("name"))
-    return found.where("node LIKE 'N%'").join(names, "component").select(F.col("name").alias("component"), "node")
+    """Chains of eight parts each, and the least node of a chain by its number: seven levels deep, as many chains as an eighth of the parts."""
+    k = F.expr("cast(substring(s, 2) as long)")
+    edges = kb.of("size").where(k % 8 != 0).select(F.col("s").alias("a"), F.concat(F.lit("P"), (k - 1).cast("string")).alias("b"))
+    parts = kb.of("size").select(F.col("s").alias("a"), F.col("s").alias("b"))
+    found = closure.components(edges.unionByName(parts))
+    first = found.where("cast(substring(node, 2) as long) % 8 = 0").select("component", F.col("node").alias("name"))
+    return found.join(first, "component").select("node", F.col("name").alias("component"))
 
 
 # edits
@@ -188,9 +197,9 @@ def insert_validated(kb):
     return edit.insert(kb.only("label"), rows, validators=(known,)).of("visits").select("s")
 
 
-@_q("SELECT 'N'||n_nationkey AS s, 'R'||r_regionkey AS o FROM nation, region")
+@_q("SELECT 'C'||c_custkey AS s, 'R'||r_regionkey AS o FROM customer, region")
 def insert_many_for_many(kb):
-    return edit.for_pairs(kb.of("part_of").where("s LIKE 'N%'").select("s"), "trades_in", kb.of("part_of").where("o LIKE 'R%'").select("o")).select("s", "o")
+    return edit.for_pairs(kb.of("part_of").where("s LIKE 'C%'").select("s"), "trades_in", kb.of("part_of").where("o LIKE 'R%'").select("o")).select("s", "o")
 
 
 @_q("SELECT 'O'||l_orderkey AS s, 'P'||l_partkey AS o, count(*) AS n FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY ALL")
@@ -222,11 +231,11 @@ def closed_class(kb):
     return lookup.tuple_elements(after).where("tuple = 'tuple:nation'").select("place", "argument")
 
 
-@_q("SELECT n_name AS label, 'nation' AS cls, 'party' AS dom, 'n:5.0' AS rng FROM nation")
+@_q("SELECT c_name AS label, 'customer' AS cls, 'party' AS dom, 'n:5.0' AS rng FROM customer")
 def instances_with_signature(kb):
-    signs = constants(kb.spark, [("nation",)], ["s"])
+    signs = constants(kb.spark, [("customer",)], ["s"])
     own = signs.select(*statement(F.col("s"), "domain_1", F.lit("party"))).unionByName(signs.select(*statement(F.col("s"), "range", F.lit(5), kind="L", o_type="int")))
-    rows = kb.of("label").where("s LIKE 'N%'").select(F.lit("nation").alias("cls"), F.col("o_lex").alias("name"))
+    rows = kb.of("label").where("s LIKE 'C%'").select(F.lit("customer").alias("cls"), F.col("o_lex").alias("name"))
     after = instances.new_instances(kb.but(statements=own), rows.unionByName(rows))
     of = lambda p, name: after.of(p).select("s", F.col("o").alias(name))
     made = after.of("label").select("s", F.col("o_lex").alias("label")).join(of("instance_of", "cls"), "s").join(of("domain_1", "dom"), "s")
@@ -236,10 +245,10 @@ def instances_with_signature(kb):
 # scalar functions
 
 
-@_q(f"{_NATIONS}, replace(n_name, ' ', '_') AS plain, 'x:/a' AS base, 'I'||n_nationkey AS key, 'x:/a/STATEMENTS#I'||n_nationkey AS named, true AS valid, false AS broken FROM nation")
+@_q(f"{_CUSTOMERS}, replace(c_name, ' ', '_') AS plain, 'x:/a' AS base, 'I'||c_custkey AS key, 'x:/a/STATEMENTS#I'||c_custkey AS named, true AS valid, false AS broken FROM customer")
 def uri_functions(kb):
     uri = scalars.make_uri(F.lit("x:/a"), F.expr("'I' || substring(s, 2)"))
-    rows = kb.of("label").where("s LIKE 'N%'").select("s", "o_lex", uri.alias("uri"))
+    rows = kb.of("label").where("s LIKE 'C%'").select("s", "o_lex", uri.alias("uri"))
     u = F.col("uri")
     return rows.select("s", scalars.underscored(F.col("o_lex")).alias("plain"), scalars.uri_base(u).alias("base"), scalars.uri_key(u).alias("key"), scalars.sub_uri(u, "STATEMENTS").alias("named"), scalars.valid_uri(u).alias("valid"), scalars.valid_uri(F.concat(u, F.lit("#x"))).alias("broken"))
 
@@ -264,14 +273,16 @@ def node_kinds(kb):
     return rows.select("s", "p", scalars.node_kind(F.col("o_kind"), F.col("o_type")).alias("kind"), scalars.render(F.lit("{a} -> {b}"), {"a": F.col("s"), "b": F.col("o")}).alias("text"))
 
 
-@_q(f"{_NATIONS}, '<a href=\"/e/N'||n_nationkey||'\">N'||n_nationkey||' [\"'||n_name||'\"]</a>' AS link, '<span class=\"literal\">\"'||n_name||'\"</span>' AS text FROM nation")
+@_q(f"{_CUSTOMERS}, '<a href=\"/e/C'||c_custkey||'\">C'||c_custkey||' [&quot;'||c_name||' &amp; &lt;co&gt;&quot;]</a>' AS link, '<span class=\"literal\">&quot;'||c_name||' &amp; &lt;co&gt;&quot;</span>' AS text FROM customer")
 def html_formats(kb):
-    return kb.of("label").where("s LIKE 'N%'").select("s", scalars.entity_html(F.col("o_lex"), F.col("s"), F.col("s")).alias("link"), scalars.literal_html(F.col("o_lex")).alias("text"))
+    """Labels with characters that HTML gives a meaning."""
+    name = F.concat("o_lex", F.lit(" & <co>"))
+    return kb.of("label").where("s LIKE 'C%'").select("s", scalars.entity_html(name, F.col("s"), F.col("s")).alias("link"), scalars.literal_html(name).alias("text"))
 
 
-@_q("SELECT 'N'||n_nationkey||'[\"'||n_name||'\"]' AS value FROM nation UNION SELECT 'N'||n_nationkey||'__'||replace(replace(n_name, ' ', '_'), '-', '_') FROM nation")
+@_q("SELECT 'C'||c_custkey||'[\"'||c_name||'\"]' AS value FROM customer UNION SELECT 'C'||c_custkey||'__'||replace(replace(c_name, ' ', '_'), '-', '_') FROM customer")
 def spellings(kb):
-    return modules.completions(kb.but(entities=kb.entities.where("uri LIKE 'N%'")))
+    return modules.completions(kb.but(entities=kb.entities.where("uri LIKE 'C%'")))
 
 
 @_q("SELECT 'N'||n_nationkey AS s, 'part_of' AS p FROM nation WHERE n_regionkey = 1")
@@ -283,18 +294,34 @@ def module_subset(kb):
 # expressions and checks
 
 
-@_q("SELECT * FROM (VALUES ('add', 2, 3), ('mul', 2, 3), ('pow', 2, 2)) t(op, arity, calls)")
+@_q("SELECT * FROM (VALUES ('add', 2, 3), ('mul', 2, 3), ('pow', 2, 2)) t(op, arity, each_part) JOIN (SELECT count(*) AS parts, count(DISTINCT p_size) AS sizes FROM part) ON true")
 def expression_calls(kb):
-    a, b, c = expressions._leaf("a"), expressions._leaf("b"), expressions._leaf("c")
-    rows = ((a + b) * 2 - c / b**2 + (a + b)).rows()  # a + b is one call; minus, division and power by add, mul and pow
-    table = kb.spark.createDataFrame(rows, "mapping string, op string, args array<string>")
-    return table.groupBy("op").agg(F.max(F.size("args")).alias("arity"), F.countDistinct("mapping").cast("int").alias("calls"))
-
-
-@_q("SELECT * FROM (VALUES ('instance_of', 'equation'), ('instance_of', 'strict_inequality'), ('instance_of', 'inequality'), ('has_lhs', 'a'), ('has_lhs', 'a'), ('has_lhs', 'a'), ('has_rhs', 'b'), ('has_rhs', 'b'), ('has_rhs', 'b'), ('is_related:==', 'b'), ('is_related:!=', 'b'), ('is_related:<=', 'b')) t(p, o)")
+    """An expression over each part and its size, evaluated on columns: its calls by operator for each part; what only depends on the size is made once a size."""
+    part, size = expressions._leaf("part"), expressions._leaf("size")
+    tree = (part + size) * 2 - size / size**2 + (part + size)  # part + size is one call; minus, division and power by add, mul and pow
+    inputs = kb.of("size").select(F.col("s").alias("part"), F.col("o").alias("size"))
+    ranges = constants(kb.spark, [(op, "number") for op in ("add", "mul", "pow")], ["s", "o"]).select(*statement(F.col("s"), "range", F.col("o")))
+    after, found = calls.evaluate(kb.but(statements=ranges, parts=None), tree, inputs)
+    made = after.of("applied_mapping_of").select(F.col("s").alias("result"), F.col("o").alias("op"))
+    arities = after.of("has_arguments").select(F.col("s").alias("result"), F.col("o").alias("s")).join(after.of("has_length").select("s", F.col("o_lex").cast("int").alias("arity")), "s")
+    counted = made.join(arities, "result").groupBy("op").agg(F.max("arity").alias("arity"), F.count(F.lit(1)).alias("n"))
+    totals = found.agg(F.count(F.lit(1)).alias("parts"), F.countDistinct("size").alias("sizes"))  # one row
+    of_size = F.when(F.col("op") == "pow", 2).when(F.col("op") == "mul", 2).otherwise(0)  # calls that only name the size
+    whole = (F.col("n") - of_size * F.col("sizes")) / F.col("parts")
+    return counted.crossJoin(totals).select("op", "arity", (whole + of_size).cast("int").alias("each_part"), "parts", "sizes")
+
+
+@_q(
+    "WITH r AS (SELECT 'P'||p_partkey AS l, 'n:'||p_size::DOUBLE AS x, CASE p_partkey % 3 WHEN 0 THEN '==' WHEN 1 THEN '!=' ELSE '<=' END AS sign FROM part) SELECT l, p, o FROM r, LATERAL (SELECT * FROM (VALUES "
+    "('instance_of', CASE sign WHEN '==' THEN 'equation' WHEN '!=' THEN 'strict_inequality' ELSE 'inequality' END), ('has_lhs', l), ('has_rhs', x), ('is_related:'||sign, x)) t(p, o))"
+)
 def relations_of_expressions(kb):
-    a, b = expressions._leaf("a"), expressions._leaf("b")
-    return constants(kb.spark, [r[1:] for sign in ("==", "!=", "<=") for r in expressions.relation_rows(a, sign, b)], ["p", "o"])
+    """A mathematical relation between each part and its size, with the item that stands for it."""
+    k = F.expr("cast(substring(s, 2) as long) % 3")
+    sides = kb.of("size").select(F.col("s").alias("lhs"), F.when(k == 0, "==").when(k == 1, "!=").otherwise("<=").alias("sign"), F.col("o").alias("rhs"))
+    rows = expressions.related(sides)
+    item = rows.where("p = 'has_lhs'").select("s", F.col("o").alias("l"))
+    return rows.join(item, "s", "left").select(F.coalesce("l", "s").alias("l"), "p", "o")
 
 
 @_q("SELECT 'P'||p_partkey AS mapping, 1 AS n, 2 AS arity FROM part WHERE p_partkey % 3 = 0")
@@ -352,12 +379,21 @@ def rule_text_report(kb):
     return reports.text_report(rules.delta(kb, rule))
 
 
-@_q("SELECT 'drinks' AS relation, 78 AS n, 174 AS total, 7488 AS product UNION ALL SELECT 'owns', 96, 174, 7488")
+@_q(
+    "WITH few AS (SELECT p_brand AS b, p_type AS t FROM part GROUP BY ALL HAVING sum(p_size) % 3 = 0), b AS (SELECT DISTINCT p_brand AS b FROM part ORDER BY 1 LIMIT 4), t AS (SELECT DISTINCT p_type AS t FROM part ORDER BY 1 LIMIT 4), "
+    "x AS (SELECT list(b ORDER BY b) AS bs FROM b), y AS (SELECT list(t ORDER BY t) AS ts FROM t), "
+    "perms AS (SELECT a, b, c, d FROM range(1, 5) a(a), range(1, 5) b(b), range(1, 5) c(c), range(1, 5) d(d) WHERE len(list_distinct([a, b, c, d])) = 4), "
+    "n AS (SELECT 'sold' AS relation, count(*) AS n FROM perms, x, y WHERE NOT EXISTS (SELECT 1 FROM few WHERE (few.b = bs[1] AND few.t = ts[a]) OR (few.b = bs[2] AND few.t = ts[perms.b]) OR (few.b = bs[3] AND few.t = ts[c]) OR (few.b = bs[4] AND few.t = ts[d])) "
+    "UNION ALL SELECT 'kept', count(*) FROM perms) SELECT relation, n::INT AS n, (SELECT sum(n) FROM n)::INT AS total, (SELECT product(n) FROM n)::INT AS product FROM n"
+)
 def bijection_report(kb):
-    bad = constants(kb.spark, [("h0", "not_drinks", "d0"), ("h1", "not_drinks", "d2"), ("h0", "not_owns", "d1")], ["s", "p", "o"])
-    rows = rules.as_statements(bad.withColumn("o_kind", F.lit("E")))
-    houses, drinks = [f"h{k}" for k in range(5)], [f"d{k}" for k in range(5)]
-    out = rules.bijection_report(kb.but(statements=rows), {"not_drinks": (houses, drinks), "not_owns": (houses, drinks)})
+    """One-to-one pairs of four brands and four types: for one relation those whose parts' sizes sum up to a multiple of three are excluded, for the other none."""
+    types = kb.of("instance_of").where("s LIKE 'P%'").select("s", F.col("o").alias("t"))
+    sums = kb.of("brand").select("s", F.col("o").alias("b")).join(types, "s").join(kb.of("size").select("s", F.col("o_lex").cast("long").alias("size")), "s").groupBy("b", "t").agg(F.sum("size").alias("n"))
+    bad = sums.where("n % 3 = 0").select(*statement(F.col("b"), "not_sold", F.col("t")))
+    first = lambda c: [r[c] for r in sums.select(c).distinct().orderBy(c).limit(4).collect()]
+    b, t = first("b"), first("t")
+    out = rules.bijection_report(kb.but(statements=bad, parts=None), {"not_sold": (b, t), "not_kept": (b, t)})
     return out.select(F.expr("substring(relation, 5)").alias("relation"), F.col("n").cast("int").alias("n"), F.col("total").cast("int").alias("total"), F.col("product").cast("int").alias("product"))
 
 
@@ -385,17 +421,21 @@ def scoped_statements(kb):
     return kb.of("placed_by").withColumn("scope", F.lit(uri)).select("s", "o", "scope")
 
 
-@_q("SELECT range AS value FROM range(2, 21, 3)")
+@_q("SELECT 'P'||p_partkey AS s, unnest(range(2, p_size + 1, 3))::BIGINT AS value FROM part UNION ALL SELECT 'P'||p_partkey||'-', unnest(range(p_size, 0, -7))::BIGINT FROM part")
 def integer_range(kb):
-    return scopes.integer_range(kb.spark, 2, 20, 3).select(F.col("value").cast("long").alias("value"))
+    """A range for each part from its size, upwards and downwards; some are empty."""
+    sizes = kb.of("size").select("s", F.col("o_lex").cast("long").alias("size"))
+    up = scopes.integer_ranges(sizes.select("s", F.lit(2).cast("long").alias("start"), F.col("size").alias("stop"), F.lit(3).cast("long").alias("step")))
+    down = scopes.integer_ranges(sizes.select(F.concat("s", F.lit("-")).alias("s"), F.col("size").alias("start"), F.lit(1).cast("long").alias("stop"), F.lit(-7).cast("long").alias("step")))
+    return up.unionByName(down).select("s", "value")
 
 
 # N-Triples
 
 
-@_q("SELECT 'N'||n_nationkey AS s, 'R'||n_regionkey AS o FROM nation")
+@_q("SELECT 'C'||c_custkey AS s, 'N'||c_nationkey AS o FROM customer")
 def ntriples_facts_import(kb):
-    some = kb.but(statements=kb.of("part_of").where("s LIKE 'N%'"))
+    some = kb.but(statements=kb.of("part_of").where("s LIKE 'C%'"))
     read = ntriples.parse(ntriples.lines(ntriples.projection(some, base="x:/m#", statements=True)))
     back = ntriples.import_facts(kb.only("nothing"), read, instance="x:/m#instance_of")
     twice = ntriples.import_facts(back, read, instance="x:/m#instance_of")  # what is there is not added again

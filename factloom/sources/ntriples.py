@@ -31,7 +31,7 @@ def projection(kb: KB, *, base: str = "", statements: bool = False, qualifiers:
     if qualifiers:
         out = out.unionByName(kb.qualifiers.select(uri(F.col("stm_id")).alias("s"), sub_uri(uri(F.col("p")), "QUALIFIERS").alias("p"), o.alias("o"), *rest))
     if modules is not None:
-        out = out.where(uri_base(F.col("s")).isin(*modules))
+        out = out.where(uri_base(F.col("s")).isin(*([modules] if isinstance(modules, str) else modules)))
     return out.distinct()
 
 

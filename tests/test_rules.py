@@ -202,3 +202,43 @@ def test_instances_inherit_signature_and_methods(spark):
     assert methods.resolve(after, made, "f")() == "meta"
     methods.add("op", "f", lambda: "op")
     assert methods.resolve(after, made, "f")() == "op"
+
+
+def test_admissible_bijections_by_case(spark):
+    excluded = spark.createDataFrame([("a", "h0", "d0"), ("a", "h0", "d0"), ("b", "h0", "d0"), ("b", "h1", "d2"), ("c", "h9", "d0"), *[("d", "h3", f"d{k}") for k in range(5)]], "case string, s string, o string")
+    s, o = [f"h{k}" for k in range(5)], [f"d{k}" for k in range(5)]
+    assert rows(rules.admissible(excluded, s, o), "case", "n") == [("a", 96), ("b", 78), ("c", 120), ("d", 0)]
+    eight = [str(k) for k in range(8)]
+    assert rows(rules.admissible(spark.createDataFrame([("a", "7", "7")], "case string, s string, o string"), eight, eight), "n") == [(35280,)]
+    with pytest.raises(ValueError):
+        rules.admissible(excluded, s, o[:4])
+
+
+def test_long_tuples_are_indexed_across_tasks(spark):
+    members = spark.range(1000).selectExpr("if(id % 10 = 0, 'small', 'large') AS tuple", "concat('I', lpad(id, 4, '0')) AS o").repartition(7)
+    placed = edit.indexed(members)
+    for name, k in (("small", 100), ("large", 900)):
+        got = placed.where(F.col("tuple") == name).orderBy("place").collect()
+        assert [r["place"] for r in got] == list(range(k)) and [r["o"] for r in got] == sorted(r["o"] for r in got)
+    kb = edit.close_class(kb_of(spark, [(f"I{k}", "instance_of", "house") for k in (3, 1, 2)]), "house")
+    assert rows(lookup.tuple_elements(kb), "place", "argument") == [(0, "I3"), (1, "I1"), (2, "I2")]
+    assert rows(kb.of("has_closed_tuple"), "s", "o") == [("house", "tuple:house")] and rows(kb.of("has_length"), "o") == [("n:3.0",)]
+
+
+def test_expressions_and_ranges_on_columns(spark):
+    from factloom.operators import calls, expressions, scopes
+
+    a, b = expressions._leaf("a"), expressions._leaf("b")
+    kb = kb_of(spark, [("add", "range", "number"), ("mul", "range", "number")])
+    inputs = spark.createDataFrame([("x", "y"), ("x", "z"), ("x", "y")], "a string, b string")
+    after, found = calls.evaluate(kb, (a + b) * (a + b) + a, inputs)
+    assert after.of("applied_mapping_of").groupBy("o").count().orderBy("o").collect() == [("add", 4), ("mul", 2)]
+    assert found.count() == 3 and found.select("result").distinct().count() == 2
+    with pytest.raises(scopes.ScopeError):
+        scopes.integer_ranges(spark.createDataFrame([(1, 2, 0)], "start long, stop long, step long"))
+    up = scopes.integer_ranges(spark.createDataFrame([("a", 1, 5, 2), ("b", 5, 1, -3), ("c", 5, 1, 1), ("d", 2, 2, -1)], "k string, start long, stop long, step long"))
+    assert rows(up, "k", "value") == [("a", 1), ("a", 3), ("a", 5), ("b", 2), ("b", 5), ("d", 2)]
+    sides = spark.createDataFrame([("a", "<", "b"), ("a", "<", "b")], "lhs string, sign string, rhs string")
+    assert rows(expressions.related(sides), "p") == [("has_lhs",), ("has_rhs",), ("instance_of",), ("is_related:<",)]
+    with pytest.raises(ValueError):
+        expressions.related(sides.withColumn("rhs", F.lit("a")))
