@@ -97,6 +97,8 @@ class Pattern:
     conditions: list[Callable[[DataFrame], Column]] = field(default_factory=list)
     #: (variable, relation): matches only without such a statement.
     absent: list[tuple[str, str]] = field(default_factory=list)
+    #: Relation variables that stand in no edge, but whose properties tie them to those that do.
+    relations: list[RelVar] = field(default_factory=list)
     #: A relation variable may be bound between two nodes only if theirs is the only relation; otherwise it is an error.
     strict_single_edge: bool = False
 
@@ -107,7 +109,7 @@ class Pattern:
     def relation_variables(self) -> dict[str, RelVar]:
         """Each relation variable by name, with the properties that it has anywhere in the pattern."""
         out: dict[str, RelVar] = {}
-        todo = [e.p for e in self.edges if isinstance(e.p, RelVar)]
+        todo = [*(e.p for e in self.edges if isinstance(e.p, RelVar)), *self.relations]
         while todo:
             v = todo.pop(0)
             was = out.get(v.name, RelVar(v.name))
