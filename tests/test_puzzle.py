@@ -30,7 +30,7 @@ def puzzle(spark):
     facts = [(m, "instance_of", c) for c, members in CLASSES.items() for m in members] + FACTS
     facts += [(m, "is_placeholder", False) for members in CLASSES.values() for m in members]
     facts += [(f"p{k}", "instance_of", "human") for k in range(1, 13)] + [(f"p{k}", "is_placeholder", True) for k in range(1, 13)]
-    facts += [(a, "is_functional_activity", True) for a in ACTIVITIES] + [(f"{a}_not", "opposite_of", a) for a in ACTIVITIES]
+    facts += [(a, "is_functional_activity", True) for a in ACTIVITIES] + [(f"Rnot_{a}", "opposite_of", a) for a in ACTIVITIES]
     facts += [("Rnext", "is_symmetrical", True), ("Rright", "subproperty_of", "Rnext"), ("Rleft", "inverse_of", "Rright")]
     kb = kb_of(spark, facts)
     real = kb.of("instance_of").join(kb.of("is_placeholder").where("o = 'n:0.0'").select("s"), "s", "left_semi").select(*kb.statements.columns)
@@ -77,7 +77,7 @@ def test_what_one_has_others_of_its_class_are_not(puzzle):
     made = facts_of(rules.delta(stored, found))
     assert len(made) == 88
     cls = {m: members for members in CLASSES.values() for m in members}
-    assert made == {(s, f"{p}_not", other) for s, p, o in FACTS if p in ACTIVITIES for other in cls[o] if other != o}
+    assert made == {(s, f"Rnot_{p}", other) for s, p, o in FACTS if p in ACTIVITIES for other in cls[o] if other != o}
 
 
 def neighbours():
@@ -99,7 +99,7 @@ def test_relations_and_neighbours_in_a_fixpoint(puzzle):
     after, _, stop = rules.fixpoint(kb.stored(), given)
     unscoped = facts_of(after.statements.where("scope IS NULL"))
     assert stop is None and {(s, o) for s, p, o in unscoped if p == "Rnext"} == neighbours() and ("p3", "Rleft", "p2") in unscoped
-    assert {x for x in unscoped if x[1].endswith("_not")} == {(b, f"{p}_not", o) for a, b in neighbours() for s, p, o in FACTS if s == a and p in ACTIVITIES}
+    assert {x for x in unscoped if x[1].startswith("Rnot_")} == {(b, f"Rnot_{p}", o) for a, b in neighbours() for s, p, o in FACTS if s == a and p in ACTIVITIES}
 
 
 def test_bijections_that_the_hints_leave(puzzle):
