@@ -12,6 +12,10 @@ from .closure import superclasses
 LITERAL_CLASSES = {"int": "integer", "bool": "integer", "float": "real", "complex": "complex"}
 
 
+#: (class, expected): what is of the class also fits a place that expects the other, though that is not above it.
+STANDS_FOR = (("complex", "expression"),)
+
+
 class SignatureError(ValueError):
     """Argument places of an operator that leave a gap."""
 
@@ -34,15 +38,18 @@ def type_violations(kb: KB, calls: DataFrame, signature: DataFrame, *, instance:
     """(mapping, place, argument, expected): arguments that are of none of the classes their place expects.
 
     A place may expect several classes; any of them will do. An argument is of its class, of the classes above it
-    and, with ``secondary``, of the objects of that relation. Numbers given as literal keys are of LITERAL_CLASSES.
+    and, with ``secondary``, of the objects of that relation. Numbers given as literal keys are of LITERAL_CLASSES; what is of a
+    class of STANDS_FOR, by itself or from above, fits the class beside it.
     """
     args = calls.select("mapping", "operator", F.posexplode("args").alias("place", "argument"))
-    wanted = args.join(F.broadcast(signature), ["operator", "place"])  # one row an operator and place
+    wanted = args.join(signature, ["operator", "place"])
     own = kb.of(instance, *([secondary] if secondary else [])).select(F.col("s").alias("argument"), F.col("o").alias("own"))
     literals = args.where("argument LIKE 'n:%'").select("argument", F.when(F.col("argument").rlike(r"\.0$"), LITERAL_CLASSES["int"]).otherwise(LITERAL_CLASSES["float"]).alias("own")).distinct()
     own = own.unionByName(literals)
     above = superclasses(kb).select(F.col("cls").alias("own"), F.col("above").alias("expected"))
     fits = own.select("argument", F.col("own").alias("expected")).unionByName(own.join(above, "own").select("argument", "expected")).distinct()
+    for cls, other in STANDS_FOR:
+        fits = fits.unionByName(fits.where(F.col("expected") == cls).select("argument", F.lit(other).alias("expected")))
     good = wanted.join(fits, ["argument", "expected"], "left_semi").select("mapping", "place").distinct()
     bad = wanted.join(good, ["mapping", "place"], "left_anti")
     return bad.groupBy("mapping", "place", "argument").agg(F.array_join(F.array_sort(F.collect_set("expected")), ",").alias("expected"))

@@ -263,6 +263,13 @@ def setting_variables(kb: KB) -> DataFrame:
     return scopes.select("scope", "parent").join(settings, "parent").join(variables_of(kb).withColumnRenamed("scope", "setting"), "setting").select("scope", "name", "variable")
 
 
+def excess(kb: KB, limits: dict[str, int]) -> DataFrame:
+    """(parent, kind, n): scopes with more subscopes of a kind than its limit allows."""
+    counted = scopes_of(kb).where(F.col("kind").isin(*limits)).groupBy("parent", "kind").agg(F.count(F.lit(1)).alias("n"))
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("kind"))
+    return counted.where(F.col("n") > most).select("parent", "kind", "n")
+
+
 def copy_scope(rows: DataFrame, names: DataFrame, scope: str) -> DataFrame:
     """Statements ``rows`` for another scope, with subjects and objects renamed by ``names`` (old, new)."""
     by_s, by_o = names.select(F.col("old").alias("s"), F.col("new").alias("__s")), names.select(F.col("old").alias("o"), F.col("new").alias("__o"))

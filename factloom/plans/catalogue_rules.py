@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import authoring, calls, compiler, fixpoint, modules, rules, scopes
+from ..operators import authoring, calls, checks, compiler, fixpoint, modules, rules, scopes
 from ..operators.pattern import Edge, Ent, LitVar, Pattern, RelVar, Var, first_matches, match
 from .catalogue import ORACLE_SQL, QUERIES, _q, _s
 from .model import KB, constants, statement
@@ -502,4 +502,28 @@ _s(
 )
 
 
+
+# limits and types
+
+
+@_q("SELECT 'O'||l_orderkey||'/premise' AS parent, 'AND' AS kind, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) > 3")
+def scope_limits(kb):
+    """An AND scope for each part of an order, all in its premise, where three are allowed."""
+    lines = kb.of("contains").select(F.concat("s", F.lit("/premise")).alias("premise"), F.col("s").alias("order"), F.col("o").alias("part"))
+    frames = lines.select(F.concat_ws("/", "premise", "part").alias("scope"), F.lit("AND").alias("kind"), F.col("premise").alias("parent"), F.col("part").alias("name"))
+    frames = frames.unionByName(lines.select(F.col("premise").alias("scope"), F.lit("PREMISE").alias("kind"), F.col("order").alias("parent"), F.lit("premise").alias("name")).distinct())
+    none = [local(kb.spark, [], schema) for schema in (scopes.VARIABLES, scopes.STATEMENTS)]
+    return scopes.excess(scopes.add(kb.only("nothing"), frames, *none).stored(), {"AND": 3, "OR": 1})
+
+
+@_q("SELECT 'P'||p_partkey AS mapping, 0 AS place, 'P'||p_partkey AS argument, 'expression' AS expected FROM part WHERE p_partkey % 3 = 2")
+def type_check_expression(kb):
+    """An operator that takes an expression also takes what is a complex number, by its class or a class above; products it does not."""
+    k = F.expr("cast(substring(s, 2) as long) % 3")
+    classed = kb.of("size").select(*statement(F.col("s"), "instance_of", F.when(k == 0, "complex").when(k == 1, "real").otherwise("product")))
+    above = constants(kb.spark, [("real", "complex"), ("product", "thing")], ["s", "o"]).select(*statement(F.col("s"), "subclass_of", F.col("o")))
+    applied = kb.of("size").select(F.col("s").alias("mapping"), F.lit("op").alias("operator"), F.array("s").alias("args"))
+    return checks.type_violations(kb.only("nothing").plus(classed.unionByName(above), bag=False), applied, local(kb.spark, [("op", 0, "expression")], "operator string, place int, expected string"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
