@@ -86,8 +86,8 @@ def is_true(kb: KB, s: str, p: str, o: str) -> bool:
 
 
 def first_literals(kb: KB, s: str) -> DataFrame:
-    """(p, o): the first literal of each relation of an entity."""
-    return statements_of(kb, s).where("o_kind = 'L'").groupBy("p").agg(F.min_by("o", "seq").alias("o"))
+    """(p, o): the first literal of each relation of an entity; of those inserted together the least."""
+    return statements_of(kb, s).where("o_kind = 'L'").groupBy("p").agg(F.min_by("o", F.struct("seq", "o")).alias("o"))
 
 
 def first_qualifiers(kb: KB, relation: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import map_of, render
-from ..plans.model import KB, constants, content_id
+from ..plans.model import COLUMNS, KB, constants, content_id, statement
 from ..plans.tables import local, written
 from .closure import RoundLimit
 from .edit import FunctionalError, functional_violations, insert, merge_entities, new_id, representatives
@@ -308,6 +308,24 @@ def violations(kb: KB, rule: Rule) -> DataFrame:
     return found.select(new_id("Ia", F.lit(rule.name), *[F.col(c) for c in sorted(found.columns)]).alias("violation"), F.lit(rule.name).alias("rule"), map_of({c: F.col(c) for c in found.columns}).alias("bindings"))
 
 
+def record_violations(kb: KB, rule: Rule, about: str, *, mod: str = "violations") -> tuple[KB, DataFrame]:
+    """(``kb`` with an item for each match of a constraint rule's premise, (violation, entity)).
+
+    The item is an instance of ``constraint_violation`` and says which rule and which entity (the variable ``about``) it is about; the entity
+    has a statement to it. The same match gives the same item, so recording again adds nothing. The rest of the match is in
+    ``violations``.
+    """
+    found = bindings(kb, rule)
+    made = found.select(new_id("Ia", F.lit(rule.name), *[F.col(c) for c in sorted(found.columns)]).alias("violation"), F.col(about).alias("entity"))
+    made = written(made.distinct(), "violations")
+    null = F.lit(None).cast("string")
+    facts = [("violation", "instance_of", F.lit("constraint_violation")), ("violation", "violates_rule", F.lit(rule.name)), ("violation", "has_violating_entity", F.col("entity")), ("entity", "has_constraint_violation", F.col("violation"))]
+    rows = reduce(DataFrame.unionByName, [made.select(*statement(F.col(s), p, o, mod=mod)) for s, p, o in facts])
+    rows = rows.join(kb.of(*[p for _, p, _ in facts]).select("stm_id"), "stm_id", "left_anti").select(*COLUMNS)
+    entities = made.select(F.col("violation").alias("uri"), F.lit("I").alias("etype"), F.lit(True).alias("is_auto"), null.alias("scope"), F.lit(mod).alias("mod"), F.lit(False).alias("unlinked"))
+    return kb.plus(rows, entities.join(kb.entities.select("uri"), "uri", "left_anti")), made
+
+
 def explained(rows: DataFrame, rule: Rule) -> DataFrame:
     """``rows`` (a delta) with the rule's explanation rendered, or the bindings listed."""
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries("bindings")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")

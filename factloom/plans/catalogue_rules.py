@@ -526,4 +526,19 @@ def type_check_expression(kb):
     return checks.type_violations(kb.only("nothing").plus(classed.unionByName(above), bag=False), applied, local(kb.spark, [("op", 0, "expression")], "operator string, place int, expected string"))
 
 
+
+@_q("SELECT 'P'||p_partkey AS entity, 'oversized' AS rule, 1 AS items FROM part WHERE p_size > 45")
+def violation_links(kb):
+    """Items for parts above a size, recorded twice: each is there once, and is found from the part and from the rule."""
+    size = LitVar("size")
+    rule = rules.Rule("oversized", [Pattern([Edge(Var("part"), "size", size)], conditions=[lambda df: F.expr("cast(substring(size, 3) as double) > 45")])])
+    once, _ = rules.record_violations(kb.only("size"), rule, "part")
+    twice, _ = rules.record_violations(once, rule, "part")
+    links = twice.of("has_constraint_violation").select(F.col("s").alias("entity"), F.col("o").alias("item"))
+    named = twice.of("violates_rule").select(F.col("s").alias("item"), F.col("o").alias("rule"))
+    back = twice.of("has_violating_entity").select(F.col("s").alias("item"), F.col("o").alias("entity"))
+    items = links.join(named, "item").join(back, ["item", "entity"]).join(twice.of("instance_of").where("o = 'constraint_violation'").select(F.col("s").alias("item")), "item")
+    return items.groupBy("entity", "rule").agg(F.count(F.lit(1)).cast("int").alias("items"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
