@@ -69,6 +69,8 @@ def call(kb: KB, calls: DataFrame, *, post: list[Rule] | None = None, secondary:
     old = kb.of(APPLIED).select(F.col("s").alias("result")).distinct().withColumn("old", F.lit(True))
     asked = written(asked.join(old, "result", "left").select("operator", "args", "result", F.col("old").isNull().alias("made")), "calls")
     new = asked.where("made")
+    if new.isEmpty():
+        return kb, asked
     first = ranges.groupBy("operator").agg(F.min_by("cls", F.struct("seq", "stm_id")).alias("first"))
     classed = new.join(ranges, "operator").join(first, "operator")
     tuples = F.concat(F.lit("T"), "result")
