@@ -225,10 +225,11 @@ def module_leftovers(kb):
     return edit.leftovers(kb.but(statements=rows), "even").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@_q("SELECT row_number() OVER (ORDER BY 'N'||n_nationkey) - 1 AS place, 'N'||n_nationkey AS argument FROM nation")
+@_q("SELECT row_number() OVER (ORDER BY 'C'||c_custkey) - 1 AS place, 'C'||c_custkey AS argument FROM customer")
 def closed_class(kb):
-    after = edit.close_class(kb.only("instance_of"), "nation")
-    return lookup.tuple_elements(after).where("tuple = 'tuple:nation'").select("place", "argument")
+    """All customers as the closed tuple of their class."""
+    after = edit.close_class(kb.only("instance_of"), "customer")
+    return lookup.tuple_elements(after).where("tuple = 'tuple:customer'").select("place", "argument")
 
 
 @_q("SELECT c_name AS label, 'customer' AS cls, 'party' AS dom, 'n:5.0' AS rng FROM customer")
