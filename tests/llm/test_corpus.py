@@ -338,3 +338,61 @@ def test_pipeline_stages(spark, tmp_path):
     assert left["language"] == set(range(20)) | {50, 51, 52}
     assert left["near_copies"] == set(range(20)) | {52} and left["benchmarks"] == set(range(20))
     assert {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(20))
+
+
+def longest_shared_run(a, b):
+    """Letters of the longest stretch of letters that both have, in any case."""
+    runs = {r[i : i + n] for r in re.findall(r"[^\W\d_]+", a.lower()) for n in range(1, len(r) + 1) for i in range(len(r) - n + 1)}
+    return max((len(r) for r in runs if r in b.lower()), default=0)
+
+
+def test_surrogates_of_other_spellings_and_forms(spark):
+    """Letters beyond ASCII, national numbers, account numbers with check digits, IPv6 in any spelling, secret access keys."""
+    pairs = [
+        ("müller@example.de", "MÜLLER@EXAMPLE.de"), ("a@bücher.example", "A@bücher.example"), ("иванова@почта.рф", "Иванова@Почта.рф"), ("415-555-2671", "+1 415 555 2671"), ("415.555.2672", "(415) 555-2672"),
+        ("020 7946 0958", "020-7946-0958"), ("01 23 45 67 89", "01.23.45.67.89"), ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"), ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"),
+        ("2001:db8::ff00:42:8329", "2001:0DB8:0000:0:0:FF00:42:8329"), ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+    ]
+    rows = [(2 * k + n, f"see {m}, please") for k, pair in enumerate(pairs) for n, m in enumerate(pair)]
+    rows += [(99, "nothing: 2020-01-02 at 10:20:30, std::vector a::b, 3000 4000, ISBN 12 and v1.2.3"), (98, "请联系foo@example.com谢谢")]
+    out = {r["doc_id"]: r for r in replace_entities(frame(spark, rows), key="k").collect()}
+    bare = lambda t: re.sub(r"\W", "", t.lower())
+    made = []
+    for k, pair in enumerate(pairs):
+        new = [out[2 * k + n]["text"].removeprefix("see ").removesuffix(", please") for n in (0, 1)]
+        made.append(bare(new[0]))
+        for n, (old, m) in enumerate(zip(pair, new, strict=True)):
+            top = r"\.[^.]+$" if "@" in old else "^$"
+            assert out[2 * k + n]["entities_replaced"] == 1 and m != old and longest_shared_run(re.sub(top, "", old), re.sub(top, "", m)) < 3
+            assert re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", m)) == re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", old)) or "::" in old or old.count(":") == 7
+        if "::" in pair[0]:
+            full = lambda a: [int(g or "0", 16) for g in a.replace("::", ":0" * (8 - len([g for g in a.split(":") if g])) + ":").split(":")]
+            assert full(new[0]) == full(new[1]) and "::" in new[0]
+        else:
+            assert bare(new[0])[-10:] == bare(new[1])[-10:]
+        if pair[0][:2] in ("DE", "GB"):
+            a = bare(new[0]).upper()
+            assert int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97 == 1 and a[:2] == pair[0][:2]
+    assert len(set(made)) == len(pairs)
+    assert out[99]["entities_replaced"] == 0 and out[99]["text"] == rows[-2][1]
+    assert re.fullmatch("请联系[a-z]{3}@[a-z]{7}.com谢谢", out[98]["text"]) and "foo" not in out[98]["text"]
+
+
+def test_names_without_their_title(spark):
+    text = "Mr. John Kern met Ms. J. R. O'Brien. Kern said John's hat was KERN's. Smith-Kern and Kernel stay. Mr. McDonald, Mr. Ludwig van Berg and Frau Müller-Lüdenscheidt left. McDonald ran."
+    rows = [(1, text), (2, "Kern and John were not named here"), (3, "Mrs. Kern"), (4, None)]
+    out = {r["doc_id"]: r for r in replace_entities(frame(spark, rows), key="k").collect()}
+    new = out[1]["text"]
+    given, family = re.match(r"Mr\. (\w+) (\w+) met Ms\. [A-Z]\. [A-Z]\. \w+\. ", new).groups()
+    assert f". {family} said {given}'s hat was {family.upper()}'s. Smith-Kern and Kernel stay. Mr. " in new and re.search(r"Mr\. (\w+), Mr\. \w+ van \w+ and Frau \w+ left\. \1 ran\.$", new)
+    assert not re.search(r"\b(?:John|O'Brien|McDonald|Donald|Ludwig|Berg|Müller|Lüdenscheidt)\b", new) and out[1]["entities_replaced"] == 9
+    assert out[2]["text"] == rows[1][1] and out[3]["text"] == f"Mrs. {family}" and out[4]["text"] is None
+
+
+def test_names_grow_when_their_forms_run_out(spark, monkeypatch):
+    """With one syllable and one ending, most names meet another until they are longer."""
+    monkeypatch.setattr(surrogates, "_SYLLABLES", {s: (["b", "d"], ["a", "e"]) for s in surrogates._SYLLABLES})
+    monkeypatch.setattr(surrogates, "_ENDINGS", {k: ["n"] for k in surrogates._ENDINGS})
+    names = ["Mr. " + "".join(p).capitalize() for p in itertools.product("xyzwv", repeat=3)]
+    out = replace_entities(frame(spark, list(enumerate(names))), key="k").collect()
+    assert len({r["text"] for r in out}) == len(names) and max(len(r["text"]) for r in out) > len("Mr. badaban")
