@@ -37,8 +37,9 @@ SLICES = 16
 _FEMALE_TITLES = "Mrs|Ms|Miss|Madame|Mme|Frau|Señora|Sra|Госпожа|Κυρία"
 _MALE_TITLES = "Mr|Monsieur|Herr|Señor|Sr|Господин|Κύριος"
 _OTHER_TITLES = "Dr|Prof"
-_WIDE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"  # scripts without spaces between words
-_WORD = rf"\p{{L}}\p{{M}}\p{{N}}&&[^{_WIDE}]"
+# scripts without spaces between words (Han, kana, Thai), as ranges: script properties are looked up for each character
+_WIDE = r"\u0E00-\u0E7F\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+_WORD = rf"A-Za-z0-9[\p{{L}}\p{{M}}\p{{N}}&&[^{_WIDE}]]"
 _LABEL = rf"(?:[-{_WORD}]++|[{_WIDE}]++)"
 #: A word of a name, and what may stand before the family name.
 _PIECE = r"\p{Lu}(?:[\p{L}\p{M}]++(?:['’-]\p{L}[\p{L}\p{M}]++)*+|['’]\p{L}[\p{L}\p{M}]++)"
