@@ -202,22 +202,25 @@ def _rows(df: DataFrame, *, s: Column, p: Column, o: Column, kind: Column, scope
 def lower(scopes: DataFrame, variables: DataFrame, statements: DataFrame, *, mod: str = "scopes") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(statements, entities, qualifiers) of scopes, variables and statements, all owners at once.
 
-    A variable without a class has no class statement. Repeated rows give one.
+    A variable without a class has no class statement. Repeated rows give one: each kind of row is made distinct by what it is made of,
+    before its ids, so that asking for a predicate makes only its rows and ids only where they are read.
     """
     none, zero = F.lit(None).cast("string"), F.lit(0)
     text = lambda c: F.concat(F.lit("s:"), c)
     entity, literal = F.lit("E"), F.lit("L")
     make = lambda df, s, p, o, kind, scope=none, seq=zero, extra=None: _rows(df, s=s, p=p, o=o, kind=kind, scope=scope, seq=seq, mod=mod, extra=extra)
     scope, variable = F.col("scope"), F.col("variable")
-    out = make(scopes, scope, F.lit(SCOPE_OF), F.col("parent"), entity)
-    out = out.unionByName(make(scopes, scope, F.lit(SCOPE_TYPE), text(F.col("kind")), literal)).unionByName(make(scopes, scope, F.lit(LABEL), text(F.concat(F.lit("scp__"), "name")), literal))
+    each = lambda df, by, *more: df.select(by, *more).repartition(by).distinct()  # noqa: E731  few rows a scope or variable: readers join by it
+    out = make(each(scopes, "scope", "parent"), scope, F.lit(SCOPE_OF), F.col("parent"), entity)
+    out = out.unionByName(make(each(scopes, "scope", "kind"), scope, F.lit(SCOPE_TYPE), text(F.col("kind")), literal)).unionByName(make(each(scopes, "scope", "name"), scope, F.lit(LABEL), text(F.concat(F.lit("scp__"), "name")), literal))
     classed = variables.where("cls IS NOT NULL")
-    classes = make(classed, variable, F.lit(INSTANCE), F.col("cls"), entity, scope)
-    out = out.unionByName(classes).unionByName(make(variables, variable, F.lit(DEFINED_IN), scope, entity)).unionByName(make(variables, variable, F.lit(NAME_IN_SCOPE), text(F.col("name")), literal))
+    classes = make(each(classed, "variable", "cls", "scope"), variable, F.lit(INSTANCE), F.col("cls"), entity, scope)
+    out = out.unionByName(classes).unionByName(make(each(variables, "variable", "scope"), variable, F.lit(DEFINED_IN), scope, entity)).unionByName(make(each(variables, "variable", "name"), variable, F.lit(NAME_IN_SCOPE), text(F.col("name")), literal))
     key = lambda c: F.concat(F.lit("n:"), F.col(c).cast("double").cast("string"))
-    out = out.unionByName(make(variables.where("mode IS NOT NULL"), variable, F.lit(MODE), key("mode"), literal))
-    stored = make(statements.withColumn("__proxy", F.col("proxy")), F.col("s"), F.col("p"), F.col("o"), F.col("o_kind"), scope, F.col("seq"), F.concat_ws("|", "proxy", F.col("seq").cast("string")))
-    out = out.unionByName(stored).dropDuplicates(["stm_id"])
+    out = out.unionByName(make(each(variables.where("mode IS NOT NULL"), "variable", "mode"), variable, F.lit(MODE), key("mode"), literal))
+    extra = F.concat_ws("|", "proxy", F.col("seq").cast("string"))
+    single = statements.groupBy("scope", "s", "p", "o", extra.alias("__extra")).agg(F.max(F.col("o_kind") == "E").alias("__entity"), F.min("seq").alias("seq"))
+    out = out.unionByName(make(single, F.col("s"), F.col("p"), F.col("o"), F.when(F.col("__entity"), "E").otherwise("L"), scope, F.col("seq"), F.col("__extra")))
 
     entities = scopes.select(scope.alias("uri"), none.alias("scope")).unionByName(variables.select(variable.alias("uri"), "scope")).dropDuplicates(["uri"])
     entities = entities.select("uri", F.lit("I").alias("etype"), F.lit(True).alias("is_auto"), "scope", F.lit(mod).alias("mod"), F.lit(False).alias("unlinked"))
@@ -226,13 +229,15 @@ def lower(scopes: DataFrame, variables: DataFrame, statements: DataFrame, *, mod
         lex = F.substring(o, F.lit(3), F.length(o)) if kind == "L" else none
         return df.select(stm_id.alias("stm_id"), content_id(stm_id, F.lit(p), o).alias("q_stm_id"), F.lit(0).cast("long").alias("seq"), F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), o.alias("o"), F.lit("float" if kind == "L" else None).cast("string").alias("o_type"), lex.alias("o_lex"), none.alias("o_lang"))
 
-    own = content_id(F.lit("scoped"), scope, F.col("s"), F.col("p"), F.col("o"), F.concat_ws("|", "proxy", F.col("seq").cast("string")))
+    own = content_id(F.lit("scoped"), scope, F.col("s"), F.col("p"), F.col("o"), F.col("__extra"))
     of_class = content_id(F.lit("scoped"), scope, variable, F.lit(INSTANCE), F.col("cls"))
-    qualifiers = qualified(statements.where("scope IS NOT NULL"), own, DEFINED_IN, scope, "E").unionByName(qualified(classed, of_class, DEFINED_IN, scope, "E"))
-    qualifiers = qualifiers.unionByName(qualified(statements.where("proxy IS NOT NULL"), own, PROXY, F.col("proxy"), "E")).unionByName(qualified(statements.where("mode IS NOT NULL"), own, MODE, key("mode"), "L"))
+    said = lambda where, *more: statements.where(where).select("scope", "s", "p", "o", extra.alias("__extra"), *more).distinct()
+    of = lambda rows: rows.select("variable", "cls", "scope").distinct()
+    qualifiers = qualified(said("scope IS NOT NULL"), own, DEFINED_IN, scope, "E").unionByName(qualified(of(classed), of_class, DEFINED_IN, scope, "E"))
+    qualifiers = qualifiers.unionByName(qualified(said("proxy IS NOT NULL", "proxy"), own, PROXY, F.col("proxy"), "E")).unionByName(qualified(said("mode IS NOT NULL", "mode"), own, MODE, key("mode"), "L"))
     for quantifier in ("univ_quant", "exis_quant"):
-        qualifiers = qualifiers.unionByName(qualified(classed.where(F.col("quantifier") == quantifier), of_class, quantifier, F.lit("n:1.0"), "L"))
-    return out, entities, qualifiers.dropDuplicates(["q_stm_id"])
+        qualifiers = qualifiers.unionByName(qualified(of(classed.where(F.col("quantifier") == quantifier)), of_class, quantifier, F.lit("n:1.0"), "L"))
+    return out, entities, qualifiers
 
 
 def add(kb: KB, scopes: DataFrame, variables: DataFrame, statements: DataFrame, *, mod: str = "scopes") -> KB:
@@ -265,7 +270,8 @@ def setting_variables(kb: KB) -> DataFrame:
 
 def excess(kb: KB, limits: dict[str, int]) -> DataFrame:
     """(parent, kind, n): scopes with more subscopes of a kind than its limit allows."""
-    counted = scopes_of(kb).where(F.col("kind").isin(*limits)).groupBy("parent", "kind").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kb.of(SCOPE_TYPE).where(F.col("o_lex").isin(*limits)).select(F.col("s").alias("scope"), F.col("o_lex").alias("kind"))
+    counted = kb.of(SCOPE_OF).select(F.col("s").alias("scope"), F.col("o").alias("parent")).join(kinds, "scope").groupBy("parent", "kind").agg(F.count(F.lit(1)).alias("n"))
     most = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("kind"))
     return counted.where(F.col("n") > most).select("parent", "kind", "n")
 

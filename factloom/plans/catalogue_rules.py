@@ -513,7 +513,7 @@ def scope_limits(kb):
     frames = lines.select(F.concat_ws("/", "premise", "part").alias("scope"), F.lit("AND").alias("kind"), F.col("premise").alias("parent"), F.col("part").alias("name"))
     frames = frames.unionByName(lines.select(F.col("premise").alias("scope"), F.lit("PREMISE").alias("kind"), F.col("order").alias("parent"), F.lit("premise").alias("name")).distinct())
     none = [local(kb.spark, [], schema) for schema in (scopes.VARIABLES, scopes.STATEMENTS)]
-    return scopes.excess(scopes.add(kb.only("nothing"), frames, *none).stored(), {"AND": 3, "OR": 1})
+    return scopes.excess(scopes.add(kb.only("nothing"), frames, *none), {"AND": 3, "OR": 1})
 
 
 @_q("SELECT 'P'||p_partkey AS mapping, 0 AS place, 'P'||p_partkey AS argument, 'expression' AS expected FROM part WHERE p_partkey % 3 = 2")
