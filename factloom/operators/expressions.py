@@ -81,7 +81,7 @@ def fold(op: str, *args) -> Expr:
 def evaluated(calls: DataFrame, operator: str) -> DataFrame:
     """(mapping, args) for each distinct argument array of ``calls`` (args array<string>): the same call is the same entity."""
     name = F.sha2(F.to_json(F.concat(F.array(F.lit(operator)), "args")), 256)
-    return calls.select(name.alias("mapping"), "args").dropDuplicates(["mapping"])
+    return calls.select("args").distinct().select(name.alias("mapping"), "args")
 
 
 #: Kinds of mathematical relations by sign; unequal is a strict inequality unless told otherwise.
