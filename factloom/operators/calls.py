@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import COLUMNS, KB, content_id, statement
-from ..plans.tables import written
+from ..plans.tables import keyed, written
 from .edit import tuple_rows
 from .expressions import Expr
 from .rules import Rule, as_statements, bindings, template_rows, unscoped
 
 APPLIED, ARGUMENTS, RANGE, INSTANCE = "applied_mapping_of", "has_arguments", "range", "instance_of"
+ELEMENT, LENGTH = "has_element", "has_length"
 #: The variable of a post-processing rule that stands for a call's result.
 RESULT = "result"
 
@@ -60,31 +61,37 @@ def call(kb: KB, calls: DataFrame, *, post: list[Rule] | None = None, secondary:
     empty array is a call of no arguments. Raises ``NotCallable`` for an operator without a range, before anything is stored.
     """
     args = F.coalesce("args", F.array().cast("array<string>"))
-    result = result_id(F.col("operator"), args)
-    asked = written(calls.select("operator", args.alias("args")).withColumn("result", result).dropDuplicates(["result"]), "calls")
+    asked = calls.select("operator", args.alias("args")).distinct().withColumn("result", result_id(F.col("operator"), F.col("args")))
+    old = kb.of(APPLIED).select(F.col("s").alias("result")).distinct().withColumn("old", F.lit(True))
+    # what is stored is a row a call: the statements about it are made of that row where they are asked for
+    asked = keyed(asked.join(old, "result", "left").select("operator", "args", "result", F.col("old").isNull().alias("made")), "calls", "result")
     ranges = kb.of(RANGE).select(F.col("s").alias("operator"), F.col("o").alias("cls"), "seq", "stm_id")
     bad = asked.select("operator").distinct().join(ranges, "operator", "left_anti").orderBy("operator").limit(1).collect()
     if bad:
         raise NotCallable(f"{bad[0]['operator']} has no range")
-    old = kb.of(APPLIED).select(F.col("s").alias("result")).distinct().withColumn("old", F.lit(True))
-    asked = written(asked.join(old, "result", "left").select("operator", "args", "result", F.col("old").isNull().alias("made")), "calls")
     new = asked.where("made")
     if new.isEmpty():
         return kb, asked
     first = ranges.groupBy("operator").agg(F.min_by("cls", F.struct("seq", "stm_id")).alias("first"))
-    classed = new.join(ranges, "operator").join(first, "operator")
+    classes = written(ranges.select("operator", "cls").distinct().join(first, "operator"), "classes")
     tuples = F.concat(F.lit("T"), "result")
-    rows = new.select(*statement(F.col("result"), APPLIED, F.col("operator"), mod=mod)).unionByName(new.select(*statement(F.col("result"), ARGUMENTS, tuples, mod=mod)))
-    rows = rows.unionByName(classed.where("cls = first").select(*statement(F.col("result"), INSTANCE, F.col("cls"), mod=mod)).dropDuplicates(["stm_id"]))
-    rows = rows.unionByName(classed.where("cls <> first").select(*statement(F.col("result"), secondary, F.col("cls"), mod=mod)).dropDuplicates(["stm_id"]))
     elements, qualifiers = tuple_rows(new.select(tuples.alias("tuple"), F.col("args").alias("elements")), mod=mod)
     # literals among the arguments are written as their keys
     literal = F.col("o").rlike("^[ns]:") & (F.col("o_kind") == "E")
     text = F.substring("o", F.lit(3), F.length("o"))
     elements = elements.withColumn("o_lex", F.when(literal, text).otherwise(F.col("o_lex"))).withColumn("o_type", F.when(literal, F.when(F.col("o").startswith("n:"), "float").otherwise("str")).otherwise(F.col("o_type"))).withColumn("o_kind", F.when(literal, "L").otherwise(F.col("o_kind")))
+    of = lambda p: lambda: elements.where(F.col("p") == p).withColumn("p", F.lit(p)).select(*COLUMNS)
+    parts = {
+        APPLIED: lambda: new.select(*statement(F.col("result"), APPLIED, F.col("operator"), mod=mod)),
+        ARGUMENTS: lambda: new.select(*statement(F.col("result"), ARGUMENTS, tuples, mod=mod)),
+        ELEMENT: of(ELEMENT),
+        LENGTH: of(LENGTH),
+        INSTANCE: lambda: new.join(classes.where("cls = first"), "operator").select(*statement(F.col("result"), INSTANCE, F.col("cls"), mod=mod)),
+    }
+    others = lambda: new.join(classes.where("cls <> first"), "operator").select(*statement(F.col("result"), secondary, F.col("cls"), mod=mod))
     entities = new.select(F.col("result").alias("uri")).unionByName(new.select(tuples.alias("uri"))).select("uri", F.lit("I").alias("etype"), F.lit(True).alias("is_auto"), F.lit(None).cast("string").alias("scope"), F.lit(mod).alias("mod"), F.lit(False).alias("unlinked"))
-    stored = written(rows.unionByName(elements.select(*COLUMNS)), "results")
-    after = kb.plus(stored, entities, written(qualifiers, "qualifiers"), bag=False)
+    after = kb.with_parts(parts, entities, qualifiers).with_parts({secondary: others})
+    after.single = after.single | {APPLIED, ARGUMENTS}
     for rule in post or []:
         found = bindings(after, rule)
         if RESULT not in found.columns:
@@ -92,7 +99,11 @@ def call(kb: KB, calls: DataFrame, *, post: list[Rule] | None = None, secondary:
         about = found.join(new.select(F.col("result").alias(RESULT)), RESULT, "left_semi")
         facts = unscoped(after, template_rows(rule, about)).select("s", "p", "o_kind", "o").distinct()
         relations = [t.p for t in rule.asserts]
-        there = after.of(*relations) if all(isinstance(p, str) for p in relations) else after.statements
-        facts = written(facts.join(there.select("s", "p", "o"), ["s", "p", "o"], "left_anti"), "post")
-        after = after.plus(as_statements(facts, mod=mod), bag=False)
+        named = all(isinstance(p, str) for p in relations)
+        there = after.of(*dict.fromkeys(relations)) if named else after.statements
+        facts = keyed(facts.join(there.select("s", "p", "o"), ["s", "p", "o"], "left_anti"), "post", "s")
+        if named:
+            after = after.with_parts({p: lambda p=p, facts=facts: as_statements(facts.where(F.col("p") == p).withColumn("p", F.lit(p)), mod=mod) for p in relations})
+        else:
+            after = after.plus(as_statements(facts, mod=mod), bag=False)
     return after, asked

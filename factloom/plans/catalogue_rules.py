@@ -10,7 +10,7 @@ from ..operators import authoring, calls, checks, compiler, fixpoint, modules, r
 from ..operators.pattern import Edge, Ent, LitVar, Pattern, RelVar, Var, first_matches, match
 from .catalogue import ORACLE_SQL, QUERIES, _q, _s
 from .model import KB, constants, statement
-from .tables import local
+from .tables import local, written
 
 _UNCONNECTED = "part_of supplied_by placed_by contains parent".split()
 
@@ -476,8 +476,10 @@ def operator_calls(kb):
     result, tuple_, b = Var("result"), Var("t"), Var("b")
     # matched as SPARQL does: the element of place 1 is known by its index, so the rule asks the tuple's supplier through its class
     held = rules.Rule("held", [Pattern([Edge(result, "applied_mapping_of", Ent("offer")), Edge(result, "has_arguments", tuple_), Edge(tuple_, "has_element", b), Edge(b, "is_supplier", Ent("yes"))])], [rules.Template(result, "held_by", b)])
-    suppliers = kb.of("part_of").where("s LIKE 'S%'").select(*statement(F.col("s"), "is_supplier", F.lit("yes")))
-    after, made = calls.call(known.plus(suppliers, bag=False), asked, post=[held])
+    suppliers = written(kb.of("part_of").where("s LIKE 'S%'").select("s"), "suppliers")  # a thousandth of the offers: its size is known once it is written
+    known = known.with_parts({"is_supplier": lambda: suppliers.select(*statement(F.col("s"), "is_supplier", F.lit("yes")))})
+    known.single = known.single | {"is_supplier"}  # suppliers join the tuples' elements before these meet their results
+    after, made = calls.call(known, asked, post=[held])
     again, twice = calls.call(after, offers, post=[held])  # nothing of it is new
     known_args = made.select("result", "operator", F.get("args", 0).alias("a"), F.get("args", 1).alias("b"))
     stored = again.of("has_arguments").select(F.col("s").alias("result"), F.col("o").alias("tuple"))
