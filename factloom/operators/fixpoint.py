@@ -21,9 +21,9 @@ from pyspark.sql.window import Window
 from ..functions.scalars import render
 from ..plans.model import KB, content_id
 from ..plans.tables import written
-from .closure import RoundLimit
-from .pattern import Edge, Pattern, RelVar, _Scans, bound_rows, check, edge_variables, finished, match_any, next_edge
-from .rules import Contradiction, Rule, RuleStop, template_rows, unscoped
+from .closure import RoundLimit, doubled, one_way
+from .pattern import Edge, Pattern, RelVar, Var, _Scans, bound_rows, check, edge_variables, finished, match_any, next_edge
+from .rules import Contradiction, Rule, RuleStop, as_statements, template_rows, unscoped
 
 #: Tables of earlier rounds that are read one by one; then they become one.
 MOST_PARTS = 6
@@ -101,9 +101,39 @@ def _unknown(kb: KB, rules: list[Rule], rows: DataFrame, parts: list[DataFrame])
     there = kb.statements if asserted is None else kb.of(*sorted(asserted))
     on = [c for c in ("branch", "s", "p", "o") if c in rows.columns]
     rows = unscoped(kb, rows).dropDuplicates(on).join(there.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
-    for part in parts:
-        rows = rows.join(part.select(*on), on, "left_anti")
-    return rows
+    return rows.join(_union([p.select(*on) for p in parts]), on, "left_anti") if parts else rows
+
+
+def chained(rule: Rule) -> str | None:
+    """The relation that a rule makes transitive, if that is all it does."""
+    if rule.stop is not None or len(rule.branches) != 1 or len(rule.asserts) != 1 or len(rule.branches[0].edges) != 2:
+        return None
+    pattern, t = rule.branches[0], rule.asserts[0]
+    e, f = pattern.edges if pattern.edges[0].o == pattern.edges[1].s else reversed(pattern.edges)
+    ends = (e.s, e.o, f.o)
+    plain = not (pattern.externals or pattern.conditions or pattern.absent or pattern.relations or pattern.strict_single_edge)
+    named = all(isinstance(v, Var) for v in ends) and len(set(ends)) == 3 and isinstance(t.p, str)
+    return t.p if plain and named and e.o == f.s and e.p == f.p == t.p and (t.s, t.o) == (e.s, f.o) else None
+
+
+def _chains(kb: KB, rule: Rule, p: str) -> tuple[DataFrame, int] | None:
+    """(what a rule of ``chained`` derives, rounds) by doubling steps; None where subjects and objects have several edges.
+
+    Matches that are injective have no edge from a node to itself, and their closure gives none.
+    """
+    pattern = rule.branches[0]
+    if not pattern.injective and kb.entities.schema["scope"].dataType.simpleString() != "void":
+        return None
+    rows = kb.edges(p, graph=pattern.injective).where("o_kind = 'E'").select(F.col("s").alias("a"), F.col("o").alias("b")).distinct()
+    edges = written(rows.where("a <> b") if pattern.injective else rows, "edges")
+    way = one_way(edges)
+    if way is None:
+        return None
+    found = doubled(edges, way)
+    depth = found.agg(F.max("hops").alias("n")).first()["n"] or 1
+    new = found.where("hops > 1 AND a <> b" if pattern.injective else "hops > 1").select(F.col("a").alias("s"), F.lit(p).alias("p"), F.lit("E").alias("o_kind"), F.col("b").alias("o"))
+    there = kb.of(p).where("scope IS NOT NULL").select("s", "p", "o")
+    return new.join(there, ["s", "p", "o"], "left_anti").select("s", "p", "o_kind", "o"), (depth - 1).bit_length() + 1
 
 
 def derived(kb: KB, rules: list[Rule], *, delta: DataFrame | None = None, max_rounds: int | None = None) -> tuple[DataFrame, int, RuleStop | None]:
@@ -114,6 +144,17 @@ def derived(kb: KB, rules: list[Rule], *, delta: DataFrame | None = None, max_ro
     """
     columns = ["s", "p", "o_kind", "o"]
     makers, stops = [r for r in rules if r.stop is None], [r for r in rules if r.stop is not None]
+    if delta is None and max_rounds is None and not stops:
+        for r in rules:
+            p, rest = chained(r), [x for x in rules if x is not r]
+            others = asserted_relations(rest)
+            # no other rule asserts the relation: it is closed before they begin, and stays so
+            done = _chains(kb, r, p) if p is not None and others is not None and p not in others else None
+            if done is not None and not rest:
+                return *done, None
+            if done is not None:
+                more, n, _ = derived(kb.plus(as_statements(done[0]), bag=False), rest)
+                return done[0].unionByName(more), done[1] + n, None
     parts = [] if delta is None else [delta]
     for n in count():
         if n == max_rounds:
