@@ -92,7 +92,8 @@ def first_literals(kb: KB, s: str) -> DataFrame:
 
 def first_qualifiers(kb: KB, relation: str) -> DataFrame:
     """(stm_id, o): each statement's first qualifier of a relation."""
-    return kb.qualifiers.where(F.col("p") == relation).groupBy("stm_id").agg(F.min_by("o", F.struct("seq", "q_stm_id")).alias("o"))
+    # few statements have several: rows are moved once before they are sorted and grouped, not grouped in each task first
+    return kb.qualifiers.where(F.col("p") == relation).repartition("stm_id").groupBy("stm_id").agg(F.min_by("o", F.struct("seq", "q_stm_id")).alias("o"))
 
 
 def proxies(kb: KB, *, relation: str = "has_proxy") -> DataFrame:
