@@ -65,9 +65,12 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, total:
 
     Keys with total / limit rows or more (``total``: rows of ``left``, at least ``least``) are ``limit`` at most by
     that number, so they are broadcast and their rows stay where they are; the others are shuffled, and no task
-    gets more rows of one key than that.
+    gets more rows of one key than that. ``right`` is a table, as it is asked first whether it has such keys: without
+    one this is a plain join, whose plan and threads cost the driver far less.
     """
     bound = max(least, total // limit)
+    if total < bound or (right.agg(F.max(weight)).first()[0] or 0) < bound:
+        return left.join(right, on)
     hot = right.where(F.col(weight) >= bound)
     rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(weight) < bound), on)
     return left.join(F.broadcast(hot), on).unionByName(rest)

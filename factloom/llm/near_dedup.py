@@ -165,7 +165,7 @@ def _links(reps: DataFrame, texts: DataFrame, shingle: int, percent: int, total:
         return joined
     again = _prefix_pairs(left, percent).join(compared.select("a", "b"), ["a", "b"], "left_anti")
     more = written(_confirmed(again, sets, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), "confirmed")
-    return joined if more.isEmpty() else components(stars.unionByName(more))
+    return joined if more.isEmpty() else components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
 def _prefixes(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from factloom.llm import common, decontaminate, line_dedup, surrogates
+from factloom.llm import common, components, decontaminate, line_dedup, surrogates
 from factloom.llm.line_dedup import drop_recurring_lines
 from factloom.llm.near_dedup import near_duplicates
 from factloom.llm.packing import default_tokenizer, pack, plan, repeat_counts
@@ -45,6 +45,44 @@ def copies(seed=4):
     return list(enumerate(out)) + ODD
 
 
+def test_components_without_large_nodes_are_windows(spark, monkeypatch):
+    r = random.Random(7)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(30)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(80)] + [(5, 5), (120, 400)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    ends = {x for u, v in edges if u != v for x in (u, v)}
+    table = spark.createDataFrame(edges, "u long, v long")
+    found = lambda: sorted(tuple(row) for row in components.components(table).collect())
+    want = sorted((x, find(x)) for x in ends)
+    monkeypatch.setattr(components, "MOST_EDGES", 3)
+    assert found() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(components, "attach", None)
+    assert found() == want
+
+
+def test_attach_without_hot_keys_is_a_plain_join(spark):
+    left = spark.range(60).selectExpr("id % 20 AS k", "id")
+    right = spark.range(20).selectExpr("id AS k", "3L AS held")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for least, hot in ((3, True), (4, False)):
+            got = common.attach(left, right, ["k"], "held", 60, least=least)
+            assert sorted(tuple(r) for r in got.collect()) == sorted((k % 20, k, 3) for k in range(60))
+            assert ("Broadcast" in got._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in got._jdf.queryExecution().toString()) == hot
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rows = copies()
     got = {r["doc_id"]: r for r in near_duplicates(frame(spark, rows)).collect()}
