@@ -292,6 +292,11 @@ def names_beside(kb: KB, names: DataFrame, copies: DataFrame) -> DataFrame:
     return targets.join(settings, "parent").select("target", "old", "new").dropDuplicates(["target", "old"])
 
 
+def mapping_name(target: Column, operator: Column, arguments: Column) -> Column:
+    """What a copied mapping is called in its target."""
+    return F.concat(target, F.lit("#m"), F.substring(content_id(target, operator, F.to_json(arguments)), 1, 32))
+
+
 def copied_names(kb: KB, copies: DataFrame, *, operator: str = "applied_mapping_of", argument: str = ARGUMENT) -> DataFrame:
     """(source, target, old, new): what each variable of a copied scope becomes; ``copies`` has (source, target), one row a copy.
 
@@ -316,7 +321,7 @@ def copied_names(kb: KB, copies: DataFrame, *, operator: str = "applied_mapping_
         named = F.when(F.col("own"), F.col("named")).otherwise(F.coalesce("beside", "argument"))
         listed = F.array_sort(F.collect_list(F.when(F.col("argument").isNotNull(), F.struct("place", "by", named.alias("value")))))
         ready = rows.groupBy("source", "target", "variable", "operator").agg(F.count(F.when(F.col("own") & F.col("named").isNull(), 1)).alias("waiting"), listed.alias("listed")).where("waiting = 0")
-        made = F.concat(F.col("target"), F.lit("#m"), F.substring(content_id(F.col("target"), F.col("operator"), F.to_json(F.transform("listed", lambda x: x["value"]))), 1, 32))
+        made = mapping_name(F.col("target"), F.col("operator"), F.transform("listed", lambda x: x["value"]))
         new = written(ready.select("source", "target", F.col("variable").alias("old"), made.alias("new")), "names")
         if new.isEmpty():
             break
@@ -327,12 +332,106 @@ def copied_names(kb: KB, copies: DataFrame, *, operator: str = "applied_mapping_
     return names
 
 
+#: Statements of a scope or variable, and variables of a scope, up to which a scope is copied as one row; beyond, its copy is made by joins.
+MOST_INSIDE, MOST_VARIABLES = 1000, 64
+
+
+def _joined(kb: KB, copies: DataFrame) -> bool:
+    """Whether copies have to be made by joins: a target has two sources or a copied setting beside it, or a scope is large."""
+    pairs = copies.select("source", "target").distinct()
+    if not pairs.groupBy("target").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return True
+    key = lambda df, what, by: df.select(F.lit(what).alias("what"), F.col(by).alias("key"))
+    each = key(kb.scoped, "inside", "scope").unionByName(key(kb.of(DEFINED_IN), "variables", "o")).unionByName(key(kb.of(ARGUMENT), "about", "s"))
+    most = F.when(F.col("what") == "variables", MOST_VARIABLES).otherwise(MOST_INSIDE)
+    if not each.groupBy("what", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).isEmpty():
+        return True
+    kinds = kb.of(SCOPE_TYPE).select(F.col("s").alias("target"), (F.col("o_lex") == "SETTING").alias("setting"))
+    targets = pairs.select("target").join(kinds, "target")
+    if targets.where("NOT setting").isEmpty():
+        return False
+    parents = targets.join(kb.of(SCOPE_OF).select(F.col("s").alias("target"), F.col("o").alias("parent")), "target")
+    return not parents.groupBy("parent").agg(F.max("setting").alias("a"), F.min("setting").alias("b")).where("a AND NOT b").isEmpty()
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once for a row however often a lambda in it asks for it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _placed(kb: KB, copies: DataFrame, *, operator: str) -> DataFrame | None:
+    """(source, target, names, rows): the contents of each scope gathered once, then named anew and made distinct for each target without another shuffle.
+
+    None if a variable has several names, operators or definitions in a scope: their combinations are made by joins.
+    """
+    columns = ("seq", "stm_id", "scope", "s", "p", "o_kind", "o", "o_type", "o_lex", "o_lang", "free")
+    about = kb.of(NAME_IN_SCOPE, DEFINED_IN, MODE, operator, ARGUMENT).groupBy(F.col("s").alias("variable")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    listed = lambda p, c: F.transform(F.filter("rows", lambda x: x["p"] == p), lambda x: x[c])
+    about = about.select("variable", "rows", listed(DEFINED_IN, "o").alias("scopes"), listed(NAME_IN_SCOPE, "o_lex").alias("names"), listed(operator, "o").alias("operators")).where("size(scopes) > 0 AND size(names) > 0")
+    odd = (F.size("names") > 1) | (F.size("operators") > 1) | (F.size("scopes") > F.size(F.array_distinct("scopes")))
+    arguments = F.transform(F.array_sort(F.filter("rows", lambda x: x["p"] == ARGUMENT)), lambda x: x["o"])  # by place, then by id
+    one = F.struct("variable", F.get("names", 0).alias("name"), F.get("operators", 0).alias("operator"), arguments.alias("arguments"), F.filter("rows", lambda x: x["scope"].isNull()).alias("rows"), odd.alias("odd"))
+    variables = about.select("scopes", one.alias("variable")).select(F.explode(F.array_distinct("scopes")).alias("source"), "variable")
+    inside = kb.scoped.select(F.col("scope").alias("source"), F.struct(*columns).alias("row"))
+    # naming takes time where bytes are few: with a number given, Spark doesn't put these partitions together by bytes
+    tasks = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    contents = variables.unionByName(inside, allowMissingColumns=True).repartition(tasks, "source").groupBy("source").agg(F.collect_list("variable").alias("variables"), F.collect_list("row").alias("inside"))
+    found = lambda names, x: F.get(F.filter(names, lambda n: n["old"] == x), 0)["new"]
+    target, pair = F.col("target"), lambda old, new: F.struct(old.alias("old"), new.alias("new"))
+    own = lambda x: F.exists("variables", lambda v: v["variable"] == x)
+
+    def a_round(names: Column) -> Column:
+        """The names and those of the mappings of which all arguments have one."""
+        waits = lambda v: F.exists(v["arguments"], lambda a: own(a) & found(names, a).isNull())
+        ready = F.filter("variables", lambda v: v["operator"].isNotNull() & found(names, v["variable"]).isNull() & ~waits(v))
+        values = lambda v: F.transform(v["arguments"], lambda a: F.coalesce(found(names, a), a))
+        return F.concat(names, F.transform(ready, lambda v: pair(v["variable"], mapping_name(target, v["operator"], values(v)))))
+
+    plain = F.transform(F.filter("variables", lambda v: v["operator"].isNull()), lambda v: pair(v["variable"], F.concat(target, F.lit("#"), v["name"])))
+    count = F.size("variables")
+    rounds = F.sequence(F.lit(0), F.size(F.filter("variables", lambda v: v["operator"].isNotNull())))
+    names = F.aggregate(rounds, plain, lambda names, _: F.when(F.size(names) < count, a_round(names)).otherwise(names))
+    renamed = lambda names, x: F.coalesce(found(names, x), x)
+    o = lambda names, r: F.when(r["p"] == DEFINED_IN, target).otherwise(renamed(names, r["o"]))
+    row = lambda names, r: F.struct(F.struct(renamed(names, r["s"]).alias("s"), r["p"].alias("p"), o(names, r).alias("o"), r["scope"].isNotNull().alias("inside"), r["seq"].alias("seq")).alias("key"), *[r[c].alias(c) for c in ("stm_id", "o_kind", "o_type", "o_lex", "o_lang", "free")])
+    rows = F.concat("inside", F.flatten(F.transform("variables", lambda v: v["rows"])))
+    # of equal mappings that became one, each statement stays once
+    first = lambda rows: F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["key"] != r["key"]))
+    copied = lambda names: F.struct(names.alias("names"), _let(F.array_sort(F.transform(rows, lambda r: row(names, r))), first).alias("rows"))
+    pairs = copies.select("source", "target").distinct()
+    odd = F.exists("variables", lambda v: v["odd"])
+    made = contents.join(pairs, "source").select("source", "target", count.alias("n"), odd.alias("odd"), _let(names, copied).alias("copied"))
+    made = written(made.select("source", "target", "n", "odd", "copied.names", "copied.rows"), "placed", compression="zstd")
+    wrong = made.where("odd OR size(names) < n").agg(F.max("odd").alias("odd")).collect()[0]["odd"]
+    if wrong is False:
+        raise ScopeError("an applied mapping is an argument of itself")
+    return None if wrong else made.select("source", "target", "names", "rows")
+
+
+def _copied_rows(kb: KB, placed: DataFrame, *, mod: str) -> tuple[KB, DataFrame]:
+    """``copy_scopes`` of what ``_placed`` has written: statements, entities and qualifiers are made of that where they are asked for."""
+    names = placed.select("source", "target", F.explode("names").alias("x")).select("source", "target", "x.old", "x.new")
+    rows = placed.select("target", F.explode("rows").alias("x")).select("target", "x.key.*", "x.stm_id", "x.o_kind", "x.o_type", "x.o_lex", "x.o_lang", "x.free")
+    copied_id = lambda: content_id(F.lit("copied"), F.col("target"), F.col("stm_id"))
+    statements = rows.withColumn("scope", F.when(F.col("inside"), F.col("target"))).withColumn("stm_id", copied_id()).withColumn("mod", F.lit(mod)).select(*kb.statements.columns)
+    by_q = names.select("target", F.col("old").alias("o"), F.col("new").alias("__o"))
+    qualifiers = kb.qualifiers.join(rows.select("stm_id", "target").distinct(), "stm_id").join(by_q, ["target", "o"], "left")
+    qualifiers = qualifiers.withColumn("o", F.when(F.col("p") == DEFINED_IN, F.col("target")).otherwise(F.coalesce("__o", "o")))
+    qualifiers = qualifiers.withColumn("q_stm_id", content_id(F.lit("copied"), F.col("target"), F.col("q_stm_id"))).withColumn("stm_id", copied_id()).select(*kb.qualifiers.columns)
+    uris = placed.select("target", F.explode(F.array_distinct(F.transform("names", lambda n: n["new"]))).alias("uri"))
+    entities = uris.select("uri", F.lit("I").alias("etype"), F.lit(True).alias("is_auto"), F.col("target").alias("scope"), F.lit(mod).alias("mod"), F.lit(False).alias("unlinked"))
+    return kb.plus(statements, entities, qualifiers), names
+
+
 def copy_scopes(kb: KB, copies: DataFrame, *, mod: str = "copies", operator: str = "applied_mapping_of") -> tuple[KB, DataFrame]:
     """(``kb`` with the contents of each source in its target scope, names): variables, applied mappings, statements and their qualifiers.
 
     Targets are scopes that are there. Everything has content ids, so a copy made twice is there once. Proxies of relation
     variables and other qualifiers that name a copied variable name its copy.
     """
+    placed = None if _joined(kb, copies) else _placed(kb, copies, operator=operator)
+    if placed is not None:
+        return _copied_rows(kb, placed, mod=mod)
     names = copied_names(kb, copies, operator=operator)
     own = names.select("target", "old", "new")
     old_new = written(own.unionByName(names_beside(kb, names, copies).join(own.select("target", "old"), ["target", "old"], "left_anti")), "renamed")

@@ -314,20 +314,23 @@ def scope_copy_expression(kb):
     statements = rows.select("x.s", "x.p", F.lit("E").alias("o_kind"), "x.o", F.when(F.col("x.inside"), F.col("scope")).alias("scope"), "x.seq", null.cast(text).alias("proxy"), null.cast("int").alias("mode"))
     stored = scopes.add(kb.only("nothing"), frames, variables, statements).stored()
     copies = parts.select(F.concat("part", F.lit("S/setting")).alias("source"), F.explode(F.array(source, F.concat("part", F.lit("B/setting")))).alias("target"))
-    after = scopes.copy_scopes(stored, copies)[0].stored()
+    after = scopes.copy_scopes(stored, copies)[0]
     # read the copies back: the text of each mapping from those of its arguments, from the innermost outwards
+    ours = lambda p: after.of(p).where("mod = 'copies'")
     made = after.entities.where("mod = 'copies'").select(F.col("uri").alias("node"), F.col("scope").alias("target"))
-    operators = after.of("applied_mapping_of").select(F.col("s").alias("node"), F.col("o").alias("operator"))
-    arguments = after.of("has_argument").select("s", "seq", "o")
-    texts = made.join(scopes.variables_of(after).where("name IN ('u', 'v')").select(F.col("variable").alias("node"), "name"), "node").select("node", F.col("name").alias("text"))
+    operators = written(made.join(ours("applied_mapping_of").select(F.col("s").alias("node"), F.col("o").alias("operator")), "node"), "operators", compression="zstd")
+    leaves = made.join(scopes.variables_of(after).where("name IN ('u', 'v')").select(F.col("variable").alias("node"), "name"), "node").select("node", "target", F.col("name").alias("text"))
+    leaves = written(leaves, "leaves", compression="zstd")
+    arguments = ours("has_argument").select(F.col("s").alias("node"), "seq", "o").join(operators, "node")
+    texts = leaves.select("node", "text")
     for _ in range(3):
-        listed = arguments.join(texts.select(F.col("node").alias("o"), "text"), "o").groupBy("s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), ",").alias("inner"))
-        texts = texts.where("text IN ('u', 'v')").unionByName(listed.join(operators, listed["s"] == operators["node"]).select("node", F.concat("operator", F.lit("("), "inner", F.lit(")")).alias("text")))
-    whole = made.join(texts.where("text LIKE 'neg%'"), "node").select("target", F.col("text").alias("expression"))
-    counted = made.join(operators, "node").groupBy("target").agg(F.count(F.lit(1)).cast("int").alias("mappings"))
-    variable_names = scopes.variables_of(after).select("variable", "name")
-    facts = after.of("heavier").join(variable_names.select(F.col("variable").alias("s"), F.col("name").alias("a")), "s").join(variable_names.select(F.col("variable").alias("o"), F.col("name").alias("b")), "o")
-    facts = facts.where("mod = 'copies'").select(F.col("scope").alias("target"), F.concat_ws(" ", "a", F.lit("heavier"), "b").alias("fact"))
+        listed = arguments.join(texts.select(F.col("node").alias("o"), "text"), "o").groupBy("node", "target", "operator").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), ",").alias("inner"))
+        outer = listed.select("node", "target", F.concat("operator", F.lit("("), "inner", F.lit(")")).alias("text"))
+        texts = leaves.select("node", "text").unionByName(outer.select("node", "text"))
+    whole = outer.where("text LIKE 'neg%'").select("target", F.col("text").alias("expression"))
+    counted = operators.groupBy("target").agg(F.count(F.lit(1)).cast("int").alias("mappings"))
+    named = lambda node, name: leaves.select(F.col("node").alias(node), F.col("text").alias(name))
+    facts = ours("heavier").join(named("s", "a"), "s").join(named("o", "b"), "o").select(F.col("scope").alias("target"), F.concat_ws(" ", "a", F.lit("heavier"), "b").alias("fact"))
     return whole.join(counted, "target").join(facts, "target").select(F.expr("substring_index(target, '/', 1)").alias("part"), "expression", "fact", "mappings")
 
 

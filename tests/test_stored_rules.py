@@ -290,3 +290,36 @@ def test_copied_scopes(spark):
     loop = kb_of(spark, [("T1/premise#m", "applied_mapping_of", "f"), ("T1/premise#m", "has_argument", "T1/premise#m")])
     with pytest.raises(scopes.ScopeError, match="argument of itself"):
         scopes.copy_scopes(target.stored(own.stored(loop)), copies)
+
+
+def test_scopes_are_copied_as_rows(spark, monkeypatch):
+    """Copies by rows are those by joins, and what is asked of them is not shuffled again."""
+    triples, base = [], kb_of(spark, [("T0", "r", "T9")])
+    for owner in ("T1", "T2"):
+        own = Scopes(owner)
+        with own.scope("setting"):
+            u, v, a, b, m, none = (own.new_var(n, cls="thing" if n == "u" else None) for n in ("u", "v", "a", "b", "m", "none"))
+            own.new_rel(m, "over", u)
+            own.new_rel("outside", "over", b)
+        base = own.stored(base)
+        triples += [(x, "applied_mapping_of", f) for x, f in ((a, "add"), (b, "add"), (m, "mul"), (none, "nothing"))]
+        triples += [(x, "has_argument", y) for x, y in ((a, u), (a, v), (b, u), (b, v), (m, a), (m, "outside"), (m, b))]
+    for owner in ("T3", "T4", "T5"):
+        own = Scopes(owner)
+        with own.scope("setting"):
+            pass
+        base = own.stored(base)
+    # seq is the order of arguments: those of a and b are equal
+    known = kb_of(spark, triples)
+    place = F.when(F.col("p") == "has_argument", F.when(F.col("o").endswith("#v") | F.col("o").isin("outside"), 1).when(F.col("s").endswith("#m") & F.col("o").endswith("#b"), 2).otherwise(0)).otherwise(0).cast("long")
+    kb = base.plus(known.statements.withColumn("seq", place), known.entities)
+    copies = local(spark, [("T1/setting", "T3/setting"), ("T1/setting", "T4/setting"), ("T2/setting", "T5/setting")], "source string, target string")
+    shown = lambda df, *columns: sorted(str(tuple(r)) for r in df.select(*columns).collect())
+    told = lambda after, names: (shown(after.statements, "s", "p", "o", "seq"), shown(after.scoped, "s", "p", "o", "scope", "stm_id"), shown(after.entities, "uri", "scope"), shown(after.qualifiers, *after.qualifiers.columns), shown(names, "source", "target", "old", "new"))
+    after, names = scopes.copy_scopes(kb, copies)
+    for made in (after.statements, after.entities, names):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    by_rows = told(after, names)
+    assert names.where("target = 'T3/setting'").count() == 6 and after.entities.where("scope = 'T3/setting' AND mod = 'copies'").count() == 5
+    monkeypatch.setattr(scopes, "MOST_INSIDE", 0)
+    assert told(*scopes.copy_scopes(kb, copies)) == by_rows
