@@ -97,7 +97,8 @@ def call(kb: KB, calls: DataFrame, *, post: list[Rule] | None = None, secondary:
         if RESULT not in found.columns:
             raise ValueError(f"{rule.name}: no variable {RESULT}")
         about = found.join(new.select(F.col("result").alias(RESULT)), RESULT, "left_semi")
-        facts = unscoped(after, template_rows(rule, about)).select("s", "p", "o_kind", "o").distinct()
+        # dealt as they are stored, so that making them distinct and storing them moves them once
+        facts = unscoped(after, template_rows(rule, about)).select("s", "p", "o_kind", "o").repartition(int(kb.spark.conf.get("spark.sql.shuffle.partitions")), "s").distinct()
         relations = [t.p for t in rule.asserts]
         named = all(isinstance(p, str) for p in relations)
         there = after.of(*dict.fromkeys(relations)) if named else after.statements

@@ -484,12 +484,14 @@ def operator_calls(kb):
     known.single = known.single | {"is_supplier"}  # suppliers join the tuples' elements before these meet their results
     after, made = calls.call(known, asked, post=[held])
     again, twice = calls.call(after, offers, post=[held])  # nothing of it is new
-    known_args = made.select("result", "operator", F.get("args", 0).alias("a"), F.get("args", 1).alias("b"))
     stored = again.of("has_arguments").select(F.col("s").alias("result"), F.col("o").alias("tuple"))
-    elements = again.of("has_element").join(again.qualifiers.where("p = 'has_index'").select("stm_id", F.col("o_lex").cast("int").alias("place")), "stm_id").groupBy(F.col("s").alias("tuple")).agg(F.max(F.when(F.col("place") == 0, F.col("o"))).alias("a"), F.max(F.when(F.col("place") == 1, F.col("o"))).alias("b"))
+    # a tuple's elements come from one row, so they are put together before they are moved
+    elements = again.of("has_element").groupBy(F.col("s").alias("tuple")).agg(F.max(F.when(F.col("seq") == 0, F.col("o"))).alias("a"), F.max(F.when(F.col("seq") == 1, F.col("o"))).alias("b"))
     one = lambda p, name: again.of(p).select(F.col("s").alias("result"), F.col("o").alias(name))
-    out = known_args.select("result", "operator").join(stored, "result").join(elements, "tuple").join(one("instance_of", "cls"), "result").join(one("secondary_instance_of", "other"), "result", "left").join(one("held_by", "held_by"), "result", "left")
-    return out.join(twice.where("made").select("result"), "result", "left_anti").select("operator", "a", "b", "cls", "other", "held_by")
+    # what is stored by result is joined first: that moves nothing
+    out = made.select("result", "operator").join(stored, "result").join(one("instance_of", "cls"), "result").join(one("secondary_instance_of", "other"), "result", "left").join(one("held_by", "held_by"), "result", "left")
+    out = out.join(twice.where("made").select("result"), "result", "left_anti")
+    return out.join(elements, "tuple").select("operator", "a", "b", "cls", "other", "held_by")
 
 
 

@@ -225,3 +225,17 @@ def test_content_ids_are_computed_once_for_a_join(spark):
     assert _plan(found).count("sha2(") == 2
     assert sorted(tuple(r) for r in found.select("a", "b").collect()) == [(k, k) for k in range(20)]
     assert {len(r[0]) for r in found.select("stm_id").collect()} == {32}
+
+
+def test_elements_of_calls_are_not_moved_by_statement(spark):
+    """What is read back of calls is put together by tuple; no statement is moved by its id to find an element's place."""
+    import __spark_entry__
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = __spark_entry__.queries()["operator_calls"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert dealt and not any("(stm_id" in line for line in dealt)
